@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash, token_files
+from . import decontamination, simhash, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("target_uri")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -35,5 +39,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op7_token_files, op8_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_benchmark_decontamination, op7_token_files, op8_simhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, lower(sha1(html)) AS payload_digest FROM p
+        ), m AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM m""",
+}
