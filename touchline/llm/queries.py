@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, simhash, token_files, warc
+from . import chat, decontamination, sentence_dedup, simhash, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.cut_sentences(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), token_files.tokenizer_path())
     return token_files.read_documents(manifest)
@@ -58,7 +62,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_chat_formatting, op5_benchmark_decontamination, op7_token_files, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_chat_formatting, op5_benchmark_decontamination, op6_sentence_dedup, op7_token_files, op8_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
