@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, quality, sentence_dedup, simhash, token_files, toxicity, warc
+from . import chat, common, decontamination, licenses, mixing, quality, sentence_dedup, simhash, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,29 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_toxicity_segments, op4_chat_formatting, op5_benchmark_decontamination, op6_sentence_dedup, op7_token_files, op8_simhash_near_dedup)}
+def op9_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_to_targets(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_quality_rules,
+        op3_toxicity_segments,
+        op4_chat_formatting,
+        op5_benchmark_decontamination,
+        op6_sentence_dedup,
+        op7_token_files,
+        op8_simhash_near_dedup,
+        op9_mixing_to_targets,
+        op10_license_scan,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
