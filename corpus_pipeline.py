@@ -1,20 +1,49 @@
-"""From documents to token files: the corpus pipeline over five operators of ``touchline.llm``."""
+"""From documents to token files: the corpus pipeline over five operators of ``touchline.llm``.
+
+Each stage takes the rows that the one before kept and returns whole documents with all their
+columns; the last returns what it has read back from the token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import common, token_files
+from touchline.llm import common, decontamination, mixing, simhash, token_files, toxicity
 
 ORACLE_SQL = None  # scores, fingerprints and files are beyond SQL; tests hold the stages against brute force
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark passages."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the target shares of source, language and topic."""
+    return mixing.sampled(docs)
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the ids of all documents that are left to files, and read them back."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files written."""
     return token_files.read_documents(token_files.write_token_files(docs, token_files.tokenizer_path()))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mixing_to_targets", mix),
     ("token_files", write_tokens),
 ]
 
