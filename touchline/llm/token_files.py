@@ -295,7 +295,7 @@ def fetch(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
         reader = Reader(rows["path"].iloc[0])
         asked = set(rows["doc_id"].dropna().astype("int64").tolist())
         at = [k for k in np.flatnonzero(np.isin(reader.ids, np.array(sorted(asked), dtype=np.int64))) if not reader.nulls[k]]
-        out = pd.DataFrame({"doc_id": [int(reader.ids[k]) for k in at], "ids": [reader.document(k).astype("int32") for k in at]})
+        out = pd.DataFrame({"doc_id": [int(reader.ids[k]) for k in at], "ids": pd.Series([reader.document(k).tolist() for k in at], dtype=object)})
         reader.close()
         return out
 
