@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -14,7 +15,7 @@ from . import common
 
 RUN_SENTENCES = 3  #: a run has so many sentences,
 LONG_RUN_WORDS = 50  #: or fewer that hold so many words
-LEAST_RUN_WORDS = 10  #: runs of fewer words are no evidence of copying
+LEAST_RUN_WORDS = 10  #: runs of fewer words are no evidence of copying: they grow
 
 #: A sentence ends after closing marks or at a line's end.
 SENTENCE = re.compile(r"[^\n.!?。]*(?:[.!?。]+|\n|\Z)")
@@ -39,19 +40,37 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> Iterator[tuple[bytes, int, int]]:
-    """Hash, first sentence and number of sentences of each run: all runs of three sentences, and runs
-    of one or two that hold fifty words. White space and letter case don't count."""
+    """Hash, first sentence and number of sentences of each run. White space and letter case don't count.
+
+    A run has three sentences, or more where three hold under ten words: the fewest from a sentence on
+    that do, and the fewest up to a sentence. One or two sentences are a run if they hold fifty words.
+    So a passage of three sentences and ten words, or of fifty words, is covered by runs within it.
+    """
     words = [text[a:b].lower().split() for a, b in sentences(text)]
-    plain, size = ["\x1f".join(x) for x in words], [len(x) for x in words]
+    plain, upto = ["\x1f".join(x) for x in words], [0, *accumulate(map(len, words))]
+    n, found = len(words), []
+    for i in range(n):
+        for k in range(1, min(RUN_SENTENCES, n - i + 1)):
+            if upto[i + k] - upto[i] >= LONG_RUN_WORDS:
+                found.append((i, k))
+        if i + RUN_SENTENCES > n:
+            continue
+        end = i + RUN_SENTENCES
+        if upto[end] - upto[i] >= LEAST_RUN_WORDS:
+            found.append((i, RUN_SENTENCES))
+            continue
+        first = i
+        while first >= 0 and upto[end] - upto[first] < LEAST_RUN_WORDS:
+            first -= 1
+        if first >= 0:
+            found.append((first, end - first))
+        while end <= n and upto[end] - upto[i] < LEAST_RUN_WORDS:
+            end += 1
+        if end <= n:
+            found.append((i, end - i))
     digest = xxhash.xxh3_128_digest
-    for i in range(len(words)):
-        n = 0
-        for k in range(1, RUN_SENTENCES + 1):
-            if i + k > len(words):
-                break
-            n += size[i + k - 1]
-            if n >= (LEAST_RUN_WORDS if k == RUN_SENTENCES else LONG_RUN_WORDS):
-                yield digest("\x1e".join(plain[i : i + k])), i, k
+    for i, k in sorted(set(found)):
+        yield digest("\x1e".join(plain[i : i + k])), i, k
 
 
 def run_table(docs: DataFrame) -> DataFrame:
@@ -121,7 +140,7 @@ def cut(text: str | None, found: list[dict] | None) -> tuple[str | None, int, in
         a, b = spans[i]
         if merged and merged[-1]["end"] == a:
             merged[-1]["end"] = b
-        else:
-            merged.append({"start": a, "end": b})
+        else:  # the space before stays between what is left
+            merged.append({"start": b - len(text[a:b].lstrip()), "end": b})
     keep = [0, *(x for m in merged for x in (m["start"], m["end"])), len(text)]
     return "".join(text[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)), len(spans), len(gone), merged
