@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import schema
 from ..config import DEFAULTS as P
@@ -113,7 +114,7 @@ def _energy_model():
 def s7_score_detections(f: Fixtures) -> DataFrame:
     vectors = f.table("embeddings")
     length = vectors.select(F.size("embedding")).first()[0]
-    scored = tables.score_detections(vectors, "embedding", _energy_model, "double", length)
+    scored = tables.score_detections(vectors, "embedding", _energy_model, DoubleType(), length)
     return scored.select("vec_id", F.round("prediction", 4).alias("energy"))
 
 

@@ -79,7 +79,7 @@ def write_crops(pixels: DataFrame, folder: str) -> None:
     pixels.groupBy("crop_id").applyInPandas(task, "crop_id long").count()
 
 
-def score_detections(df: DataFrame, column: str, make_model: Callable[[], Callable], kind: DataType | str, length: int, params: Params = DEFAULTS) -> DataFrame:
+def score_detections(df: DataFrame, column: str, make_model: Callable[[], Callable], kind: DataType, length: int, params: Params = DEFAULTS) -> DataFrame:
     """``df`` with ``prediction``, a model's output for ``column`` (arrays of ``length`` numbers): the model is
     made once in each worker and called with batches of rows."""
     predict = predict_batch_udf(make_model, return_type=kind, batch_size=params.detection_batch, input_tensor_shapes=[[length]])
