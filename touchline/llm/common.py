@@ -2,53 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is missing, a local session (as in tests) gets a temporary folder; on a
-    cluster that is an error, for a folder of one machine would not be seen by the others.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        base = _own_folder[0]
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    uri = files.makeQualified(path).toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, and a lost
-    executor costs only the tasks that it ran."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from ..sources.folder import dropped, shared_folder, written
 
+__all__ = ["dropped", "held_out", "open_input", "open_output", "shared_folder", "slices", "written"]
 
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2 (null counts as empty text)."""

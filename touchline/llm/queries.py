@@ -96,6 +96,11 @@ QUERIES = {
         op10_license_scan,
     )
 }
+def _templates() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, own in licenses.TEMPLATES.items() for text in own)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -124,4 +129,44 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(3 + sum(length(body) + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 15 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op5_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), places AS (
+            SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS k FROM b WHERE len(w) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s FROM places
+        ), sizes AS (
+            SELECT DISTINCT n FROM windows
+        ), starts AS (
+            SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n
+        ), found AS (
+            SELECT doc_id, p, x.n, item_id FROM (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS s FROM starts) x JOIN windows USING (n, s)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_license_scan": f"""
+        WITH t AS (
+            SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tg
+            FROM (SELECT license, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {_templates()}) v(license, text))
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents
+            UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))
+        ), words AS (
+            SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM lines
+        ), units AS (
+            SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words WHERE len(w) < 500 AND w <> ['']
+        ), found AS (
+            SELECT doc_id, line, license, 2e0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM units, t
+        ), best AS (
+            SELECT doc_id, count(DISTINCT line) AS n_matches, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM found WHERE dice >= {licenses.LEAST_DICE}e0 GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, dice FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
 }
