@@ -165,7 +165,7 @@ SELECTS: dict[str, str] = {
     "s3_s4_camera_saved": "SELECT match_id, frame_num, dx, dy FROM camera",
     "s5_frame_spine": "SELECT match_id, frame_num FROM frames",
     "s6_image_pixels": "SELECT crop_id, x, y, b, g, r FROM pixels",
-    "s7_score_detections": "SELECT vec_id, round(list_sum(list_transform(embedding, v -> CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 4) AS energy FROM embeddings",
+    "s7_score_detections": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 4) AS energy FROM embeddings",
     "p1_box_centre": f"SELECT {TRACK}, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc((y1 + y2) / 2) AS BIGINT) AS cy FROM tracks",
     "p2_box_foot": f"SELECT {TRACK}, pos_x AS fx, pos_y AS fy FROM positioned",
     "p3_box_width": f"SELECT {TRACK}, x2 - x1 AS width FROM tracks",

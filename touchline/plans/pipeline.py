@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..operators import appearance, camera, kinematics, overlay, possession, tracks
+from ..sources.folder import written
 
 
 def build_tracks(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -67,12 +69,15 @@ class Results:
     teams: DataFrame | None = field(default=None)
 
 
-def analyze_matches(inputs: Inputs, params: Params = DEFAULTS) -> Results:
+def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[DataFrame, str], DataFrame] = written) -> Results:
     """All jobs in order. Balls are filled after the positions are computed, so filled balls have none,
-    unless ``reposition_balls`` is set. Teams come from the given table, else from the crops."""
-    found = build_tracks(inputs.detections, params)
-    moved = camera_motion(inputs.frames, inputs.features, params)
-    world = to_pitch(found, moved, params)
+    unless ``reposition_balls`` is set. Teams come from the given table, else from the crops.
+
+    Tables that several jobs read go through ``stage``, which writes them to the shared folder, so that
+    they are computed once and lineage stays short.
+    """
+    moved = stage(camera_motion(inputs.frames, inputs.features, params), "camera")
+    world = stage(to_pitch(build_tracks(inputs.detections, params), moved, params), "world")
     balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"))
     if params.reposition_balls:
         balls = to_pitch(balls, moved, params)
@@ -85,9 +90,11 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS) -> Results:
     elif inputs.overrides is not None:
         player_team = appearance.overridden(player_team, inputs.overrides)
     assigned = possession.assign_ball(inputs.frames, world, balls, params)
-    by_frame = possession.running_share(possession.carried(assigned, player_team))
+    assigned = stage(assigned, "assigned")
+    by_frame = stage(possession.running_share(possession.carried(assigned, player_team)), "possession")
     rows = appearance.with_team(possession.flag_holder(sped, assigned), player_team)
     rows = appearance.with_team_colour(rows, teams) if teams is not None else rows.withColumn("team_color", F.lit(None).cast("array<double>"))
+    rows = stage(rows, "tracks")
     return Results(rows, moved, by_frame, possession.match_share(by_frame), overlay.display_list(rows, by_frame, moved), teams)
 
 
