@@ -41,10 +41,10 @@ def test_memory_of_words_is_bounded(library, monkeypatch):
     assert len(encode.memo) + len(encode.before) <= 110
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_round_trip(spark, odd_docs, library, parts):
+@pytest.mark.parametrize("parts, file_docs", [(1, 10**6), (3, 10**6), (2, 4)])
+def test_round_trip(spark, odd_docs, library, parts, file_docs):
     rows = sorted(((r["doc_id"], r["text"]) for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
-    manifest = t.write_token_files(odd_docs, PATH, parts=parts)
+    manifest = t.write_token_files(odd_docs, PATH, parts=parts, file_docs=file_docs)
     got = [tuple(r) for r in t.read_documents(manifest).orderBy("start").collect()]
     want, start = [], 0
     for d, text in rows:

@@ -35,6 +35,8 @@ SEEK_TABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 DOCUMENT_TABLE_MAGIC = 0x184D2A50
 
+FILE_IDS = 1 << 28  #: a task begins a new file once one holds so many ids
+FILE_DOCS = 1 << 20  #: or so many documents, whose table is held in memory
 FRAME_IDS = 1 << 18  #: a frame is closed once it holds so many ids
 MEMO_WORDS = 700_000  #: words whose ids a worker remembers, and as many from before
 MEMO_CHARS = 64  #: longer words are not remembered
@@ -212,15 +214,17 @@ class Reader:
         self.file.close()
 
 
-MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long"
-MANIFEST_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+MANIFEST = "part int, seq int, path string, bytes long, n_docs long, n_ids long"
+MANIFEST_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, dtype: str = "<u2", parts: int | None = None, level: int = 3, by_word: bool = True
+    docs: DataFrame, tokenizer: str, end_id: int = 1, dtype: str = "<u2", parts: int | None = None, level: int = 3, by_word: bool = True,
+    file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS,
 ) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write the ids in ascending doc_id order, a file per range of
-    ids; returns the manifest, one row per file, ``part`` ascending with doc_id.
+    ids, or several of bounded size; returns the manifest, one row per file, ``part`` and within it ``seq``
+    ascending with doc_id.
 
     Null texts count as empty (the end id alone). Null doc_ids come first; rows with the same doc_id
     follow each other by text, and equal rows are written as often as they occur. Other columns
@@ -232,18 +236,25 @@ def write_token_files(
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.asarray([end_id], dtype)
-        writer, encode, n_docs, n_ids, part = None, None, 0, 0, 0
-        uri = f"{folder}/{uuid.uuid4().hex}.ids"
+        end, encode = np.asarray([end_id], dtype), encoder(tokenizer, dtype, by_word)
+        part, seq, writer, row = TaskContext.get().partitionId(), 0, None, {}
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([row | {"bytes": writer.close()}], MANIFEST_ARROW)
+
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            if writer is None:
-                part = TaskContext.get().partitionId()
-                encode, writer = encoder(tokenizer, dtype, by_word), Writer(uri, dtype, level)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                if writer is None:
+                    row = {"part": part, "seq": seq, "path": f"{folder}/{uuid.uuid4().hex}.ids", "n_docs": 0, "n_ids": 0}
+                    writer = Writer(row["path"], dtype, level)
                 writer.add(doc_id, np.concatenate([ids, end]).tobytes())
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids) + 1
+                row["n_docs"] += 1
+                row["n_ids"] += len(ids) + 1
+                if row["n_ids"] >= file_ids or row["n_docs"] >= file_docs:
+                    yield done()
+                    writer, seq = None, seq + 1
         if writer is not None:
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "bytes": writer.close(), "n_docs": n_docs, "n_ids": n_ids}], MANIFEST_ARROW)
+            yield done()
 
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,7 +284,7 @@ def scan_files(manifest: DataFrame, schema: str, read: Callable[[Reader, int, di
 def read_documents(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from
     the files. ``start`` of a file is the sum over the files before it: one row per file is summed."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def row(reader: Reader, k: int, file: dict) -> tuple:
