@@ -40,15 +40,20 @@ def window_start(frame_num, params: Params = DEFAULTS):
 def windows(tracks: DataFrame, frames: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """match_id, object, track_id, start, last, metres and speed_kmh of every window of five frames whose
     ends are both there and on the pitch. The last window of a match is short; one of no length is
-    left out. The end of a window is the start of the next."""
+    left out. The end of a window is the start of the next.
+
+    Only frames at which a window ends or begins are kept, and a window is valid if the track's next one
+    is the window's end. That takes one shuffle by track, which the running sum over windows uses again,
+    where a join of starts with ends would take two of each. ``tracks`` has a row per track and frame."""
     moving = tracks.where(~F.col("object").isin(*params.no_speed) & F.col("world_x").isNotNull() & F.col("world_y").isNotNull())
-    spots = moving.select(*TRACK, "frame_num", "world_x", "world_y")
-    starts = spots.where(F.col("frame_num") % params.window_frames == 0).join(frame_counts(frames), "match_id")
-    starts = starts.select(*TRACK, F.col("frame_num").alias("start"), F.least(F.col("frame_num") + params.window_frames, F.col("n_frames") - 1).alias("last"), F.col("world_x").alias("sx"), F.col("world_y").alias("sy"))
-    ends = spots.select(*TRACK, F.col("frame_num").alias("last"), F.col("world_x").alias("ex"), F.col("world_y").alias("ey"))
-    both = starts.where("last > start").join(ends, [*TRACK, "last"])
-    metres = g.distance(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
-    return both.withColumn("metres", metres).select(*TRACK, "start", "last", "metres", g.kmh(F.col("metres"), F.col("last") - F.col("start"), params.frame_rate).alias("speed_kmh"))
+    begins, final = F.col("frame_num") % params.window_frames == 0, F.col("n_frames") - 1
+    edges = moving.select(*TRACK, "frame_num", "world_x", "world_y").join(frame_counts(frames), "match_id").where(begins | (F.col("frame_num") == final))
+    track = Window.partitionBy(*TRACK).orderBy("frame_num")
+    seen = edges.withColumns({"next": F.lead(F.struct("frame_num", "world_x", "world_y")).over(track), "last": F.least(F.col("frame_num") + params.window_frames, final)})
+    full = seen.where(begins & (F.col("last") > F.col("frame_num")) & (F.col("next.frame_num") == F.col("last")))
+    metres = g.distance(F.col("world_x"), F.col("world_y"), F.col("next.world_x"), F.col("next.world_y"))
+    found = full.select(*TRACK, F.col("frame_num").alias("start"), "last", metres.alias("metres"))
+    return found.withColumn("speed_kmh", g.kmh(F.col("metres"), F.col("last") - F.col("start"), params.frame_rate))
 
 
 def cumulative(window_rows: DataFrame) -> DataFrame:

@@ -72,8 +72,12 @@ def with_ordinal(detections: DataFrame) -> DataFrame:
 
 
 def build_tracks(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Tracks (:data:`touchline.schema.TRACKS`) from detections: sure ones, by object, last one of each key."""
-    return keep_last(with_object(relabelled(confident(detections, params))))
+    """Tracks (:data:`touchline.schema.TRACKS`) from detections: sure ones, by object, last one of each key.
+
+    Detections are dealt out by frame before they are reduced: hardly any repeat, so sums before the
+    shuffle would save little, and the joins by frame that follow find the tracks in place.
+    """
+    return keep_last(with_object(relabelled(confident(detections, params))).repartition(*FRAME))
 
 
 def with_position(tracks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
