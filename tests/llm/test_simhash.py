@@ -2,7 +2,6 @@ import random
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from touchline.llm import simhash as s
 from touchline.llm.components import components
@@ -93,4 +92,3 @@ def test_odd_documents(spark, odd_docs, odd_texts, no_docs):
     least = {c for c in reachable(rows)}
     assert sorted(ids, key=repr) == sorted(least, key=repr)
     assert s.near_duplicates(no_docs).collect() == [] and s.one_of_each(no_docs).collect() == []
-    assert F

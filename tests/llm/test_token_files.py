@@ -4,10 +4,9 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from touchline.llm import common, token_files as t
+from touchline.llm import token_files as t
 
 PATH = t.tokenizer_path()
 
@@ -82,7 +81,7 @@ def test_damage_is_noticed(tmp_path):
         t.Reader(uri).document(0)
 
 
-def test_fetch_decompresses_only_what_is_asked(spark, documents, texts, library, monkeypatch):
+def test_fetch_gives_what_is_asked(spark, documents, texts, library):
     manifest = t.write_token_files(documents, PATH, parts=2)
     wanted = manifest.select("path").crossJoin(spark.createDataFrame([(3,), (77,), (10**9,), (None,)], "doc_id long"))
     got = {r["doc_id"]: list(r["ids"]) for r in t.fetch(manifest, wanted).collect()}
@@ -92,4 +91,3 @@ def test_fetch_decompresses_only_what_is_asked(spark, documents, texts, library,
 def test_no_documents(no_docs):
     manifest = t.write_token_files(no_docs, PATH)
     assert manifest.count() == 0 and t.read_documents(manifest).collect() == []
-    assert common and F
