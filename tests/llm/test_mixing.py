@@ -90,3 +90,11 @@ def test_odd_documents(odd_docs, no_docs):
 def test_plan_is_native(documents):
     plan = m.sample_to_targets(documents)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_rows_that_share_an_id_have_their_own_fate(spark):
+    """A cell that is dropped takes no other cell's rows with it, though ids repeat or are null."""
+    rows = [(d, "w " * 10, "en", s) for d in (None, 4) for s in "aabbc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = m.sampled(docs, targets={"source": {"a": 1.0, "b": 1.0}}).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted((r for r in rows if r[3] != "c"), key=repr)

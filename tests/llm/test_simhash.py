@@ -92,3 +92,18 @@ def test_odd_documents(spark, odd_docs, odd_texts, no_docs):
     least = {c for c in reachable(rows)}
     assert sorted(ids, key=repr) == sorted(least, key=repr)
     assert s.near_duplicates(no_docs).collect() == [] and s.one_of_each(no_docs).collect() == []
+
+
+def test_one_row_of_each_component_where_ids_repeat(spark):
+    """Unrelated texts under no id or one id all stay, of near or exact copies one, the same each time."""
+    rng = random.Random(11)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    rows = [(None, prose[0], "a"), (None, prose[1], "a"), (None, prose[1], "b"), (None, prose[2], "a"), (None, prose[2], "a")]
+    rows += [(7, prose[3], "a"), (7, prose[4], "a"), (7, prose[4], "a"), (8, prose[5], "a"), (None, prose[5], "a"), (9, prose[5], "a"), (7, prose[5], "b"), (None, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 5):
+        kept = [tuple(r) for r in s.one_of_each(df.repartition(n)).collect()]
+        assert sorted((d or -1, t or "") for d, t, _ in kept) == sorted([(-1, ""), *((-1, prose[k]) for k in (0, 1, 2)), *((7, prose[k]) for k in (3, 4, 5))])
+        assert set(kept) <= set(rows)
+        assert n == 1 or sorted(kept, key=repr) == first
+        first = sorted(kept, key=repr)

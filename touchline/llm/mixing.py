@@ -87,13 +87,16 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def described(docs: DataFrame, topics=TOPICS) -> DataFrame:
     """doc_id, source, lang, topic and tokens of every document; null names count as an empty name."""
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        topic_of(F.coalesce("text", F.lit("")), topics).alias("topic"),
-        n_tokens(F.coalesce("text", F.lit(""))).alias("tokens"),
-    )
+    return docs.select("doc_id", *_names("", topics), n_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def _names(at: str, topics) -> list[Column]:
+    """source, lang and topic of a row or of the struct ``at``."""
+    return [
+        F.coalesce(F.col(f"{at}source").cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col(f"{at}lang").cast("string"), F.lit("")).alias("lang"),
+        topic_of(F.coalesce(f"{at}text", F.lit("")), topics).alias("topic"),
+    ]
 
 
 def sample_to_targets(
@@ -118,12 +121,7 @@ def sample_to_targets(
     an empty table.
     """
     named = common.written(described(docs, topics), "described")
-    cells = common.written(named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    fitted = rake(cells.where("tokens > 0"), targets or {})
-    fitted = common.written(fitted.withColumn("probability", _calibrated(fitted, share)), "fitted")
-    keys = [F.col(d) == F.col(f"c_{d}") for d in DIMENSIONS]
-    own = fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "factor", "probability")
-    rows = named.join(own, keys[0] & keys[1] & keys[2], "left")
+    rows = named.join(*_own_cell(fitted_cells(named, targets, share)))
     probability = F.coalesce("probability", F.lit(1.0))
     return rows.select(
         "doc_id",
@@ -135,6 +133,19 @@ def sample_to_targets(
     )
 
 
+def fitted_cells(named: DataFrame, targets: Mapping[str, Mapping[str, float] | None] | None, share: float | None) -> DataFrame:
+    """Factor and probability of every cell of ``named`` (as of :func:`described`) that has tokens."""
+    cells = common.written(named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    fitted = rake(cells.where("tokens > 0"), targets or {})
+    return common.written(fitted.withColumn("probability", _calibrated(fitted, share)), "fitted")
+
+
+def _own_cell(fitted: DataFrame) -> tuple[DataFrame, Column, str]:
+    """What joins its cell to a row with the columns DIMENSIONS."""
+    keys = [F.col(d) == F.col(f"c_{d}") for d in DIMENSIONS]
+    return fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "factor", "probability"), keys[0] & keys[1] & keys[2], "left"
+
+
 def _calibrated(cells: DataFrame, share: float | None) -> Column:
     """The probability of a cell's documents: factor times a scale, 1 at most. The scale is a number found
     by a few sums over the cells."""
@@ -152,8 +163,16 @@ def _calibrated(cells: DataFrame, share: float | None) -> Column:
     return F.least(F.lit(1.0), F.col("factor") * F.lit(scale))
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept; all columns, unchanged."""
-    fate = sample_to_targets(docs.select("doc_id", "text", "lang", "source"), **options)
-    gone = fate.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def sampled(
+    docs: DataFrame,
+    targets: Mapping[str, Mapping[str, float] | None] | None = None,
+    share: float | None = None,
+    seed: int = 7,
+    topics=TOPICS,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`sample_to_targets` keeps; all columns, unchanged. Each row has its
+    own fate, by its cell and id."""
+    named = common.written(described(docs, topics), "described")
+    fitted = fitted_cells(named, targets, share)
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), *_names("row.", topics))
+    return rows.join(*_own_cell(fitted)).where(uniform(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(1.0))).select("row.*")

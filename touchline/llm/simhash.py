@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,6 +17,7 @@ SEED = 42  # of XXH64 (fixed value)
 MAX_BITS = 2
 MIN_SHARED_BYTES = 8 - MAX_BITS  # of eight: each differing bit spoils one at most
 CROWDED = 32  #: posting lists of more fingerprints are searched by their neighbourhoods instead
+KEY = ["doc_id", "text_hash", "row_hash"]  #: of a row, so far as :func:`one_of_each` tells rows apart
 
 
 def fingerprint(text: str | None, words_each: int = 3) -> int:
@@ -37,15 +38,17 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row of ``docs(doc_id, text)``; a null text has no words: fp zero."""
+def fingerprints(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp and ``others`` (columns of longs) of every row of ``docs(doc_id, text, ...)``; a null
+    text has no words: fp zero."""
+    names = ["doc_id", *others]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, "text").mapInArrow(scan, ", ".join(f"{x} long" for x in [*names, "fp"]))
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -88,6 +91,14 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.select("a", "b").unionByName(ties).distinct()
 
 
+def rooted_classes(found: DataFrame, least: Column) -> DataFrame:
+    """fp, root of its component and the least ``least`` of its rows, for every distinct fp of ``found``."""
+    classes = common.written(found.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    roots = components(links(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return common.written(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of every row of ``docs``.
 
@@ -96,27 +107,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the component's smallest, null if all are. Rows that repeat a doc_id keep a row each. An empty
     table gives an empty table; other columns are ignored.
     """
-    found = common.written(fingerprints(docs), "fingerprints")
-    classes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = common.written(rooted, "rooted")
+    found = common.written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    rooted = rooted_classes(found, F.col("doc_id"))
     least = common.written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = common.written(rooted.join(least, "root").select("fp", "component_id"), "class-components")
     return found.join(named, "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; all columns, unchanged.
+    """One row of ``docs`` for each component, that with its smallest doc_id; all columns, unchanged.
 
-    Of rows that share that doc_id one stays. Rows with a null doc_id stay only where
-    their whole component has none.
+    A component's rows that share that doc_id are told apart by hashes of the text and of the whole
+    row, of which the smallest stays. A row with a null doc_id stays only where its whole component
+    has none, one for each such component.
     """
-    kept = common.written(near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return first_of_each(rows)
-
-
-def first_of_each(rows: DataFrame) -> DataFrame:
-    repeated = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__kept"))
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id"])
+    own = F.col("row.doc_id").cast("long").alias("doc_id")
+    hashes = [F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("text_hash"), F.xxhash64("row").alias("row_hash")]
+    rows = docs.select(F.struct("*").alias("row")).select("row", own, *hashes)
+    found = common.written(fingerprints(rows.select("doc_id", F.col("row.text").alias("text"), "text_hash", "row_hash"), KEY[1:]), "fingerprints")
+    rooted = rooted_classes(found, F.struct(F.col("doc_id").isNull().alias("nameless"), *KEY))
+    kept = common.written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{x}").alias(f"kept_{x}") for x in KEY]), "kept")
+    same = [F.col(x).eqNullSafe(F.col(f"kept_{x}")) for x in KEY]
+    same = same[0] & same[1] & same[2]
+    alike = found.groupBy(*KEY).count().where("count > 1")
+    alike = common.written(kept.join(alike, same, "left_semi"), "alike")
+    if alike.isEmpty():
+        return rows.join(kept, same, "left_semi").select("row.*")
+    alone = kept.join(alike.select(*[F.col(f"kept_{x}").alias(x) for x in KEY]), same, "left_anti")
+    once = rows.join(alike, same, "left_semi").dropDuplicates(KEY)
+    return rows.join(common.written(alone, "alone"), same, "left_semi").unionByName(once).select("row.*")
