@@ -98,3 +98,17 @@ def test_rows_that_share_an_id_have_their_own_fate(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = m.sampled(docs, targets={"source": {"a": 1.0, "b": 1.0}}).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted((r for r in rows if r[3] != "c"), key=repr)
+
+
+def test_an_odd_document_does_not_shrink_the_sample(spark):
+    """One document with a source and language of its own; the kept share stays, and so do the targets."""
+    many = [("a", "x", "p", 600_000), ("a", "y", "p", 150_000), ("b", "x", "q", 100_000), ("b", "y", "p", 100_000), ("c", "y", "q", 50_000)]
+    share = []
+    for cells in (many, [*many, ("odd", "odd", "p", 1)]):
+        fitted = m.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), {})
+        rows = fitted.withColumn("probability", m._calibrated(fitted, None)).collect()
+        kept, mass = sum(r["tokens"] * r["probability"] for r in rows), sum(r["tokens"] * r["factor"] for r in rows)
+        scale = max(r["probability"] / r["factor"] for r in rows)
+        assert kept == pytest.approx((1 - m.SHORTFALL) * scale * mass, rel=1e-6)
+        share.append(kept / sum(r["tokens"] for r in rows))
+    assert share[1] == pytest.approx(share[0], rel=0.02)

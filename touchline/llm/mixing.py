@@ -13,6 +13,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.9  #: default target share: in proportion to the token share to this power
 ROUNDS = 12  #: of fitting, at most
 TOLERANCE = 1e-4  #: of the largest margin's relative error, to stop
+SHORTFALL = 0.01  #: share of the target tokens that cells kept whole may lack; it sets the size of a sample without a ``share``
 
 #: Topics by marks of the text; the first that fits counts. A parameter of :func:`sample_to_targets`.
 TOPICS = (
@@ -110,10 +111,11 @@ def sample_to_targets(
     ``docs(doc_id, text, lang, source)``.
 
     ``targets`` gives token shares by dimension (missing: the corpus's own shares to the power TEMPER).
-    ``weight`` is the raked factor of the document's cell. Probabilities are in proportion to it: with
-    no ``share`` the largest weight is kept for certain, so that as much is kept as the targets allow;
-    with one, the expected tokens are that share of all, where weights that reach certainty stay there
-    and the others make up for it. A document is kept if a hash of its id falls below its probability:
+    ``weight`` is the raked factor of the document's cell. Probabilities are in proportion to it, 1 at
+    most. With no ``share`` the sample is the largest of which cells kept whole lack SHORTFALL of the
+    tokens, so that a scarce cell counts by its tokens and can't shrink the sample. With one, the
+    expected tokens are that share of all, where weights that reach certainty stay there and the
+    others make up for it. A document is kept if a hash of its id falls below its probability:
     rows that repeat an id have the same fate if they lie in the same cell.
 
     Null texts have no tokens. Null names are a value of their own; a null doc_id is hashed like an id.
@@ -149,8 +151,7 @@ def _own_cell(fitted: DataFrame) -> tuple[DataFrame, Column, str]:
 def _calibrated(cells: DataFrame, share: float | None) -> Column:
     """The probability of a cell's documents: factor times a scale, 1 at most. The scale is a number found
     by a few sums over the cells."""
-    top = cells.agg(F.max("factor")).first()[0] or 1.0
-    scale = 1 / top
+    scale = _largest_scale(cells)
     if share is not None:
         total = cells.agg(F.sum("tokens")).first()[0] or 0
         for _ in range(30):
@@ -163,6 +164,29 @@ def _calibrated(cells: DataFrame, share: float | None) -> Column:
     return F.least(F.lit(1.0), F.col("factor") * F.lit(scale))
 
 
+def _largest_scale(cells: DataFrame, shortfall: float = SHORTFALL) -> float:
+    """The largest scale at which the expected tokens are 1 - ``shortfall`` of tokens times factor times
+    scale, or more.
+
+    Expected tokens are a concave function of the scale, made of straight pieces, and Newton's steps
+    from above meet the goal after as many pieces as they pass.
+    """
+    sums = cells.agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("factor")).alias("mass")).first()
+    if not sums["mass"]:
+        return 1.0
+    goal = (1 - shortfall) * sums["mass"]
+    scale = sums["tokens"] / goal
+    while True:
+        whole = F.col("factor") * scale >= 1
+        now = cells.agg(F.sum(F.when(whole, F.col("tokens"))).alias("whole"), F.sum(F.when(~whole, F.col("tokens") * F.col("factor"))).alias("rest")).first()
+        if not now["whole"] or goal <= (now["rest"] or 0):
+            return scale
+        lower = now["whole"] / (goal - (now["rest"] or 0))
+        if lower >= scale * (1 - 1e-9):
+            return scale
+        scale = lower
+
+
 def sampled(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float] | None] | None = None,
