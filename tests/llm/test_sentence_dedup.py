@@ -60,3 +60,21 @@ def test_odd_texts(odd_docs, odd_texts, no_docs):
     assert [r["n_removed"] for r in got if r["doc_id"] == 5] == [0, 0]  # rows that share an id are one document
     assert [r["n_removed"] > 0 for r in got if r["doc_id"] == 6] == [True]
     assert s.cut_sentences(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("mark", ["。", "！", "？", "।", "؟", "。」"])
+def test_scripts_without_spaces_or_with_other_marks(mark):
+    """Eight short sentences without spaces have runs, whose words are their characters."""
+    text = "".join(chr(0x4E00 + 97 * k) * 3 + "学习数据集很重要" + mark for k in range(8))
+    assert len(s.sentences(text)) == 8 + (mark == "。」")
+    assert {j for _, i, k in s.runs(text) for j in range(i, i + k)} >= set(range(8))
+    assert s.n_words("深度 learning 是") == 4 and s.n_words("naïve café") == 2
+
+
+def test_copies_in_chinese_and_under_null_ids(spark, passage):
+    chinese = "".join(f"第{chr(0x4E00 + 97 * k)}句说明数据清洗的一个步骤。" for k in range(8))
+    docs = [(1, chinese), (2, chinese), (None, passage), (None, passage), (None, passage), (None, "A start. " + passage), (None, "Quite another text. It has no copy. None at all in any other row here.")]
+    got = s.cut_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"]} == {1: 0, 2: 8}
+    left = " ".join(r["text"] for r in got if r["doc_id"] is None)
+    assert len(got) == len(docs) and left.count("word3 and word4.") == 1 and left.count("Quite another") == 1

@@ -17,8 +17,14 @@ RUN_SENTENCES = 3  #: a run has so many sentences,
 LONG_RUN_WORDS = 50  #: or fewer that hold so many words
 LEAST_RUN_WORDS = 10  #: runs of fewer words are no evidence of copying: they grow
 
-#: A sentence ends after closing marks or at a line's end.
-SENTENCE = re.compile(r"[^\n.!?。]*(?:[.!?。]+|\n|\Z)")
+#: A sentence ends after closing marks (of any script) or at a line's end.
+MARKS = ".!?。！？．｡।॥؟۔։።፧။៕"
+SENTENCE = re.compile(rf"[^\n{MARKS}]*(?:[{MARKS}]+|\n|\Z)")
+
+#: Characters of scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han): each counts as a word.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+IS_UNSPACED = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 
 RUNS = "hash binary, doc_id long, text_hash long, first_sentence int, n_sentences int, again boolean"
 _RUNS = pa.schema([("hash", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first_sentence", pa.int32()), ("n_sentences", pa.int32()), ("again", pa.bool_())])
@@ -39,6 +45,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def n_words(sentence: str) -> int:
+    """Words between white space; in scripts that have none between words, each character."""
+    return len(sentence.split()) if sentence.isascii() or not IS_UNSPACED.search(sentence) else len(WORD.findall(sentence))
+
+
 def runs(text: str) -> Iterator[tuple[bytes, int, int]]:
     """Hash, first sentence and number of sentences of each run. White space and letter case don't count.
 
@@ -46,9 +57,9 @@ def runs(text: str) -> Iterator[tuple[bytes, int, int]]:
     that do, and the fewest up to a sentence. One or two sentences are a run if they hold fifty words.
     So a passage of three sentences and ten words, or of fifty words, is covered by runs within it.
     """
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    plain, upto = ["\x1f".join(x) for x in words], [0, *accumulate(map(len, words))]
-    n, found = len(words), []
+    own = [text[a:b] for a, b in sentences(text)]
+    plain, upto = ["\x1f".join(x.lower().split()) for x in own], [0, *accumulate(map(n_words, own))]
+    n, found = len(own), []
     for i in range(n):
         for k in range(1, min(RUN_SENTENCES, n - i + 1)):
             if upto[i + k] - upto[i] >= LONG_RUN_WORDS:
@@ -93,43 +104,62 @@ def run_table(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and the sentences' numbers of every document with a run that isn't the corpus's
-    first: the first is the one of the smallest doc_id, and there the earliest.
+    first: the first is the one of the smallest doc_id, and there the earliest. Rows with a null doc_id
+    come last, a document for each text, in order of the texts' hashes.
 
     Counts by hash are combined before they move. The runs of hashes that occur more than once are
     joined from a written table, whose large partitions Spark splits if a hash is very frequent.
     """
     table = common.written(run_table(docs), "runs")
-    counts = table.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_doc"))
-    often = common.written(counts.where("n > 1").select("hash", "first_doc"), "repeated-runs")
-    later = table.join(often, "hash").where((F.coalesce("doc_id", F.lit(2**63 - 1)) != F.col("first_doc")) | F.col("again"))
+    nameless = F.col("doc_id").isNull()
+    counts = table.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(F.when(nameless, F.col("text_hash"))).alias("first_text"))
+    often = common.written(counts.where("n > 1").select("hash", "first_doc", "first_text"), "repeated-runs")
+    earlier = F.when(nameless, F.col("first_doc").isNotNull() | (F.col("text_hash") != F.col("first_text"))).otherwise(F.col("doc_id") != F.col("first_doc"))
+    later = table.join(often, "hash").where(earlier | F.col("again"))
     covered = later.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_sentence", "n_sentences")).alias("found"))
     return covered
 
 
+def _with_copies(named: DataFrame) -> DataFrame:
+    """``named(doc_id, text, text_hash)`` with ``copy``: whether a row with a null doc_id repeats the text of
+    another such row. One of them, by the numbers of the rows as written, is no copy."""
+    nameless = named.where("doc_id is null")
+    if nameless.isEmpty():
+        return named.withColumn("copy", F.lit(False))
+    rows = common.written(nameless.withColumn("row_number", F.monotonically_increasing_id()), "nameless")
+    first = common.written(rows.groupBy("text_hash").agg(F.min("row_number").alias("first")).select("first"), "nameless-firsts")
+    marked = rows.join(first, F.col("row_number") == F.col("first"), "left").select("doc_id", "text", "text_hash", F.col("first").isNull().alias("copy"))
+    return named.where("doc_id is not null").withColumn("copy", F.lit(False)).unionByName(marked)
+
+
 def cut_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, text (without the sentences removed), n_sentences, n_removed and removed_spans (characters,
     merged) of every row of ``docs(doc_id, text)``.
 
     A sentence goes if any run that covers it has occurred before, in a document of smaller doc_id or
     earlier in its own. Null and empty texts have no sentences (a null text stays null). Rows that share
-    a doc_id count as one document: what it has first stays in each of them. Null doc_ids come last and
-    count as one document too. Other columns are ignored; an empty table gives an empty table.
+    a doc_id count as one document: what it has first stays in each of them. Rows with a null doc_id come
+    last and are a document each; all but one of those with equal texts are later copies. Other columns are ignored; an empty table gives an empty table.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     found = common.written(repeated_runs(docs), "covered").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found")
-    rows = named.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", "found")
+    rows = _with_copies(named).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", "found", "copy")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = {"doc_id": pa.int64(), "text": pa.string(), "n_sentences": pa.int64(), "n_removed": pa.int64(), "removed_spans": span}
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            out = [cut(*x) for x in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            out = [cut(text, every_run(text) if copy else found) for text, found, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "found", "copy")), strict=True)]
             columns = [batch.column("doc_id"), *(pa.array(list(x), kinds[n]) for n, x in zip(list(kinds)[1:], zip(*out, strict=True), strict=True))]
             yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
     return rows.mapInArrow(task, "doc_id long, text string, n_sentences long, n_removed long, removed_spans array<struct<start:int,end:int>>")
 
 
+def every_run(text: str | None) -> list[dict]:
+    return [{"first_sentence": i, "n_sentences": k} for _, i, k in runs(text or "")]
+
+
 def cut(text: str | None, found: list[dict] | None) -> tuple[str | None, int, int, list[dict]]:
     spans = sentences(text or "")
     gone = sorted({i for x in found or [] for i in range(x["first_sentence"], x["first_sentence"] + x["n_sentences"])})
