@@ -88,3 +88,37 @@ def test_stage_drops_the_contaminated(spark, documents):
 def test_empty_tables(bench, odd_docs, no_docs):
     assert d.find_passages(no_docs, bench[0]).collect() == []
     assert all(r["n_hit"] == 0 for r in d.find_passages(odd_docs, bench[0].limit(0)).collect())
+
+
+def test_all_words_are_indexed(texts):
+    """Every word of a shard lies in a stretch; very long texts get several indexes."""
+    words = [d.words_of(t) for t in texts.values()][:120]
+    shard = d.Shard(words)
+    placed = [(index, place) for index, place in shard.indexes()]
+    assert len(placed) == 1 and set(placed[0][1].tolist()) == set(range(sum(map(len, words))))
+    assert placed[0][0].n - len(shard.stretches()[0]) >= sum(map(len, words))
+
+
+def test_long_text_is_indexed_in_parts(monkeypatch):
+    monkeypatch.setattr(d, "INDEX_WORDS", 300)
+    rng = random.Random(8)
+    words = [b"w%d" % rng.randrange(40) for _ in range(2000)]
+    phrases = d.Phrases({tuple(words[k : k + 13]): {k} for k in range(0, 1988)} | {(b"w1", b"w2"): {"x"}, (b"none", b"w1"): {"y"}})
+    hit, items = d.Shard([[], words, words[5:25]]).search(lambda: [phrases])
+    pair = {k for k in range(1999) if words[k : k + 2] == [b"w1", b"w2"]}
+    assert hit.all() and items[0] == set() and items[1] == set(range(1988)) | ({"x"} if pair else set())
+    assert items[2] - {"x"} == set(range(5, 13))
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "two three"), ("b", "Four!"), (None, "five")], "item_id string, text string")
+    assert sorted((r["doc_id"], r["items"]) for r in d.find_passages(docs, bench).collect()) == [(1, ["a"]), (2, ["b"])]
+
+
+def test_copies_sort_in_few_rounds():
+    """Many copies of a long text; positions come back in order of suffixes."""
+    text = np.concatenate([np.append(np.arange(1, 400) % 37 + 1, 0)] * 6)
+    order = suffix_array(text)
+    ranked = [tuple((v, -1) if v else (0, p) for p, v in enumerate(text[i : i + 401], i)) for i in order]
+    assert ranked == sorted(ranked)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .fm_index import FMIndex
 
 WINDOW = 13  # words (fixed value)
 BLOCK_WINDOWS = 200_000  #: phrases that a task holds at once; a larger benchmark is searched in blocks
-SHARD_BYTES = 8 << 20  #: text per index
+SHARD_BYTES = 8 << 20  #: text per shard
+STRETCH = 128  #: words of a text that are indexed in a row
+INDEX_WORDS = 4 << 20  #: of an index; a longer text gets several
 
 #: ASCII bytes: letters to lower case, digits as they are, all others to spaces.
 WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -29,15 +35,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of some items, as numbers: 0 is any word that is in none of them."""
+    """Distinct windows of some items, as numbers of the windows' own vocabulary; 0 fills up short ones."""
 
     def __init__(self, windows: dict[tuple[bytes, ...], set]):
-        self.codes = {w: k for k, w in enumerate({w for x in windows for w in x}, 1)}
+        codes = {w: k for k, w in enumerate(sorted({w for x in windows for w in x}), 1)}
+        self.vocabulary = list(codes)
         self.length = np.array([len(x) for x in windows], np.int64)
         self.words = np.zeros((len(windows), WINDOW), np.int64)
         for k, x in enumerate(windows):
-            self.words[k, WINDOW - len(x) :] = [self.codes[w] for w in x]
-        self.items = sorted({i for x in windows.values() for i in x}, key=lambda i: (i is None, i or 0))
+            self.words[k, WINDOW - len(x) :] = [codes[w] for w in x]
+        self.items = list(dict.fromkeys(i for x in windows.values() for i in x))
         at = {i: k for k, i in enumerate(self.items)}
         owned = [sorted(at[i] for i in x) for x in windows.values()]
         self.owners = np.array([i for x in owned for i in x], np.int64)
@@ -45,24 +52,31 @@ class Phrases:
 
 
 def write_phrases(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> list[str]:
-    """Files in the shared folder, each with the windows of some items; the driver holds one block."""
-    folder, files, windows = common.shared_folder(benchmark.sparkSession, "phrases"), [], {}
-
-    def close() -> None:
-        with common.open_output(f"{folder}/{len(files)}.pickle") as out:
-            out.write(pickle.dumps(Phrases(windows)))
-        files.append(f"{folder}/{len(files)}.pickle")
-        windows.clear()
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        for k in range(max(len(words) - WINDOW + 1, bool(words))):
-            windows.setdefault(tuple(words[k : k + WINDOW]), set()).add(row["item_id"])
-            if len(windows) >= block_windows:
-                close()
-    if windows:
-        close()
-    return files
+    """Files in the shared folder, each with the windows of some items. Tasks make and write them; the
+    driver gets their names. A window that items of several files have is in each of these."""
+    folder = common.shared_folder(benchmark.sparkSession, "phrases")
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[tuple[bytes, ...], set] = {}
+
+        def close() -> pa.RecordBatch:
+            file = f"{folder}/{uuid.uuid4().hex}.pickle"
+            with common.open_output(file) as out:
+                out.write(pickle.dumps(Phrases(windows)))
+            windows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([file])], ["file"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for k in range(max(len(words) - WINDOW + 1, bool(words))):
+                    windows.setdefault(tuple(words[k : k + WINDOW]), set()).add(item)
+                    if len(windows) >= block_windows:
+                        yield close()
+        if windows:
+            yield close()
+
+    return sorted(r["file"] for r in benchmark.select("item_id", "text").mapInArrow(task, "file string").collect())
 
 
 _loaded: dict[str, Phrases] = {}
@@ -77,45 +91,59 @@ def load(file: str) -> Phrases:
     return _loaded[file]
 
 
-def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of a shard (its documents in a row) lie in an occurrence of a window, and the
-    pairs (document, item) with an occurrence, as rows.
-
-    Words of no window are separators, and stretches too short for the shortest window are left out:
-    no window can occur there. The rest is indexed.
-    """
-    sizes = np.array([len(x) for x in docs], np.int64)
-    code = phrases.codes.get
-    coded = np.fromiter((code(w, 0) for x in docs for w in x), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    known = coded > 0
-    edge = np.ones(len(coded) + 1, bool)
-    edge[1:-1] = (known[1:] != known[:-1]) | (owner[1:] != owner[:-1])
-    start = np.flatnonzero(edge)
-    size = np.diff(start)
-    keep = known[start[:-1]] & (size >= phrases.length.min()) if len(size) else np.zeros(0, bool)
-    start, size = start[:-1][keep], size[keep]
-    hit = np.zeros(len(coded), bool)
-    if not len(size):
-        return hit, np.empty((0, 2), np.int64)
-    place = np.repeat(start - (np.cumsum(size + 1) - size - 1), size + 1) + np.arange(int(size.sum()) + len(size))
-    ends = np.cumsum(size + 1) - 1
-    text = coded[np.minimum(place, len(coded) - 1)]
-    text[ends] = 0
-    index = FMIndex(text, len(phrases.codes) + 1)
-    low, high = index.search(phrases.words, phrases.length)
-    n = high - low
-    n[n < 0] = 0
-    window = np.repeat(np.arange(len(n)), n)
-    at = index.locate(np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-    change = np.zeros(len(text) + 1, np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + phrases.length[window], -1)
-    hit[place[:-1][np.cumsum(change)[: len(text) - 1] > 0]] = True
-    each = phrases.owned[window + 1] - phrases.owned[window]
-    items = phrases.owners[np.repeat(phrases.owned[window] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-    pairs = np.stack([np.repeat(owner[place[at]], each), items], axis=1)
-    return hit, np.unique(pairs, axis=0)
+class Shard:
+    """The words of some documents in a row, as numbers from 1 of the shard's own vocabulary."""
+
+    def __init__(self, docs: list[list[bytes]]):
+        self.borders = np.cumsum([0, *map(len, docs)])
+        coded = pa.array(chain.from_iterable(docs), pa.large_binary()).dictionary_encode()
+        self.words, self.vocabulary = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the stretches begin that the texts are indexed in, and how many words each has: STRETCH, and
+        as many of the next one's as a window can reach into. Their length bounds how far suffixes can be
+        equal, whatever copies a shard holds, and so the rounds of sorting them."""
+        size = np.diff(self.borders)
+        each = np.where(size > 0, np.maximum(1, -(-(size - WINDOW + 1) // STRETCH)), 0)
+        number = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        start = np.repeat(self.borders[:-1], each) + number * STRETCH
+        return start, np.minimum(STRETCH + WINDOW - 1, np.repeat(self.borders[1:], each) - start)
+
+    def indexes(self) -> Iterator[tuple[FMIndex, np.ndarray]]:
+        """An index of all stretches, with the number of the word at each place of its text; several only if
+        the shard is one very long text."""
+        start, size = self.stretches()
+        upto = np.concatenate([[0], np.cumsum(size + 1)])
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + INDEX_WORDS, side="right")) - 1)
+            own, ends = size[a:b], upto[a + 1 : b + 1] - upto[a] - 1
+            place = np.repeat(start[a:b] - (ends - own), own + 1) + np.arange(int(ends[-1]) + 1)
+            place[ends] -= 1
+            text = self.words[place]
+            text[ends] = 0
+            yield FMIndex(text, len(self.vocabulary) + 1), place
+            a = b
+
+    def search(self, blocks: Callable[[], Iterable[Phrases]]) -> tuple[np.ndarray, list[set]]:
+        """Which words lie in an occurrence of a window, and the items with an occurrence, by document."""
+        hit, items = np.zeros(len(self.words), bool), [set() for _ in self.borders[1:]]
+        for index, place in self.indexes():
+            for phrases in blocks():
+                own = pc.index_in(pa.array(phrases.vocabulary, pa.large_binary()), value_set=self.vocabulary)
+                code = np.concatenate([[0], pc.fill_null(own, -2).to_numpy().astype(np.int64) + 1])  # words that the shard lacks: -1
+                low, high = index.search(code[phrases.words], phrases.length)
+                n = np.maximum(high - low, 0)
+                window = np.repeat(np.arange(len(n)), n)
+                at = index.locate(np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                change = np.zeros(len(place) + 1, np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + phrases.length[window], -1)
+                hit[place[np.cumsum(change)[:-1] > 0]] = True
+                doc = np.searchsorted(self.borders, place[at], side="right") - 1
+                for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
+                    items[d].update(phrases.items[i] for i in phrases.owners[phrases.owned[w] : phrases.owned[w + 1]])
+        return hit, items
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[dict]:
@@ -138,15 +166,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, schema, emit: Callable[[pa.Recor
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in common.slices(whole, "text", SHARD_BYTES)):
             texts = batch.column("text").to_pylist()
-            words = [words_of(x) for x in texts]
-            borders = np.cumsum([0, *map(len, words)])
-            hit, items = np.zeros(int(borders[-1]), bool), [set() for _ in words]
-            for file in files:
-                phrases = load(file)
-                found, pairs = search(words, phrases)
-                hit |= found
-                for k, i in pairs.tolist():
-                    items[k].add(phrases.items[i])
+            shard = Shard([words_of(x) for x in texts])
+            borders = shard.borders
+            hit, items = shard.search(lambda: map(load, files))
             rows = []
             for k, text in enumerate(texts):
                 own = hit[borders[k] : borders[k + 1]]
@@ -163,18 +185,19 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, neither as documents nor as items; an item of fewer than
     thirteen words is one window. Repeated item_ids are one item; a null item_id is an item like
-    any other. Repeated documents get a row each. Empty tables: no rows, or no hits.
+    any other; ids may be of any type. Repeated documents get a row each. Empty tables: no rows, or no hits.
     """
+    kind = benchmark.schema["item_id"].dataType
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def emit(batch: pa.RecordBatch, rows: list[dict]) -> pa.RecordBatch:
         column = lambda name, kind: pa.array([x[name] for x in rows], kind)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), column("n_words", pa.int64()), column("n_hit", pa.int64()), column("items", pa.list_(pa.int64())), column("spans", span)],
+            [batch.column("doc_id"), column("n_words", pa.int64()), column("n_hit", pa.int64()), column("items", pa.list_(to_arrow_type(kind))), column("spans", span)],
             ["doc_id", "n_words", "n_hit", "items", "spans"],
         )
 
-    schema = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
+    schema = f"doc_id long, n_words long, n_hit long, items array<{kind.simpleString()}>, spans array<struct<start:int,end:int>>"
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, schema, emit)
 
 
@@ -184,7 +207,8 @@ def contaminated(n_words, n_hit):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; all columns, unchanged."""
+    """The rows of ``docs`` that aren't contaminated; all columns, unchanged. Rows are judged one by one, so
+    repeated rows and ids share their fate; null and empty texts stay; an empty table stays empty."""
 
     def emit(batch: pa.RecordBatch, rows: list[dict]) -> pa.RecordBatch:
         return batch.filter(pa.array([not contaminated(x["n_words"], x["n_hit"]) for x in rows], pa.bool_()))

@@ -29,10 +29,11 @@ class WaveletTree:
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.levels: list[tuple[int, Bits, int]] = []
+        symbols = symbols.astype(np.int32)
         for shift in range(max(1, int(n_symbols - 1).bit_length()) - 1, -1, -1):
-            bit = (symbols >> shift) & 1
+            bit = ((symbols >> shift) & 1).astype(bool)
             self.levels.append((shift, Bits(bit), int(len(bit) - bit.sum())))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
         self.first = self._down(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
 
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -57,21 +58,42 @@ class WaveletTree:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes. Zeros end the stretches of the text: each is smaller than all other
-    symbols and than the zeros after it. Prefixes double until all suffixes differ."""
+    symbols and than the zeros after it.
+
+    The first order is by as many symbols as fit into a key. Then prefixes double, and only suffixes
+    that aren't told apart yet are sorted again, within their group. A stretch of n symbols takes
+    about log2(n) rounds.
+    """
+    n = len(text)
     zero = text == 0
     n_zeros = int(zero.sum())
-    rank = np.where(zero, np.cumsum(zero) - 1, n_zeros - 1 + text.astype(np.int64))
-    width = 1
+    symbol = np.where(zero, np.cumsum(zero) - 1, n_zeros - 1 + text.astype(np.int64))
+    bits = max(1, int(symbol.max()).bit_length())
+    width = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: max(0, n - k)] |= symbol[k:]
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = np.diff(key[order]) != 0
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group has the place of its first
     while True:
-        follow = np.zeros_like(rank)
-        follow[: len(rank) - width] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        new = np.empty_like(rank)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if new[order[-1]] == len(text) - 1:
+        alone = new & np.append(new[1:], True)
+        at = np.flatnonzero(~alone)  # places of suffixes in groups of several
+        if not len(at):
             return order
-        rank, width = new, 2 * width
+        own = order[at]
+        group, follow = rank[own], rank[np.minimum(own + width, n - 1)]  # no group reaches beyond its zero
+        dense = np.cumsum(np.append(0, np.diff(group) != 0))
+        again = np.argsort(dense * n + follow)
+        order[at] = own = own[again]
+        group, follow = group[again], follow[again]
+        fresh = np.append(True, (np.diff(group) != 0) | (np.diff(follow) != 0))
+        new[at] = fresh
+        rank[own] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        width *= 2
 
 
 class FMIndex:
@@ -89,8 +111,10 @@ class FMIndex:
         self.sampled, self.positions = Bits(sampled.astype(np.uint8)), order[sampled]
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges [low, high) of suffixes that begin with each phrase; phrases end in the last column."""
+        """Ranges [low, high) of suffixes that begin with each phrase; phrases end in the last column. A
+        phrase with a negative symbol has none."""
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
+        high[(phrases < 0).any(axis=1)] = 0
         width = phrases.shape[1]
         for column in range(width - 1, -1, -1):
             on = np.flatnonzero((high > low) & (lengths >= width - column))
