@@ -225,3 +225,79 @@ def test_interpolation_of_random_matches(spark):
     got = {(r["match_id"], r["frame_num"]): r["y2"] for r in kinematics.interpolate_ball(frames, balls).collect()}
     for m, x in enumerate(matches):
         assert [got[m, i] for i in range(len(x))] == pytest.approx(interpolated(x))
+
+
+def test_a_long_match_is_filled_in_one_pass(spark, frames):
+    """A match of 200,000 frames with a ball in every fifth; each step forward or back is one frame."""
+    spine = spark.range(200_000).selectExpr("CAST(0 AS BIGINT) AS match_id", "id AS frame_num")
+    balls = spine.where("frame_num % 5 = 2").selectExpr("match_id", "frame_num", *[f"CAST(frame_num + {k} AS DOUBLE) AS {c}" for k, c in enumerate(schema.BOX)])
+    found = kinematics.interpolate_ball(spine, balls)
+    expected = F.least(F.greatest("frame_num", F.lit(2)), F.lit(199_997))
+    assert found.count() == 200_000 and found.where(F.abs(F.col("x1") - expected) > 1e-6).isEmpty()
+    assert found.where(F.abs(F.col("y2") - expected - 3) > 1e-6).isEmpty()
+
+
+def test_boxes_are_cut_as_arrays_are_sliced(spark):
+    import numpy as np
+
+    image = np.arange(8 * 9).reshape(8, 9)
+    boxes = [(0, 1.9, 2.2, 5.1, 7.9), (1, 0.0, 0.0, 9.0, 8.0), (2, 3.0, 3.0, 40.0, 50.0), (3, 4.0, 4.0, 4.9, 4.9), (4, -2.5, -0.5, 3.0, 5.0)]
+    pixels = [(c, x, y, int(image[y, x]), 0, 0, x1, y1, x2, y2) for c, x1, y1, x2, y2 in boxes for y in range(8) for x in range(9)]
+    kind = "crop_id long, x long, y long, b long, g long, r long, x1 double, y1 double, x2 double, y2 double"
+    top = appearance.top_half(appearance.cut_boxes(spark.createDataFrame(pixels, kind)))
+    want = []
+    for c, x1, y1, x2, y2 in boxes:
+        crop = image[max(0, int(y1)) : int(y2), max(0, int(x1)) : int(x2)]
+        crop = crop[: crop.shape[0] // 2]
+        want += [(c, x, y, int(crop[y, x])) for y in range(crop.shape[0]) for x in range(crop.shape[1])]
+    assert rows(top, "crop_id", "x", "y", "b") == sorted(want, key=repr)
+
+
+def test_two_means_takes_the_best_start_and_never_stops_early(spark):
+    """By brightness alone the rounds settle in a poor pair; the start along g finds the better one."""
+    points = [(0, 0, 100, 0), (0, 0, 102, 0), (0, 50, 0, 60), (0, 52, 0, 60)] + [(0, 10 * k, 51, 55 - 10 * k) for k in range(6)]
+    table = spark.createDataFrame(points, "crop_id long, b long, g long, r long")
+    best = appearance.two_means(table, "crop_id").first()
+
+    def cost(two):
+        return sum(min(sum((p[1 + i] - c[i]) ** 2 for i in range(3)) for c in two) for p in points)
+
+    found = cost([[best[f"c{k}_{c}"] for c in "bgr"] for k in (0, 1)])
+    plain = []
+    for key in (lambda p: p[1] + p[2] + p[3], lambda p: p[1], lambda p: p[2], lambda p: p[3]):
+        two = [min(points, key=lambda p: (key(p), p))[1:], max(points, key=lambda p: (key(p), p))[1:]]
+        for _ in range(20):
+            near = [[p[1:] for p in points if (sum((a - b) ** 2 for a, b in zip(p[1:], two[0])) <= sum((a - b) ** 2 for a, b in zip(p[1:], two[1]))) == first] for first in (True, False)]
+            two = [[sum(x) / len(own) for x in zip(*own)] if own else c for own, c in zip(near, two)]
+        plain.append(cost(two))
+    assert found == pytest.approx(min(plain))
+    with pytest.raises(RuntimeError, match="still moves"):
+        appearance.two_means(table, "crop_id", rounds=1)
+
+
+def test_a_broken_write_is_not_taken_for_the_table(spark, tmp_path):
+    from touchline.sources import tables
+
+    path, calls = f"file://{tmp_path}/camera", []
+
+    def compute():
+        calls.append(1)
+        return spark.createDataFrame([(m, f, 1.0, 2.0) for m in range(3) for f in range(50)], schema.CAMERA).repartition(8)
+
+    for _ in range(2):
+        assert tables.load_or_compute(spark, path, schema.CAMERA, compute).count() == 150
+    assert len(calls) == 1
+    assert all(len([f for f in (tmp_path / "camera" / f"match_id={m}").iterdir() if f.suffix == ".parquet"]) == 1 for m in range(3))
+    (tmp_path / "camera" / "_SUCCESS").unlink()
+    assert tables.load_or_compute(spark, path, schema.CAMERA, compute).count() == 150 and len(calls) == 2
+
+
+def test_streams_forget_idle_matches(spark):
+    """Rows of a second match long after the first: the first match's state is removed once it is idle."""
+    from touchline.streaming import operators as streams
+    from touchline.streaming.replay import replay
+
+    early = streams.with_event_time(spark.createDataFrame([(1, f, 1) for f in range(5)], "match_id long, frame_num long, team int"))
+    late = streams.with_event_time(spark.createDataFrame([(2, f, 2) for f in range(500_000, 500_005)], "match_id long, frame_num long, team int"))
+    found = replay(early.unionByName(late), {"match_id": -1, "frame_num": 0}, streams.stream_possession).collect()
+    assert sorted((r["match_id"], r["frame_num"], r["team"], r["share_1"]) for r in found) == [(1, f, 1, 1.0) for f in range(5)] + [(2, f, 2, 0.0) for f in range(500_000, 500_005)]

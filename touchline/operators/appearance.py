@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +11,19 @@ from ..sources.folder import dropped, written
 CHANNELS = ("b", "g", "r")
 
 
-def top_half(pixels: DataFrame, box: Sequence[Column] | None = None) -> DataFrame:
-    """Pixels of the box (x1, y1, x2, y2 columns, truncated, clamped at 0), upper half of its rows; with no
-    box, the upper half of each crop."""
-    if box is None:
-        rows = pixels.groupBy("crop_id").agg((F.max("y") + 1).alias("rows"))
-        return pixels.join(rows, "crop_id").where(F.col("y") < F.floor(F.col("rows") / 2)).drop("rows")
-    x1, y1, x2, y2 = (F.greatest(c.cast("long"), F.lit(0)) for c in box)
-    return pixels.where((F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y1 + F.floor((y2 - y1) / 2)))
+def cut_boxes(pixels: DataFrame) -> DataFrame:
+    """The pixels of ``pixels(..., x, y, x1, y1, x2, y2)`` that lie in their row's box, numbered from its
+    corner. Boxes are truncated to whole pixels and end before x2, y2; what they have outside the image,
+    before its first pixel or after its last, is left out."""
+    x1, y1, x2, y2 = (F.greatest(F.col(c).cast("long"), F.lit(0)) for c in ("x1", "y1", "x2", "y2"))
+    inside = pixels.where((F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2))
+    return inside.withColumns({"x": F.col("x") - x1, "y": F.col("y") - y1}).drop("x1", "y1", "x2", "y2")
+
+
+def top_half(pixels: DataFrame) -> DataFrame:
+    """The upper half of each crop's rows; an odd row in the middle goes to the lower half."""
+    rows = pixels.groupBy("crop_id").agg((F.max("y") + 1).alias("rows"))
+    return pixels.join(rows, "crop_id").where(F.col("y") < F.floor(F.col("rows") / 2)).drop("rows")
 
 
 def squared(a: str, b: str) -> Column:
@@ -34,33 +37,45 @@ def nearest(point: str = "", first: str = "c0_", second: str = "c1_") -> Column:
     return F.when(squared(point, first) <= squared(point, second), 0).otherwise(1)
 
 
+STARTS = ("b + g + r", "b", "g", "r")  #: 2-means begins with the least and the greatest point by each
+
+
 def two_means(points: DataFrame, group: str, rounds: int = DEFAULTS.kmeans_rounds) -> DataFrame:
     """``group`` and the centres c0_b ... c1_r of each group of ``points(group, b, g, r)``.
 
-    Lloyd's rounds over all groups at once. They start from the darkest and the brightest point (by sum,
-    then b, g, r); ties go to centre 0; an empty cluster keeps its centre; the rounds end early when
-    nothing moves. A round is one join with the centres, which are written, and one aggregation.
+    Lloyd's rounds over all groups and starts at once, until nothing moves; the start with the least sum
+    of squares counts (to 1e-6; the first of equals), and centre 0 is the darker one. Ties of a point go
+    to centre 0; an empty cluster keeps its centre. A round is one join with the centres, which are
+    written, and one aggregation. More than ``rounds`` of them raise an error.
     """
-    colour = F.struct((F.col("b") + F.col("g") + F.col("r")).alias("sum"), *CHANNELS)
-    ends = points.groupBy(group).agg(F.min(colour).alias("lo"), F.max(colour).alias("hi"))
-    named = [F.col(f"{e}.{c}").cast("double").alias(f"c{k}_{c}") for k, e in enumerate(("lo", "hi")) for c in CHANNELS]
-    centres = written(ends.select(group, *named), "centres")
-    for _ in range(rounds):
+    starts = []
+    for k, order in enumerate(STARTS):
+        key = F.struct(F.expr(order).alias("key"), *CHANNELS)
+        starts += [F.min(key).alias(f"lo{k}"), F.max(key).alias(f"hi{k}")]
+    each = [F.struct(F.lit(k).alias("start"), *[F.col(f"{e}{k}.{c}").cast("double").alias(f"c{i}_{c}") for i, e in enumerate(("lo", "hi")) for c in CHANNELS]) for k in range(len(STARTS))]
+    ends = points.groupBy(group).agg(*starts).select(group, F.inline(F.array(*each)))
+    centres, names = written(ends, "centres"), [f"c{k}_{c}" for k in (0, 1) for c in CHANNELS]
+    moving = True
+    while moving:
+        if not rounds:
+            raise RuntimeError("2-means still moves after its last round")
+        rounds -= 1
         label = points.join(centres, group).withColumn("label", nearest())
         means = [F.avg(F.when(F.col("label") == k, F.col(c).cast("double"))).alias(f"m{k}_{c}") for k in (0, 1) for c in CHANNELS]
-        moved = label.groupBy(group).agg(*means).join(centres, group)
-        new = [F.coalesce(f"m{k}_{c}", f"c{k}_{c}").alias(f"c{k}_{c}") for k in (0, 1) for c in CHANNELS]
+        found = label.groupBy(group, "start").agg(*means).join(centres, [group, "start"])
+        new = [F.coalesce(f"m{n[1:]}", n).alias(n) for n in names]
         change = F.lit(False)
-        for k in (0, 1):
-            for c in CHANNELS:
-                change = change | (F.coalesce(f"m{k}_{c}", f"c{k}_{c}") != F.col(f"c{k}_{c}"))
-        step = written(moved.select(group, *new, change.alias("moved")), "centres")
-        done = step.where("moved").isEmpty()
+        for n in names:
+            change = change | (F.coalesce(f"m{n[1:]}", n) != F.col(n))
+        step = written(found.select(group, "start", *new, change.alias("moved")), "centres")
+        moving = not step.where("moved").isEmpty()
         dropped(centres)
         centres = step.drop("moved")
-        if done:
-            break
-    return centres
+    cost = points.join(centres, group).groupBy(group, "start").agg(F.round(F.sum(F.least(squared("", "c0_"), squared("", "c1_"))), 6).alias("cost"))
+    spot = lambda k: F.struct(F.expr(f"c{k}_b + c{k}_g + c{k}_r").alias("sum"), *[F.col(f"c{k}_{c}").alias(c) for c in CHANNELS])
+    sorted_ = centres.join(cost, [group, "start"]).withColumns({"c0": F.least(spot(0), spot(1)), "c1": F.greatest(spot(0), spot(1))})
+    best = sorted_.groupBy(group).agg(F.min_by(F.struct("c0", "c1"), F.struct("cost", "start")).alias("best"))
+    return best.select(group, *[F.col(f"best.c{k}.{c}").alias(f"c{k}_{c}") for k in (0, 1) for c in CHANNELS])
 
 
 def corner_vote(pixels: DataFrame, centres: DataFrame) -> DataFrame:

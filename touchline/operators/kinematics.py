@@ -12,12 +12,16 @@ from ..schema import BOX, FRAME, TRACK
 
 def interpolate_ball(frames: DataFrame, balls: DataFrame) -> DataFrame:
     """A ball in every frame: straight lines between detections, the first one before them and the last
-    one after them; null boxes in a match without any. One window order serves all columns."""
+    one after them; null boxes in a match without any.
+
+    Both neighbours are the last ones seen, once in order of frames and once against it: a frame of all
+    rows from the current one on would be run through again for every row. So a match takes two sorts
+    and a step a frame."""
     rows = frames.select(*FRAME).join(balls.select(*FRAME, *BOX), FRAME, "left")
-    match = Window.partitionBy("match_id").orderBy("frame_num")
-    past, future = match.rowsBetween(Window.unboundedPreceding, 0), match.rowsBetween(0, Window.unboundedFollowing)
+    match = Window.partitionBy("match_id").rowsBetween(Window.unboundedPreceding, 0)
+    past, future = match.orderBy("frame_num"), match.orderBy(F.desc("frame_num"))
     seen = F.when(F.col("x1").isNotNull(), F.struct("frame_num", *BOX))
-    near = rows.select(*FRAME, F.last(seen, True).over(past).alias("p"), F.first(seen, True).over(future).alias("n"))
+    near = rows.select(*FRAME, F.last(seen, True).over(past).alias("p"), F.last(seen, True).over(future).alias("n"))
     ratio = (F.col("frame_num") - F.col("p.frame_num")) / F.col("gap")
     near = near.withColumn("gap", F.nullif(F.col("n.frame_num") - F.col("p.frame_num"), F.lit(0)))
 

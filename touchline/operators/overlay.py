@@ -107,35 +107,39 @@ def camera_captions(camera: DataFrame) -> DataFrame:
     return camera.select(*FRAME, F.lit(10).cast("long").alias("x"), F.lit(30).cast("long").alias("y"), "dx", "dy", text.alias("text"))
 
 
+def _shape(z: int, shape: str, x: Column, y: Column, text: Column | None = None, color: Column | None = None, track: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(z).cast("long").alias("z"),
+        F.lit(shape).alias("shape"),
+        (none if track is None else track).cast("long").alias("track_id"),
+        x.cast("long").alias("x"),
+        y.cast("long").alias("y"),
+        (none if text is None else text).cast("string").alias("text"),
+        (none if color is None else color).cast("array<double>").alias("color"),
+    )
+
+
 def display_list(tracks: DataFrame, possession: DataFrame, camera: DataFrame) -> DataFrame:
     """match_id, frame_num, z, shape, track_id, x, y, text, color of everything, to be drawn in order of z.
 
-    ``x, y`` is the shape's anchor: an ellipse's centre, a badge's or caption's text, a triangle's tip."""
-
-    def rows(df: DataFrame, z: int, shape: str, x: str, y: str, track: bool = True, text: bool = False, color: bool = True) -> DataFrame:
-        return df.select(
-            *FRAME,
-            F.lit(z).cast("long").alias("z"),
-            F.lit(shape).alias("shape"),
-            (F.col("track_id") if track else F.lit(None)).cast("long").alias("track_id"),
-            F.col(x).alias("x"),
-            F.col(y).alias("y"),
-            (F.col("text") if text else F.lit(None)).cast("string").alias("text"),
-            (F.col("color") if color else F.lit(None)).cast("array<double>").alias("color"),
-        )
-
-    parts = [
-        rows(ellipses(tracks), 1, "ellipse", "cx", "cy"),
-        rows(badges(tracks), 2, "badge", "text_x", "text_y", text=True),
-        rows(triangles(tracks), 3, "triangle", "tip_x", "tip_y"),
-        rows(possession_captions(possession), 4, "possession", "x", "y", track=False, text=True, color=False),
-        rows(camera_captions(camera), 5, "camera", "x", "y", track=False, text=True, color=False),
-        rows(speed_labels(tracks), 6, "speed", "x", "y", text=True, color=False),
+    ``x, y`` is the shape's anchor: an ellipse's centre, a badge's or caption's text, a triangle's tip.
+    Each table is read once: a row makes all its shapes, of which those that apply are kept."""
+    player, ball, track = F.col("object") == "players", F.col("object") == "balls", F.col("track_id")
+    (middle, _), (x, y), own = g.centre(), g.foot(), row_colour()
+    labelled = player & F.col("speed_kmh").isNotNull() & F.col("distance_m").isNotNull()
+    tip = F.when(ball, _colour(BALL)).otherwise(_colour(HOLDER))
+    of_track = [
+        F.when(F.col("object").isin("players", "referees"), _shape(1, "ellipse", middle, _integer("y2"), color=own, track=track)),
+        F.when(player, _shape(2, "badge", middle - 20 + 12 - F.when(track > 99, 10).otherwise(0), _integer("y2") + 20, track.cast("string"), own, track)),
+        F.when((ball | (player & F.col("has_ball"))) & F.col("x1").isNotNull(), _shape(3, "triangle", middle, _integer("y1"), color=tip, track=track)),
+        F.when(labelled, _shape(6, "speed", x, y + 40, F.format_string("%.2f km/h", "speed_kmh"), track=track)),
+        F.when(labelled, _shape(6, "speed", x, y + 60, F.format_string("%.2f m", "distance_m"), track=track)),
     ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    rows = tracks.select(*FRAME, F.inline(F.array_compact(F.array(*of_track))))
+    captions = possession_captions(possession).select(*FRAME, _shape(4, "possession", F.col("x"), F.col("y"), F.col("text")).alias("s")).select(*FRAME, "s.*")
+    moves = camera_captions(camera).select(*FRAME, _shape(5, "camera", F.col("x"), F.col("y"), F.col("text")).alias("s")).select(*FRAME, "s.*")
+    return rows.unionByName(captions).unionByName(moves)
 
 
 def in_drawing_order(shapes: DataFrame) -> DataFrame:

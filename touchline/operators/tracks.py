@@ -117,11 +117,11 @@ def link(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     rows = detections.select(*key, *BOX)
     before = rows.select("match_id", "object", (F.col("frame_num") + 1).alias("frame_num"), F.col("det_index").alias("p_index"), *[F.col(c).alias(f"p_{c}") for c in BOX])
     overlap = g.iou([F.col(c) for c in BOX], [F.col(f"p_{c}") for c in BOX])
-    pairs = rows.join(before, ["match_id", "object", "frame_num"]).withColumn("iou", overlap).where(F.col("iou") >= params.min_iou)
     frame = ["match_id", "object", "frame_num"]
-    of_now = Window.partitionBy(*frame, "det_index").orderBy(F.desc("iou"), "p_index")
-    of_before = Window.partitionBy(*frame, "p_index").orderBy(F.desc("iou"), "det_index")
-    mutual = pairs.withColumns({"a": F.row_number().over(of_now), "b": F.row_number().over(of_before)}).where("a = 1 and b = 1")
+    pairs = rows.join(before, frame).withColumn("iou", overlap).where(F.col("iou") >= params.min_iou)
+    of_now = pairs.groupBy(*frame, "det_index").agg(F.max_by("p_index", F.struct("iou", -F.col("p_index"))).alias("p_index"))
+    of_before = pairs.groupBy(*frame, "p_index").agg(F.max_by("det_index", F.struct("iou", -F.col("det_index"))).alias("det_index"))
+    mutual = of_now.join(of_before, [*frame, "det_index", "p_index"])
     node = lambda frame_num, index: F.struct(F.col(frame_num).alias("frame_num"), F.col(index).alias("det_index"))
     back = mutual.select("match_id", "object", node("frame_num", "det_index").alias("node"), F.struct((F.col("frame_num") - 1).alias("frame_num"), F.col("p_index").alias("det_index")).alias("head"))
     heads = rows.select("match_id", "object", node("frame_num", "det_index").alias("node")).join(back, ["match_id", "object", "node"], "left")
@@ -135,6 +135,8 @@ def link(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         heads = step.drop("moved")
         if not moved:
             break
-    number = F.dense_rank().over(Window.partitionBy("match_id").orderBy("object", "head.frame_num", "head.det_index"))
-    tracked = heads.select("match_id", "object", F.col("node.frame_num").alias("frame_num"), F.col("node.det_index").alias("det_index"), number.cast("long").alias("track_id"))
+    number = F.row_number().over(Window.partitionBy("match_id").orderBy("object", "head.frame_num", "head.det_index"))
+    named = heads.where("node = head").select("match_id", "object", "head", number.cast("long").alias("track_id"))  # one row a track
+    tracked = heads.join(named, ["match_id", "object", "head"])
+    tracked = tracked.select("match_id", "object", F.col("node.frame_num").alias("frame_num"), F.col("node.det_index").alias("det_index"), "track_id")
     return detections.drop("track_id").join(tracked, key)

@@ -27,22 +27,36 @@ def _project(row: int, x: str, y: str) -> str:
     return f"CAST(CAST(({a} * {s(x)} + {b} * {s(y)} + {c}) / {w} AS REAL) AS DOUBLE)"
 
 
+def _shifted() -> str:
+    """The homography of a camera that is s pixels to the right: that of x - s, scaled so that its last number is 1."""
+    h = [_num(v) for v in H]
+    last = f"(1e0 - s * {h[6]})"
+    return ", ".join(f"({h[k]} - s * {h[k - 2]}) / {last}" if k in (2, 5) else "1e0" if k == 8 else f"{h[k]} / {last}" for k in range(9))
+
+
 def _d(ax: str, ay: str, bx: str, by: str) -> str:
     return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
 
-def _means(name: str, points: str, group: str, rounds: int) -> dict[str, str]:
-    """Lloyd's rounds unrolled: name_0 (the start), ..., name (the last)."""
-    order = "b + g + r, b, g, r"
-    first = ", ".join(f"CAST(arg_{f}({c}, ({order})) AS DOUBLE) AS c{k}_{c}" for k, f in ((0, "min"), (1, "max")) for c in "bgr")
-    out = {f"{name}_0": f"SELECT {group}, {first} FROM {points} GROUP BY {group}"}
+def _means(name: str, points: str, group: str, rounds: int = 14) -> dict[str, str]:
+    """Lloyd's rounds unrolled from four starts: name_0 (the starts), ..., name_rounds; name has the best start's centres."""
+    starts = []
+    for k, key in enumerate(("b + g + r", "b", "g", "r")):
+        first = ", ".join(f"CAST(arg_{f}({c}, ({key}, b, g, r)) AS DOUBLE) AS c{i}_{c}" for i, f in ((0, "min"), (1, "max")) for c in "bgr")
+        starts.append(f"SELECT {group}, {k} AS start, {first} FROM {points} GROUP BY {group}")
+    out = {f"{name}_0": " UNION ALL ".join(starts)}
+    near = [" + ".join(f"(p.{c} - c.c{k}_{c}) * (p.{c} - c.c{k}_{c})" for c in "bgr") for k in (0, 1)]
     for i in range(1, rounds + 1):
-        last = f"{name}_{i - 1}"
-        near = [" + ".join(f"(p.{c} - c.c{k}_{c}) * (p.{c} - c.c{k}_{c})" for c in "bgr") for k in (0, 1)]
         mean = ", ".join(f"coalesce(avg(CAST({c} AS DOUBLE)) FILTER (label = {k}), max(c{k}_{c})) AS c{k}_{c}" for k in (0, 1) for c in "bgr")
-        labelled = f"SELECT p.{group}, p.b, p.g, p.r, c.* EXCLUDE ({group}), CASE WHEN {near[0]} <= {near[1]} THEN 0 ELSE 1 END AS label FROM {points} p JOIN {last} c ON p.{group} = c.{group}"
-        out[f"{name}_{i}"] = f"SELECT {group}, {mean} FROM ({labelled}) GROUP BY {group}"
-    return out | {name: f"SELECT * FROM {name}_{rounds}"}
+        labelled = f"SELECT p.{group}, p.b, p.g, p.r, c.* EXCLUDE ({group}), CASE WHEN {near[0]} <= {near[1]} THEN 0 ELSE 1 END AS label FROM {points} p JOIN {name}_{i - 1} c ON p.{group} = c.{group}"
+        out[f"{name}_{i}"] = f"SELECT {group}, start, {mean} FROM ({labelled}) GROUP BY {group}, start"
+    last = f"{name}_{rounds}"
+    out[f"{name}_cost"] = f"SELECT c.{group}, c.start, round(sum(least({near[0]}, {near[1]})), 6) AS cost FROM {points} p JOIN {last} c ON p.{group} = c.{group} GROUP BY c.{group}, c.start"
+    darker = "(c0_b + c0_g + c0_r, c0_b, c0_g, c0_r) <= (c1_b + c1_g + c1_r, c1_b, c1_g, c1_r)"
+    ordered = ", ".join(f"CASE WHEN {darker} THEN c{k}_{c} ELSE c{1 - k}_{c} END AS c{k}_{c}" for k in (0, 1) for c in "bgr")
+    best = ", ".join(f"arg_min(c{k}_{c}, (cost, start)) AS c{k}_{c}" for k in (0, 1) for c in "bgr")
+    out[name] = f"SELECT {group}, {best} FROM (SELECT {group}, start, cost, {ordered} FROM {last} JOIN {name}_cost USING ({group}, start)) GROUP BY {group}"
+    return out
 
 
 def _nearer(point: str = "", first: str = "c0_", second: str = "c1_") -> str:
@@ -74,6 +88,9 @@ RELATIONS: dict[str, str] = {
     "adjusted": "SELECT t.*, pos_x - dx AS adj_x, pos_y - dy AS adj_y FROM positioned t JOIN camera c ON t.match_id = c.match_id AND t.frame_num = c.frame_num",
     "projected": f"SELECT *, {_project(0, 'adj_x', 'adj_y')} AS u, {_project(1, 'adj_x', 'adj_y')} AS v, {_inside('adj_x', 'adj_y')} AS inside FROM adjusted",
     "world": "SELECT * EXCLUDE (u, v, inside), CASE WHEN inside THEN u END AS world_x, CASE WHEN inside THEN v END AS world_y FROM projected",
+    "calibrations": f"SELECT match_id, match_id AS calibration_id, [{_shifted()}] AS h FROM (SELECT DISTINCT match_id, CAST(match_id % 25 AS DOUBLE) AS s FROM frames)",
+    "calibrated": """SELECT *, CAST(CAST((h[1] * x + h[2] * y + h[3]) / w AS REAL) AS DOUBLE) AS u, CAST(CAST((h[4] * x + h[5] * y + h[6]) / w AS REAL) AS DOUBLE) AS v FROM (
+        SELECT *, h[7] * x + h[8] * y + h[9] AS w FROM (SELECT *, CAST(CAST(adj_x AS REAL) AS DOUBLE) AS x, CAST(CAST(adj_y AS REAL) AS DOUBLE) AS y FROM adjusted JOIN calibrations USING (match_id)))""",
     "counts": "SELECT match_id, max(frame_num) + 1 AS n_frames FROM frames GROUP BY match_id",
     "spots": "SELECT * FROM world WHERE object <> 'balls' AND world_x IS NOT NULL",
     "windows": f"""SELECT s.match_id, s.object, s.track_id, s.start, s.last, {_d('s.world_x', 's.world_y', 'e.world_x', 'e.world_y')} AS metres,
@@ -103,19 +120,23 @@ RELATIONS: dict[str, str] = {
         SELECT *, count(*) FILTER (team = 1) OVER w AS n1, count(*) FILTER (team = 2) OVER w AS n2 FROM carried WINDOW w AS (PARTITION BY match_id ORDER BY frame_num))""",
     "flagged": """SELECT t.*, coalesce(t.object = 'players' AND a.player_id = t.track_id, false) AS has_ball
         FROM sped t LEFT JOIN assigned a ON t.match_id = a.match_id AND t.frame_num = a.frame_num""",
-    "pixels": "SELECT crop_id, i % 5 AS x, CAST(floor(i/5) AS BIGINT) AS y, b, g, r FROM (SELECT CAST(label AS BIGINT) AS crop_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, "
+    "pixels": "SELECT label + 10 * CAST(floor(i/40) AS BIGINT) AS crop_id, i % 5 AS x, CAST(floor(i % 40 / 5) AS BIGINT) AS y, b, g, r FROM (SELECT CAST(label AS BIGINT) AS label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, "
     + ", ".join(f"CAST(floor((CAST(embedding[{k}] AS DOUBLE)+1e0)*127.5e0) AS BIGINT) AS {c}" for k, c in enumerate("bgr", 1))
-    + " FROM embeddings) WHERE i < 40",
-    "crops": "SELECT DISTINCT crop_id, CAST(0 AS BIGINT) AS match_id, CAST(CASE WHEN crop_id < 5 THEN 0 ELSE 1 END AS BIGINT) AS frame_num, crop_id % 5 + 1 AS track_id FROM pixels",
+    + " FROM embeddings)",
+    "crops": "SELECT DISTINCT crop_id, CAST(floor(crop_id/10) AS BIGINT) AS match_id, CAST(floor(crop_id % 10 / 5) AS BIGINT) AS frame_num, crop_id % 5 + 1 AS track_id FROM pixels",
+    "images": "SELECT crop_id, x + crop_id % 7 AS x, y + crop_id % 3 AS y, b, g, r FROM pixels",
+    "boxes": "SELECT crop_id, greatest(trunc(crop_id % 7 - 1.5e0), 0) AS x1, greatest(trunc(crop_id % 3 - 0.5e0), 0) AS y1, trunc(crop_id % 7 + 4.75e0) AS x2, trunc(crop_id % 3 + 6.25e0) AS y2 FROM crops",
+    "cut": "SELECT crop_id, CAST(x - x1 AS BIGINT) AS x, CAST(y - y1 AS BIGINT) AS y, b, g, r FROM images JOIN boxes USING (crop_id) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2",
+    "cut_top": "SELECT p.* FROM cut p JOIN (SELECT crop_id, floor((max(y) + 1) / 2) AS half FROM cut GROUP BY crop_id) h USING (crop_id) WHERE y < half",
     "top": "SELECT p.* FROM pixels p JOIN (SELECT crop_id, floor((max(y) + 1) / 2) AS half FROM pixels GROUP BY crop_id) h USING (crop_id) WHERE y < half",
-    **_means("means", "top", "crop_id", 10),
+    **_means("means", "top", "crop_id"),
     "extent": "SELECT crop_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM top GROUP BY crop_id",
     "corner": "SELECT crop_id, lx AS x, ly AS y FROM extent UNION ALL SELECT crop_id, lx, hy FROM extent UNION ALL SELECT crop_id, hx, ly FROM extent UNION ALL SELECT crop_id, hx, hy FROM extent",
     "votes": f"SELECT crop_id, CASE WHEN sum({_nearer()}) >= 3 THEN 0 ELSE 1 END AS player_cluster FROM corner JOIN top USING (crop_id, x, y) JOIN means USING (crop_id) GROUP BY crop_id",
     "colours": "SELECT crop_id, " + ", ".join(f"CASE WHEN player_cluster = 0 THEN c0_{c} ELSE c1_{c} END AS {c}" for c in "bgr") + " FROM means JOIN votes USING (crop_id)",
     "seen": "SELECT * FROM colours JOIN crops USING (crop_id)",
     "seen_0": "SELECT * FROM seen WHERE frame_num = 0",
-    **_means("team_means", "seen_0", "match_id", 10),
+    **_means("team_means", "seen_0", "match_id"),
     "teams": "SELECT match_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY b, g, r) AS INT) AS team, b, g, r FROM (SELECT match_id, c0_b AS b, c0_g AS g, c0_r AS r FROM team_means UNION ALL SELECT match_id, c1_b, c1_g, c1_r FROM team_means)",
     "first_colours": "SELECT match_id, track_id, arg_min(b, frame_num) AS b, arg_min(g, frame_num) AS g, arg_min(r, frame_num) AS r FROM seen GROUP BY match_id, track_id",
     "by_colour": f"SELECT f.match_id, f.track_id, CAST({_nearer('f.', 'a.', 'z.')} + 1 AS INT) AS team FROM first_colours f JOIN teams a ON f.match_id = a.match_id AND a.team = 1 JOIN teams z ON f.match_id = z.match_id AND z.team = 2",
@@ -164,7 +185,8 @@ SELECTS: dict[str, str] = {
     "s1_s2_tracks_saved": f"SELECT {_track} FROM tracks",
     "s3_s4_camera_saved": "SELECT match_id, frame_num, dx, dy FROM camera",
     "s5_frame_spine": "SELECT match_id, frame_num FROM frames",
-    "s6_image_pixels": "SELECT crop_id, x, y, b, g, r FROM pixels",
+    "s6_image_pixels": "SELECT crop_id, x, y, coalesce(b, 0) AS b, coalesce(g, 0) AS g, coalesce(r, 0) AS r FROM (SELECT crop_id, unnest(generate_series(0, max(x))) AS x FROM pixels GROUP BY crop_id) "
+    "JOIN (SELECT crop_id, unnest(generate_series(0, max(y))) AS y FROM pixels GROUP BY crop_id) USING (crop_id) LEFT JOIN pixels USING (crop_id, x, y)",
     "s7_score_detections": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 4) AS energy FROM embeddings",
     "p1_box_centre": f"SELECT {TRACK}, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc((y1 + y2) / 2) AS BIGINT) AS cy FROM tracks",
     "p2_box_foot": f"SELECT {TRACK}, pos_x AS fx, pos_y AS fy FROM positioned",
@@ -174,6 +196,8 @@ SELECTS: dict[str, str] = {
     "p6_positions": f"SELECT {TRACK}, pos_x, pos_y FROM positioned",
     "p7_adjusted_positions": f"SELECT {TRACK}, adj_x, adj_y FROM adjusted",
     "p8_project": f"SELECT {TRACK}, {r6('u', 'v')} FROM projected",
+    "p9_calibrations": "SELECT calibration_id, list_transform(h, lambda v: round(v, 6)) AS h FROM calibrations",
+    "p9_world_by_calibration": f"SELECT {TRACK}, round(u, 3) AS u, round(v, 3) AS v FROM calibrated",
     "p10_world_positions": f"SELECT {TRACK}, {r6('world_x', 'world_y')} FROM world",
     "p11_kmh": f"SELECT {_kinds}, start, round(speed_kmh, 6) AS speed_kmh FROM windows",
     "p12_relabel": "SELECT match_id, frame_num, det_index, CASE class_name WHEN 'goalkeeper' THEN 'player' ELSE class_name END AS class_name FROM detections",
@@ -188,6 +212,7 @@ SELECTS: dict[str, str] = {
     "f8_labelled_rows": f"SELECT {TRACK} FROM sped WHERE object = 'players' AND speed_kmh IS NOT NULL AND distance_m IS NOT NULL",
     "f9_valid_windows": f"SELECT {_kinds}, start, last FROM windows",
     "f10_crop_top_half": "SELECT crop_id, x, y, b, g, r FROM top",
+    "f10_box_crop": "SELECT crop_id, x, y, b, g, r FROM cut_top",
     "j1_tracks_camera": f"SELECT t.match_id, t.frame_num, object, track_id, dx, dy FROM tracks t JOIN camera c ON t.match_id = c.match_id AND t.frame_num = c.frame_num",
     "j2_frames_movement": "SELECT f.match_id, f.frame_num, coalesce(dx, 0e0) AS dx, coalesce(dy, 0e0) AS dy FROM frames f LEFT JOIN dominant m ON f.match_id = m.match_id AND f.frame_num = m.frame_num",
     "j3_window_ends": f"SELECT {_kinds}, start, last, round(metres, 6) AS metres FROM windows",
@@ -244,11 +269,9 @@ SELECTS: dict[str, str] = {
     "UNION ALL BY NAME SELECT *, false AS has_ball FROM filled)",
 }
 
-#: A stream can't know a match's length, so its windows are the full ones.
-FULL = "windows WHERE last = start + 5"
 STREAMS = {
-    "x1_stream_speed": f"SELECT {_kinds}, start, {r6('metres', 'speed_kmh')} FROM {FULL}",
-    "x2_stream_distance": f"SELECT {_kinds}, round(sum(metres), 6) AS total_m FROM {FULL} GROUP BY {_kinds}",
+    "x1_stream_speed": f"SELECT {_kinds}, start, {r6('metres', 'speed_kmh')} FROM windows",
+    "x2_stream_distance": f"SELECT {_kinds}, round(sum(metres), 6) AS total_m FROM windows GROUP BY {_kinds}",
     "x3_stream_possession": f"SELECT match_id, frame_num, team, {r6('share_1', 'share_2')} FROM shares",
     "x4_stream_first_team": "SELECT match_id, track_id, CAST(arg_min(first_index, frame_num) % 2 + 1 AS INT) AS team, min(frame_num) AS frame_num FROM tracks WHERE object = 'players' GROUP BY match_id, track_id",
 }

@@ -163,7 +163,12 @@ def p8_project(f: Fixtures) -> DataFrame:
 
 
 def p9_calibrations(f: Fixtures) -> DataFrame:
-    return g.solve_calibrations(f.calibrations).select("calibration_id", F.transform("h", lambda x: F.round(x, 9)).alias("h"))
+    return g.solve_calibrations(f.calibrations).select("calibration_id", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+
+
+def p9_world_by_calibration(f: Fixtures) -> DataFrame:
+    found = camera.on_pitch_by_calibration(adjusted(f).join(f.calibrated, "match_id"), f.calibrations)
+    return found.select(*KEY, F.round("world_x", 3).alias("u"), F.round("world_y", 3).alias("v"))
 
 
 def p10_world_positions(f: Fixtures) -> DataFrame:
@@ -226,6 +231,10 @@ def f10_crop_top_half(f: Fixtures) -> DataFrame:
     return appearance.top_half(f.pixels).select(*schema.PIXELS.names)
 
 
+def f10_box_crop(f: Fixtures) -> DataFrame:
+    return appearance.top_half(appearance.cut_boxes(f.images.join(f.boxes, "crop_id"))).select(*schema.PIXELS.names)
+
+
 # --- joins
 
 
@@ -448,6 +457,7 @@ def c6_assign_teams(f: Fixtures) -> DataFrame:
 
 
 def c7_possession(f: Fixtures) -> DataFrame:
+    f.tracks = written(f.tracks, "tracks")  # read for balls, players and their teams
     found = pipeline.possession_by_frame(f.frames, f.tracks, f.player_team)
     return found.select(*FRAME, "player_id", "team", *r6("share_1", "share_2"))
 
@@ -466,7 +476,8 @@ def c9_analyze_matches(f: Fixtures) -> DataFrame:
 def _streamed_windows(f: Fixtures) -> DataFrame:
     rows = streams.with_event_time(world(f).select(*TRACK, "frame_num", "world_x", "world_y"))
     key = {"match_id": SENTINEL_MATCH, "object": "players", "track_id": -1, "frame_num": 0, "world_x": 0.0, "world_y": 0.0}
-    return replay(rows, key, streams.stream_windows)
+    counts = written(kinematics.frame_counts(f.frames), "frame-counts")
+    return replay(rows, key, lambda stream: streams.stream_windows(stream, counts))
 
 
 def x1_stream_speed(f: Fixtures) -> DataFrame:
@@ -501,8 +512,8 @@ def _over_fixtures(query: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSes
 
 _LISTED = (
     s1_s2_tracks_saved, s3_s4_camera_saved, s5_frame_spine, s6_image_pixels, s7_score_detections,
-    p1_box_centre, p2_box_foot, p3_box_width, p4_distance, p5_delta, p6_positions, p7_adjusted_positions, p8_project, p9_calibrations, p10_world_positions, p11_kmh, p12_relabel, p13_class_names,
-    f1_confident, f2_objects, f3_inside_pitch, f4_feature_mask, f5_movement_threshold, f6_ball_radius, f7_no_speed_objects, f8_labelled_rows, f9_valid_windows, f10_crop_top_half,
+    p1_box_centre, p2_box_foot, p3_box_width, p4_distance, p5_delta, p6_positions, p7_adjusted_positions, p8_project, p9_calibrations, p9_world_by_calibration, p10_world_positions, p11_kmh, p12_relabel, p13_class_names,
+    f1_confident, f2_objects, f3_inside_pitch, f4_feature_mask, f5_movement_threshold, f6_ball_radius, f7_no_speed_objects, f8_labelled_rows, f9_valid_windows, f10_crop_top_half, f10_box_crop,
     j1_tracks_camera, j2_frames_movement, j3_window_ends, j4_windows_onto_frames, j5_players_ball, j6_player_team, j7_team_colour, j8_overrides, j9_has_ball, j10_link,
     a1_dominant_movement, a2_nearest_player, a3_corner_reach, a4_keep_last, a5_total_distance, a6_match_share, a7_corner_vote, a8_crop_two_means, a9_jersey_colours, a10_team_colours, a11_predicted_team, a12_frame_counts,
     w1_interpolate_ball, w2_cumulative_distance, w3_carry_possession, w4_running_share, w5_first_seen_colour, w6_frame_windows, w7_detection_ordinal,

@@ -84,15 +84,31 @@ class Fixtures:
     @cached_property
     def pixels(self) -> DataFrame:
         numbered = self.table("embeddings").selectExpr(
-            "CAST(label AS BIGINT) AS crop_id", "CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i",
+            "CAST(label AS BIGINT) AS label", "CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i",
             *[f"CAST(floor((CAST(embedding[{k}] AS DOUBLE)+1e0)*127.5e0) AS BIGINT) AS {c}" for k, c in enumerate("bgr")],
         )
-        return numbered.where("i < 40").selectExpr("crop_id", "i % 5 AS x", "CAST(floor(i/5) AS BIGINT) AS y", "b", "g", "r")
+        return numbered.selectExpr("label + 10 * CAST(floor(i/40) AS BIGINT) AS crop_id", "i % 5 AS x", "CAST(floor(i % 40 / 5) AS BIGINT) AS y", "b", "g", "r")
 
     @cached_property
     def crops(self) -> DataFrame:
+        """Ten crops a match: five players in two frames."""
         crops = self.pixels.select("crop_id").distinct()
-        return crops.selectExpr("crop_id", "CAST(0 AS BIGINT) AS match_id", "CAST(CASE WHEN crop_id < 5 THEN 0 ELSE 1 END AS BIGINT) AS frame_num", "crop_id % 5 + 1 AS track_id")
+        return crops.selectExpr("crop_id", "CAST(floor(crop_id/10) AS BIGINT) AS match_id", "CAST(floor(crop_id % 10 / 5) AS BIGINT) AS frame_num", "crop_id % 5 + 1 AS track_id")
+
+    @cached_property
+    def images(self) -> DataFrame:
+        """Whole frames for boxes to be cut from: each crop's pixels at an offset that its number gives."""
+        return self.pixels.selectExpr("crop_id", "x + crop_id % 7 AS x", "y + crop_id % 3 AS y", "b", "g", "r")
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """A box for each image, with fractions to be truncated, some of it before the image's first pixel."""
+        return self.crops.selectExpr("crop_id", "crop_id % 7 - 1.5e0 AS x1", "crop_id % 3 - 0.5e0 AS y1", "crop_id % 7 + 4.75e0 AS x2", "crop_id % 3 + 6.25e0 AS y2")
+
+    @cached_property
+    def calibrated(self) -> DataFrame:
+        """A calibration for each match."""
+        return self.frames.select("match_id").distinct().selectExpr("match_id", "match_id AS calibration_id")
 
     @cached_property
     def player_team(self) -> DataFrame:
@@ -106,10 +122,10 @@ class Fixtures:
 
     @cached_property
     def calibrations(self) -> DataFrame:
-        """The broadcast calibration for each nation, its camera shifted by the nation's number."""
+        """The broadcast calibration for each match, its camera shifted by a number of pixels that the match gives."""
         points = lambda corners, shift: F.array(*[F.struct((F.lit(x) + shift).alias("x"), F.lit(y).alias("y")) for x, y in corners])
-        shift = F.col("n_nationkey").cast("double")
-        return self.table("nation").select(F.col("n_nationkey").cast("long").alias("calibration_id"), points(DEFAULTS.polygon, shift).alias("src"), points(DEFAULTS.pitch, F.lit(0.0)).alias("dst"))
+        shift = (F.col("calibration_id") % 25).cast("double")
+        return self.calibrated.select("calibration_id", points(DEFAULTS.polygon, shift).alias("src"), points(DEFAULTS.pitch, F.lit(0.0)).alias("dst"))
 
     @cached_property
     def tracks(self) -> DataFrame:

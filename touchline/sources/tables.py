@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.ml.functions import predict_batch_udf
@@ -22,13 +23,16 @@ def read_table(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, kind: StructType) -> None:
-    """Saved by match, so that a query over some matches reads only theirs."""
-    df.select(*[F.col(f.name).cast(f.dataType) for f in kind]).write.mode("overwrite").partitionBy("match_id").parquet(path)
+    """Saved by match, so that a query over some matches reads only theirs. Rows are dealt by match first,
+    evenly by size, so that a match is a file, or a few where it is large, and not one for each task."""
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in kind])
+    rows.hint("rebalance", F.col("match_id")).write.mode("overwrite").partitionBy("match_id").parquet(path)
 
 
 def load_or_compute(spark: SparkSession, path: str, kind: StructType, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The saved table if there is one, else computed, saved and read."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """The saved table if there is one, else computed, saved and read. A table is saved once its commit has
+    left its mark; what a broken write left behind is computed anew."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         write_table(compute(), path, kind)
     return read_table(spark, path, kind)
@@ -60,12 +64,13 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_crops(pixels: DataFrame, folder: str) -> None:
-    """A PNG named after its number for each crop of ``pixels``; one image's rows are one group."""
+    """A PNG named after its number for each crop of ``pixels``; one image's rows are one group. Pixels that
+    a crop lacks within its width and height are black."""
 
     def task(batch: pd.DataFrame) -> pd.DataFrame:
-        crop, box = int(batch["crop_id"].iloc[0]), batch.sort_values(["y", "x"])
-        wide, high = int(box["x"].max()) + 1, int(box["y"].max()) + 1
-        lines = box[["r", "g", "b"]].to_numpy("uint8").reshape(high, wide * 3)
+        crop, wide, high = int(batch["crop_id"].iloc[0]), int(batch["x"].max()) + 1, int(batch["y"].max()) + 1
+        lines = np.zeros((high, wide, 3), "uint8")
+        lines[batch["y"], batch["x"]] = batch[["r", "g", "b"]]
         chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
         head = struct.pack(">IIBBBBB", wide, high, 8, 2, 0, 0, 0)
         raw = b"".join(b"\0" + x.tobytes() for x in lines)
@@ -84,5 +89,3 @@ def score_detections(df: DataFrame, column: str, make_model: Callable[[], Callab
     made once in each worker and called with batches of rows."""
     predict = predict_batch_udf(make_model, return_type=kind, batch_size=params.detection_batch, input_tensor_shapes=[[length]])
     return df.withColumn("prediction", predict(F.col(column)))
-
-

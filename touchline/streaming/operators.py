@@ -7,6 +7,7 @@ watermark are dropped. What lies behind the watermark at the end of input stays
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
@@ -29,25 +30,29 @@ def with_event_time(df: DataFrame, params: Params = DEFAULTS, start: dt.datetime
     return df.withColumn("ts", F.timestamp_micros(F.lit(base) + F.col("frame_num") * step))
 
 
-def stream_windows(world: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
-    """match_id, object, track_id, start, metres, speed_kmh of full windows, in append mode.
+def stream_windows(world: DataFrame, counts: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
+    """match_id, object, track_id, start, metres, speed_kmh of all windows, in append mode.
 
-    ``world`` is a stream with ts and world positions. A frame that begins a window also ends the one
-    before: a copy of it goes there, a microsecond earlier. A tumbling window of five frames then sees
-    both ends; the short window at a match's end isn't known to a stream and is left out.
+    ``world`` is a stream with ts and world positions; ``counts(match_id, n_frames)`` a static table, by
+    which the match's last frame ends its short window (a match without a row has full windows only). A
+    frame that begins a window also ends the one before: a copy of it goes there, a microsecond earlier.
+    A tumbling window of five frames then sees both ends.
     """
     n, step = params.window_frames, round(1_000_000 / params.frame_rate)
-    rows = world.where(~F.col("object").isin(*params.no_speed) & F.col("world_x").isNotNull() & (F.col("frame_num") % n == 0))
-    spot = F.struct("frame_num", F.col("world_x").alias("x"), F.col("world_y").alias("y"))
+    begins, final = F.col("frame_num") % n == 0, F.col("n_frames") - 1
+    rows = world.where(~F.col("object").isin(*params.no_speed) & F.col("world_x").isNotNull())
+    rows = rows.join(counts.select("match_id", "n_frames"), "match_id", "left").where(begins | (F.col("frame_num") == final))
+    spot = F.struct("frame_num", F.col("world_x").alias("x"), F.col("world_y").alias("y"), final.alias("final"))
     earlier = F.col("ts") - F.expr("INTERVAL '0.000001' SECOND")
-    own = F.array(F.col("ts"), earlier)
+    own = F.when(begins, F.array(F.col("ts"), earlier)).otherwise(F.array("ts"))
     both = rows.select(*TRACK, spot.alias("at"), F.explode(own).alias("ts")).withWatermark("ts", delay)
     length = f"{n * step} microseconds"
     ends = both.groupBy(F.window("ts", length), *TRACK).agg(F.min_by("at", "at.frame_num").alias("a"), F.max_by("at", "at.frame_num").alias("z"))
-    full = ends.where(F.col("z.frame_num") == F.col("a.frame_num") + n)
+    a, z = F.col("a.frame_num"), F.col("z.frame_num")
+    full = ends.where((a % n == 0) & (z > a) & ((z == a + n) | (z == F.col("a.final"))))
     metres = g.distance(F.col("a.x"), F.col("a.y"), F.col("z.x"), F.col("z.y"))
-    found = full.select("window", *TRACK, F.col("a.frame_num").alias("start"), metres.alias("metres"))
-    return found.select(*TRACK, "start", "metres", g.kmh(F.col("metres"), F.lit(n), params.frame_rate).alias("speed_kmh"))
+    found = full.select("window", *TRACK, a.alias("start"), (z - a).alias("frames"), metres.alias("metres"))
+    return found.select(*TRACK, "start", "metres", g.kmh(F.col("metres"), F.col("frames"), params.frame_rate).alias("speed_kmh"))
 
 
 def stream_distance(window_rows: DataFrame) -> DataFrame:
@@ -55,34 +60,39 @@ def stream_distance(window_rows: DataFrame) -> DataFrame:
     return window_rows.groupBy(*TRACK).agg(F.sum("metres").alias("total_m"))
 
 
-def stream_possession(assigned: DataFrame, delay: str = "1 second") -> DataFrame:
+def stream_possession(assigned: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
     """match_id, frame_num, team, share_1, share_2 of every frame of a stream (match_id, frame_num, team or
     null, ts), in append mode: teams carried over frames without, and shares up to each frame.
 
     State of a match: the last team, two counters, and the frames that the watermark hasn't passed,
-    which wait for earlier ones.
+    which wait for earlier ones: as many as come within the delay. A match without rows for
+    ``idle_seconds`` of event time is forgotten; later rows would begin it anew.
     """
     state = "team int, n_1 long, n_2 long, frames array<long>, teams array<int>, times array<long>"
     out = "match_id long, frame_num long, team int, share_1 double, share_2 double"
+    idle = int(params.idle_seconds * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         team, n_1, n_2, frames, teams, times = group.get if group.exists else (None, 0, 0, [], [], [])
         waiting = list(zip(times, frames, teams, strict=True))
+        if group.hasTimedOut and not waiting:
+            group.remove()
+            return
         for pdf in batches:
             seen = (pdf["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
             own = [None if pd.isna(t) else int(t) for t in pdf["team"]]
             waiting += zip(seen, pdf["frame_num"].tolist(), own, strict=True)
         passed, rows = group.getCurrentWatermarkMs(), []
         waiting.sort(key=lambda x: x[:2])
-        while waiting and waiting[0][0] < passed:
-            _, frame, own = waiting.pop(0)
+        done = bisect_left(waiting, passed, key=lambda x: x[0])
+        for _, frame, own in waiting[:done]:
             team = own if own is not None else team
             n_1, n_2 = n_1 + (team == 1), n_2 + (team == 2)
             total = n_1 + n_2
             rows.append((key[0], frame, team, n_1 / total if total else None, n_2 / total if total else None))
+        waiting = waiting[done:]
         group.update((team, n_1, n_2, [x[1] for x in waiting], [x[2] for x in waiting], [x[0] for x in waiting]))
-        if waiting:
-            group.setTimeoutTimestamp(max(waiting[0][0], passed) + 1)
+        group.setTimeoutTimestamp(max(waiting[0][0], passed) + 1 if waiting else passed + idle)
         if rows:
             yield pd.DataFrame(rows, columns=["match_id", "frame_num", "team", "share_1", "share_2"]).astype({"team": "Int32"})
 
@@ -90,13 +100,18 @@ def stream_possession(assigned: DataFrame, delay: str = "1 second") -> DataFrame
     return timed.groupBy("match_id").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_first_team(seen: DataFrame, delay: str = "1 second") -> DataFrame:
+def stream_first_team(seen: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
     """match_id, track_id, team, frame_num of each player's earliest frame in a stream (match_id, track_id,
-    frame_num, team, ts), once it can't be preceded any more; later rows of the player change nothing."""
+    frame_num, team, ts), once it can't be preceded any more; later rows of the player change nothing.
+    A player without rows for ``idle_seconds`` of event time is forgotten; later rows would begin anew."""
     out = "match_id long, track_id long, team int, frame_num long"
+    idle = int(params.idle_seconds * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         frame, team, time, done = group.get if group.exists else (None, None, None, False)
+        if group.hasTimedOut and done:
+            group.remove()
+            return
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -108,8 +123,8 @@ def stream_first_team(seen: DataFrame, delay: str = "1 second") -> DataFrame:
         if not done and time is not None and time < passed:
             rows, done = [(*key, team, frame)], True
         group.update((frame, team, time, done))
-        if not done and time is not None:
-            group.setTimeoutTimestamp(max(time, passed) + 1)
+        if time is not None:
+            group.setTimeoutTimestamp(passed + idle if done else max(time, passed) + 1)
         if rows:
             yield pd.DataFrame(rows, columns=["match_id", "track_id", "team", "frame_num"])
 
