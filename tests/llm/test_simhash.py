@@ -47,10 +47,10 @@ def test_documents(documents, texts):
     assert got == {d: (f, c) for (d, f), c in zip(fps, reachable(fps), strict=True)}
 
 
-@pytest.mark.parametrize("crowded", [1, 4, 10**6])
-def test_links_of_clusters(spark, crowded):
+@pytest.mark.parametrize("seed", [1, 4, 6])
+def test_links_of_clusters(spark, seed):
     """Dense clusters, chains two bits apart, and strangers; posting lists of any length."""
-    rng = random.Random(crowded)
+    rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(200)}
     for _ in range(6):
         seed = rng.getrandbits(64)
@@ -60,7 +60,7 @@ def test_links_of_clusters(spark, crowded):
             fps.add(seed)
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    found = s.links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowded)
+    found = s.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
     pairs = [(r["a"], r["b"]) for r in found.collect()]
     assert all(((a ^ b) % 2**64).bit_count() <= 2 and a < b for a, b in pairs)
     root = {f: f for f in signed}
@@ -107,3 +107,17 @@ def test_one_row_of_each_component_where_ids_repeat(spark):
         assert set(kept) <= set(rows)
         assert n == 1 or sorted(kept, key=repr) == first
         first = sorted(kept, key=repr)
+
+
+def test_postings_share_six_bytes(spark):
+    """Fingerprints meet in a posting if and only if six of their bytes or more are equal."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(rng.randrange(256) << (8 * k) for k in rng.sample(range(8), n)) for n in range(5) for _ in range(25)}
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    lists = {}
+    for r in s.postings(spark.createDataFrame([(f,) for f in signed], "fp long")).collect():
+        lists.setdefault((r["without"], r["bytes"]), set()).add(r["fp"] % 2**64)
+    met = {(a, b) for own in lists.values() for a in own for b in own if a < b}
+    shared = lambda a, b: sum((a ^ b) >> (8 * k) & 255 == 0 for k in range(8))
+    assert met == {(a, b) for a in fps for b in fps if a < b and shared(a, b) >= 6} and len(lists) > 28

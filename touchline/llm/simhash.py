@@ -15,8 +15,6 @@ from .components import components
 
 SEED = 42  # of XXH64 (fixed value)
 MAX_BITS = 2
-MIN_SHARED_BYTES = 8 - MAX_BITS  # of eight: each differing bit spoils one at most
-CROWDED = 32  #: posting lists of more fingerprints are searched by their neighbourhoods instead
 KEY = ["doc_id", "text_hash", "row_hash"]  #: of a row, so far as :func:`one_of_each` tells rows apart
 
 
@@ -52,43 +50,40 @@ def fingerprints(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """The inverted index: a posting is four of the eight byte positions and the bytes there.
+    """The inverted index: a posting is six of the eight byte positions (``without``: the other two, as
+    bits) and the bytes there (``bytes``, zero elsewhere).
 
-    Fingerprints that differ in two bits at most share six positional bytes, hence both bytes of two
-    of the four byte pairs, hence a posting of one of the six choices of two pairs. (Postings of one
-    byte would be as long as the corpus over 256, and their pairs grow with its square.)
+    Fingerprints that differ in two bits at most share six positional bytes, the guaranteed minimum, so
+    they meet in a posting; and all that meet share six. (A posting of one byte would be as long as the
+    corpus over 256, and the tally of its pairs grow with the corpus's square.)
     """
-    pair = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    choices = [(i, j) for i in range(4) for j in range(i)]
-    keys = [F.shiftleft(F.lit(c).cast("long"), 32).bitwiseOR(F.shiftleft(pair[i], 16)).bitwiseOR(pair[j]) for c, (i, j) in enumerate(choices)]
-    return classes.select(F.explode(F.array(*keys)).alias("posting"), "fp")
+    out = [(1 << i) | (1 << j) for i in range(8) for j in range(i)]
+    spoilt = [sum(0xFF << (8 * k) for k in range(8) if w >> k & 1) for w in out]
+    keys = [F.struct(F.lit(w).alias("without"), F.col("fp").bitwiseAND(F.lit(_signed(~m))).alias("bytes")) for w, m in zip(out, spoilt, strict=True)]
+    return classes.select(F.inline(F.array(*keys)), "fp")
 
 
-def shared_bytes(x):
-    """How many positional bytes two fingerprints share, by the exclusive or of them."""
-    return sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(8))
+def _signed(x: int) -> int:
+    return (x + 2**63) % 2**64 - 2**63
 
 
-def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def links(classes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of the distinct fingerprints in ``classes(fp)`` that connect what is linked.
 
-    Candidates come from the posting lists; their shared positional bytes are counted, pairs with the
-    guaranteed six are kept and verified. A list of more than ``crowded`` fingerprints isn't paired:
-    each of its fingerprints goes to itself and to the 64 places one bit away, and those that meet in
-    a place differ in two bits at most (and any two that do, meet). A place holds 65 at most, which
-    are tied to their smallest, so that no link is lost and rows stay linear in the fingerprints.
+    Only postings that hold several fingerprints give candidates. They aren't paired with each other,
+    which would grow with the square of a posting: a fingerprint goes to itself and to the places one
+    bit away in the two bytes that the posting leaves open, and those that meet in a place are tied to
+    the least of them. Two that differ in two bits at most meet in a place of some posting, so no link
+    is lost; and all that meet do, which is verified once more.
     """
     index = postings(classes)
-    lists = common.written(index.groupBy("posting").count().where("count > 1"), "posting-lists")
-    shared = common.written(index.join(lists, "posting"), "shared-postings")
-    few, many = shared.where(F.col("count") <= crowded), shared.where(F.col("count") > crowded)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    close = (F.col("a") < F.col("b")) & (shared_bytes(x) >= MIN_SHARED_BYTES) & (F.bit_count(x) <= MAX_BITS)
-    pairs = few.selectExpr("posting", "fp as a").join(few.selectExpr("posting as p", "fp as b"), (F.col("posting") == F.col("p")) & close)
-    places = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), k)) for k in range(64)])
-    met = many.select("fp").distinct().select(F.explode(places).alias("place"), "fp").groupBy("place").agg(F.collect_list("fp").alias("fps"))
+    lists = common.written(index.groupBy("without", "bytes").count().where("count > 1").select("without", "bytes"), "posting-lists")
+    shared = index.join(lists, ["without", "bytes"])
+    flips = [F.when(F.col("without").bitwiseAND(F.lit(1 << (k // 8))) != 0, F.col("fp").bitwiseXOR(F.lit(_signed(1 << k)))) for k in range(64)]
+    places = shared.select(F.explode(F.array_compact(F.array(F.col("fp"), *flips))).alias("place"), "fp")
+    met = places.groupBy("place").agg(F.collect_set("fp").alias("fps"))  # 65 at most
     ties = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.select("a", "b").unionByName(ties).distinct()
+    return ties.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
 def rooted_classes(found: DataFrame, least: Column) -> DataFrame:
