@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +97,53 @@ def test_no_labels_and_odd_texts(spark, odd_docs, no_docs):
     assert t.score(no_docs, model).collect() == []
     nulls = spark.createDataFrame([(None, 1), (1, None), (3, 1), (3, 0)], "doc_id long, toxic int")
     t.fit(odd_docs, nulls)
+
+
+def test_law_scale_and_score_by_hand(made):
+    """Everything after the labels restated in plain Python: counts, log-odds, drift, decay, scale, score."""
+    docs, labels = made
+    model = t.fit(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.where(~common.held_out(F.col("doc_id"))).collect()}
+    held = {y: Counter(w for d, own in toxic.items() if own == y for w in set(text[d].encode().split())) for y in (0, 1)}
+    n, vocabulary = {y: sum(held[y].values()) for y in (0, 1)}, held[0].keys() | held[1].keys()
+    scores = {}
+    for w in vocabulary:
+        prior = t.PRIOR + t.PRIOR_TOTAL * (held[0][w] + held[1][w]) / (n[0] + n[1])
+        odds = [(held[y][w] + prior) / (n[y] + t.PRIOR * len(vocabulary) + t.PRIOR_TOTAL - held[y][w] - prior) for y in (0, 1)]
+        delta = math.log(odds[1]) - math.log(odds[0])
+        z = delta / math.sqrt(sum(1 / (held[y][w] + prior) for y in (0, 1)))
+        if z <= -t.LEAST_Z or (z >= t.LEAST_Z and held[1][w] >= t.LEAST_DOCS):
+            scores[w] = delta
+    assert model.scores == pytest.approx(scores)
+    share = {w: (held[0][w] + t.PRIOR) / n[0] for w in scores}
+    mean = sum(share[w] * s for w, s in scores.items())
+    assert model.drift == pytest.approx(max(t.DRIFT, t.DRIFT + mean), abs=1e-6) and mean < model.drift
+    rest = 1 - sum(share.values())
+    assert sum(share[w] * math.exp(model.decay * (s - model.drift)) for w, s in scores.items()) + rest * math.exp(-model.decay * model.drift) == pytest.approx(1, abs=1e-6)
+
+    def segments(d):
+        tokens = list(dict.fromkeys(text[d].encode().split()))
+        return len(tokens), all_segments([(i, scores[w]) for i, w in enumerate(tokens) if w in scores], model.drift, len(tokens))
+
+    law = [n * math.exp(-model.decay * max((x[2] for x in own), default=0.0)) for d, y in toxic.items() if not y for n, own in [segments(d)]]
+    assert model.scale == pytest.approx(len(law) / sum(law), rel=1e-6)
+    got = {r["doc_id"]: r["score"] for r in t.score(docs, model).collect()}
+    for d in range(0, 1200, 37):
+        n_tokens, own = segments(d)
+        chance = [model.scale * n_tokens * math.exp(-model.decay * x[2]) for x in own]
+        evidence = sum(-math.log(x) for x in chance if x < 1)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-model.offset - model.slope * math.log1p(evidence))), abs=1e-9)
+
+
+def test_a_repeated_label_is_one_document_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(3, "other"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    got = sorted((r["doc_id"], r["toxic"]) for r in t._sample(docs, labels, 10).collect())
+    assert got == sorted((d, d == 1) for d in (1, 3, 4) if zlib.crc32(str(d).encode()) % 4 != 2)
+
+
+def test_passages_are_words_of_the_text():
+    model = t.Model({b"bad": 5.0, b"worse": 4.0}, decay=1.0, scale=0.1)
+    assert [x[:2] for x in model.passages("so so so bad bad worse so fine fine")] == [(3, 6)]
+    assert model.passages(None) == [] and model.evidence("") == 0

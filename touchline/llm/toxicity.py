@@ -15,40 +15,57 @@ from pyspark.sql import functions as F
 from . import common
 from .decontamination import words_of
 
-SAMPLE_DOCS = 20_000  #: labelled documents that the model is fitted on, at most
+SAMPLE_DOCS = 20_000  #: labelled documents that the model is fitted on, at most; a document is a row
 PRIOR = 0.5  #: Dirichlet pseudo-count of every word, besides its share of PRIOR_TOTAL
 PRIOR_TOTAL = 500.0
-LEAST_Z = 2.4  #: log-odds of words nearer to zero (in standard errors) count as zero
-LEAST_DOCS = 3  #: toxic documents that hold a word of the lexicon
-LEXICON = 5_000  #: words, the surest ones
-DRIFT = 0.1  #: taken off every token's score, so that scores fall where nothing is toxic
+LEAST_Z = 2.0  #: log-odds of words nearer to zero (in standard errors) count as zero
+LEAST_DOCS = 8  #: toxic documents that hold a word of positive log-odds
+DRIFT = 0.1  #: what a token's score falls by at least, on average over harmless text
+HELD_WORDS = 300_000  #: words that a task counts before it passes them on
 THRESHOLD = 0.3  # of the contract (fixed value)
 
 
+def tokens_of(text: str | None) -> tuple[list[bytes], list[int]]:
+    """The text's distinct words in order, and where each occurs first.
+
+    These are the tokens of the scan: a word is evidence once in a text, however often it is repeated.
+    All counts of the model are of documents that hold a word, so shares are shares of such tokens.
+    """
+    first: dict[bytes, int] = {}
+    for i, w in enumerate(words_of(text)):
+        first.setdefault(w, i)
+    return list(first), list(first.values())
+
+
 @dataclass
 class Model:
     """Token scores, the extreme-value law of segment scores in harmless text, and the map to a
     probability."""
 
     scores: dict[bytes, float]
+    drift: float = DRIFT
     decay: float = 1.0
     scale: float = 1.0
     offset: float = -10.0
     slope: float = 0.0
 
-    def passages(self, words: list[bytes]) -> list[tuple[int, int, float, float]]:
-        """Start, end, score and expected number (in harmless text of that length) of each segment that
-        can't be bettered and is expected less than once by chance."""
-        events = [(i, self.scores[w]) for i, w in enumerate(words) if w in self.scores]
+    def segments(self, tokens: list[bytes]) -> list[tuple[int, int, float]]:
+        """Start, end (in tokens) and score of each segment that can't be bettered."""
+        return maximal_segments([(i, self.scores[w]) for i, w in enumerate(tokens) if w in self.scores], self.drift)
+
+    def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
+        """Start, end (in words), score and expected number (in harmless text of that length) of the
+        segments that are expected less than once by chance."""
+        tokens, places = tokens_of(text)
         found = []
-        for start, end, score in maximal_segments(events, DRIFT):
-            expected = self.scale * len(words) * math.exp(-self.decay * score)
+        for start, end, score in self.segments(tokens):
+            expected = self.scale * len(tokens) * math.exp(-self.decay * score)
             if expected < 1:
-                found.append((start, end, score, expected))
+                found.append((places[start], places[end - 1] + 1, score, expected))
         return found
 
-    def evidence(self, words: list[bytes]) -> float:
-        return sum(-math.log(max(x[3], 1e-300)) for x in self.passages(words))
+    def evidence(self, text: str | None) -> float:
+        return sum(-math.log(max(x[3], 1e-300)) for x in self.passages(text))
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.offset + self.slope * math.log1p(evidence)))))
@@ -93,32 +110,43 @@ def maximal_segments(events: list[tuple[int, float]], drift: float) -> list[tupl
 
 def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """doc_id, text and toxic of up to ``size`` labelled documents outside the held-out fold, by hash of
-    the id; a document with several labels is toxic if one says so."""
+    the id; a document with several labels is toxic if one says so, and of several rows with one id that
+    of the least text hash counts. So rows are bounded, however often an id is repeated."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~common.held_out(F.col("doc_id")))
     each = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return common.written(own.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic")), "sample")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
+    return common.written(one.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic")), "sample")
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
     """word, and the toxic and other documents of the sample that hold it."""
     schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
 
+    def counted(toxic: Counter, other: Counter) -> pa.RecordBatch:
+        words = list(toxic.keys() | other.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([x[w] for w in words], pa.int64()) for x in (toxic, other))], schema=schema)
+        toxic.clear()
+        other.clear()
+        return out
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other = Counter(), Counter()
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 (toxic if label else other).update(set(words_of(text)))
-        words = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], schema=schema)
+                if len(toxic) + len(other) > HELD_WORDS:
+                    yield counted(toxic, other)
+        yield counted(toxic, other)
 
     return sample.mapInArrow(task, "word binary, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def _lexicon(counts: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """Log-odds of the surest words, and their share of harmless tokens, with an informative Dirichlet
-    prior (pseudo-counts in proportion to the word's share of the whole sample)."""
+    """Log-odds of the sure words, and their share of harmless tokens, with an informative Dirichlet
+    prior (pseudo-counts in proportion to the word's share of the whole sample). Words come to the driver
+    that are sure, of the bounded sample's."""
     n = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.count("*").alias("words")).first()
     if not n["toxic"] or not n["other"]:
         return {}, {}
@@ -132,40 +160,46 @@ def _lexicon(counts: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]
     delta = log_odds("toxic") - log_odds("other")
     error = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
     sure = counts.withColumns({"delta": delta, "z": delta / error}).where((F.abs("z") >= LEAST_Z) & ((F.col("z") < 0) | (F.col("toxic") >= LEAST_DOCS)))
-    rows = sure.orderBy(F.desc(F.abs("z")), "word").limit(LEXICON).collect()
+    rows = sure.orderBy("word").collect()
     return {bytes(r["word"]): r["delta"] for r in rows}, {bytes(r["word"]): (r["other"] + PRIOR) / n["other"] for r in rows}
 
 
-def _decay(scores: dict[bytes, float], share: dict[bytes, float]) -> float:
-    """The positive root of sum(p e^(x s)) = 1 over harmless tokens: chance segments of score s or more
-    thin out as e^(-x s)."""
-    steps = np.array([s - DRIFT for s in scores.values()] + [-DRIFT])
+def _law(scores: dict[bytes, float], share: dict[bytes, float]) -> tuple[float, float]:
+    """Drift and decay. The drift makes the mean step over harmless tokens negative, by DRIFT at least. The
+    decay is the positive root of sum(p e^(x s)) = 1 over them: chance segments of score s or more thin
+    out as e^(-x s)."""
     p = np.array([*share.values(), max(1e-9, 1 - sum(share.values()))])
+    steps = np.array([*scores.values(), 0.0])
+    drift = max(DRIFT, DRIFT + float(p @ steps) / float(p.sum()))
+    steps = steps - drift
     low, high = 1e-6, 50.0
-    if float(p @ steps) >= 0:
-        return 0.1
     for _ in range(80):
         mid = (low + high) / 2
-        below = float((p * np.exp(np.minimum(mid * steps, 500))).sum()) < 1
+        below = float((p * np.exp(np.minimum(mid * steps, 500))).sum()) < p.sum()
         low, high = (mid, high) if below else (low, mid)
-    return low
+    return drift, low
 
 
 def _maxima(sample: DataFrame, model: Model) -> list[tuple[bool, int, float, float]]:
-    """toxic, words, best segment score and evidence of every document of the (bounded) sample."""
+    """toxic, tokens, best segment score and evidence of every document of the (bounded) sample."""
+    kinds = {"toxic": pa.bool_(), "tokens": pa.int64(), "best": pa.float64(), "evidence": pa.float64()}
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in common.slices(whole, "text")):
             rows = []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = words_of(text)
-                events = [(i, model.scores[w]) for i, w in enumerate(words) if w in model.scores]
-                best = max((x[2] for x in maximal_segments(events, DRIFT)), default=0.0)
-                rows.append((label, len(words), best, model.evidence(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], ["toxic", "words", "best", "evidence"])
+                tokens, _ = tokens_of(text)
+                rows.append((label, len(tokens), max((x[2] for x in model.segments(tokens)), default=0.0), model.evidence(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    found = sample.mapInArrow(task, "toxic boolean, words long, best double, evidence double")
-    return [(r["toxic"], r["words"], r["best"], r["evidence"]) for r in found.collect()]
+    found = sample.mapInArrow(task, "toxic boolean, tokens long, best double, evidence double")
+    return [tuple(r) for r in found.collect()]
+
+
+def _scale(decay: float, harmless: list[tuple[int, float]]) -> float:
+    """The most likely scale of the law, of tokens and best scores of harmless documents: one over the mean
+    of n e^(-decay best)."""
+    return len(harmless) / max(1e-12, sum(n * math.exp(-decay * best) for n, best in harmless)) if harmless else 1.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -179,11 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     model = Model(scores)
     if not scores:
         return model
-    model.decay = _decay(scores, share)
-    seen = _maxima(sample, model)
-    harmless = [(n, best) for toxic, n, best, _ in seen if not toxic and n]
-    # most likely scale of the law: 1 / mean of n e^(-decay best)
-    model.scale = len(harmless) / max(1e-12, sum(n * math.exp(-model.decay * best) for n, best in harmless)) if harmless else 1.0
+    model.drift, model.decay = _law(scores, share)
+    model.scale = _scale(model.decay, [(n, best) for toxic, n, best, _ in _maxima(sample, model) if not toxic and n])
     seen = _maxima(sample, model)
     model.offset, model.slope = _logistic([math.log1p(x[3]) for x in seen], [x[0] for x in seen])
     return model
@@ -220,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            found = [m.passages(words_of(x)) for x in batch.column("text").to_pylist()]
+            found = [m.passages(x) for x in batch.column("text").to_pylist()]
             scores = [m.probability(sum(-math.log(max(p[3], 1e-300)) for p in x)) for x in found]
             listed = [[dict(zip(("start", "end", "score", "expected"), p, strict=True)) for p in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(listed, passage)], ["doc_id", "score", "passages"])
@@ -229,13 +260,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold; all columns, unchanged."""
+    """The rows of ``docs`` whose text scores below the threshold; all columns, unchanged. A row's fate is
+    its text's: repeated rows share it, null and empty texts stay; an empty table stays empty."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            keep = [m.probability(m.evidence(words_of(x))) < threshold for x in batch.column("text").to_pylist()]
+            keep = [m.probability(m.evidence(x)) < threshold for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
