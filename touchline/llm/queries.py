@@ -96,9 +96,11 @@ QUERIES = {
         op10_license_scan,
     )
 }
+
+
 def _templates() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, own in licenses.TEMPLATES.items() for text in own)
+    return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.listed(licenses.TEMPLATES))
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,20 +155,28 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_license_scan": f"""
-        WITH t AS (
-            SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tg
-            FROM (SELECT license, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {_templates()}) v(license, text))
-        ), lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents
-            UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))
+        WITH given AS (
+            SELECT license, text, row_number() OVER () AS template FROM (VALUES {_templates()}) v(license, text)
+        ), texts AS (
+            SELECT template, NULL AS doc_id, text FROM given UNION ALL SELECT NULL, doc_id, text FROM documents
         ), words AS (
-            SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM lines
-        ), units AS (
-            SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words WHERE len(w) < 500 AND w <> ['']
-        ), found AS (
-            SELECT doc_id, line, license, 2e0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM units, t
+            SELECT template, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM texts
+        ), pairs AS (
+            SELECT template, doc_id, k AS place, w[k] || ' ' || w[k + 1] AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS k FROM words)
+        ), grams AS (
+            SELECT DISTINCT template, gram FROM pairs WHERE template IS NOT NULL
+        ), sizes AS (
+            SELECT template, license, count(*) AS n, floor(count(*) * {2 - licenses.LEAST_DICE}e0 / {licenses.LEAST_DICE}e0 + 1e-9) AS high FROM grams JOIN given USING (template) GROUP BY ALL
+        ), hits AS (
+            SELECT p.doc_id, g.template, place, lag(place) OVER (PARTITION BY p.doc_id, g.template, gram ORDER BY place) AS before FROM pairs p JOIN grams g USING (gram) WHERE p.template IS NULL
+        ), runs AS (
+            SELECT a.doc_id, license, b.place - a.place + 1 AS length, n,
+                   count(*) FILTER (b.before IS NULL OR b.before < a.place) OVER (PARTITION BY a.doc_id, a.template, a.place ORDER BY b.place) AS shared
+            FROM hits a JOIN sizes s ON a.template = s.template JOIN hits b ON a.doc_id = b.doc_id AND a.template = b.template AND b.place BETWEEN a.place AND a.place + high - 1
         ), best AS (
-            SELECT doc_id, count(DISTINCT line) AS n_matches, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM found WHERE dice >= {licenses.LEAST_DICE}e0 GROUP BY doc_id
+            SELECT doc_id, license, max(2e0 * shared / (length + n)) AS dice FROM runs GROUP BY doc_id, license HAVING max(2e0 * shared / (length + n)) >= {licenses.LEAST_DICE}e0
+        ), found AS (
+            SELECT doc_id, count(*) AS n_matches, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM best GROUP BY doc_id
         )
-        SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, dice FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
+        SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, f.dice FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
 }
