@@ -55,11 +55,23 @@ def listed(templates: Mapping[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     return [(name, text) for name, own in templates.items() for text in own if bigrams(normal(text))]
 
 
-def _possible(words: Column, texts: list[tuple[str, str]], least: float) -> Column:
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _possible(text: Column, texts: list[tuple[str, str]], least: float) -> Column:
     """The numbers of the templates of which a text has enough words."""
-    known = F.array_intersect(words, F.array(*map(F.lit, sorted({w for _, x in texts for w in normal(x)}))))
-    tests = [F.when(F.size(F.array_intersect(known, F.array(*map(F.lit, sorted(set(normal(x))))))) >= least_words(x, least), F.lit(k)) for k, (_, x) in enumerate(texts)]
-    return F.array_compact(F.array(*tests))
+    every = F.array(*map(F.lit, sorted({w for _, x in texts for w in normal(x)})))
+
+    def tests(known: Column) -> Column:
+        own = [F.array(*map(F.lit, sorted(set(normal(x))))) for _, x in texts]
+        enough = [F.size(F.array_intersect(known, words)) >= least_words(x, least) for words, (_, x) in zip(own, texts, strict=True)]
+        return F.array_compact(F.array(*[F.when(on, F.lit(k)) for k, on in enumerate(enough)]))
+
+    fewest = min((least_words(x, least) for _, x in texts), default=1)
+    none = F.array().cast("array<int>")
+    return _let(F.array_intersect(_words(text), every), lambda known: F.when(F.size(known) >= fewest, tests(known)).otherwise(none))
 
 
 def _hits(docs: DataFrame, texts: list[tuple[str, str]], least: float) -> DataFrame:
@@ -67,7 +79,8 @@ def _hits(docs: DataFrame, texts: list[tuple[str, str]], least: float) -> DataFr
     templates of which the text has enough words. Rows that repeat a text under one id count once."""
     spark = docs.sparkSession
     grams = spark.createDataFrame([(g, k) for k, (_, x) in enumerate(texts) for g in sorted(bigrams(normal(x)))], "gram string, template int")
-    rows = docs.select(*KEY, _words(F.col("text")).alias("words")).withColumn("possible", _possible(F.col("words"), texts, least)).where(F.size("possible") > 0)
+    rows = docs.select(*KEY, "text", _possible(F.col("text"), texts, least).alias("possible")).where(F.size("possible") > 0)
+    rows = rows.select(*KEY, "possible", _words(F.col("text")).alias("words"))
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
     each = rows.select(*KEY, "possible", F.posexplode(pairs).alias("place", "gram"))
     return each.join(F.broadcast(grams), "gram").where(F.array_contains("possible", F.col("template"))).select(*KEY, "template", "place", "gram").distinct()
