@@ -64,6 +64,40 @@ def test_distances_by_hand(documents, texts):
     assert got["char_distance"] == pytest.approx(js(q.char_classes(text).astype(float), classes.astype(float)), abs=1e-9)
 
 
+def test_all_verdicts_by_hand(spark, documents):
+    """Distances and verdicts of all documents, from references counted in plain Python; a language of few
+    words has none, and what one language holds changes no other's verdicts."""
+    few = spark.createDataFrame([(-1, "## ## " * 120, "xx", "src0", 0), (-2, "!!! ??? " * 400, None, "src0", 0)], documents.schema)
+    rows = documents.unionByName(few).collect()
+    words, classes = {}, {}
+    for r in rows:
+        lang = r["lang"] or ""
+        words.setdefault(lang, Counter()).update(r["text"].lower().split())
+        classes.setdefault(lang, Counter()).update(q._class_of(ord(c)) if ord(c) < 1 << 16 else 9 for c in r["text"])
+
+    def js(a, b):
+        p, r = {k: v / sum(a.values()) for k, v in a.items()}, {k: v / sum(b.values()) for k, v in b.items()}
+        terms = [x * math.log2(x / ((p.get(k, 0) + r.get(k, 0)) / 2)) for side in (p, r) for k, x in side.items() if x]
+        return math.sqrt(max(0.0, sum(terms) / 2))
+
+    got = {r["doc_id"]: r for r in q.assess(documents.unionByName(few)).collect()}
+    judged = 0
+    for r in rows:
+        lang, text = r["lang"] or "", r["text"]
+        own, total = words[lang], sum(words[lang].values())
+        common = {w for w, n in own.items() if 1000 * n >= total}
+        merged = lambda c, common=common: sum((Counter({w if w in common else None: n}) for w, n in c.items()), Counter())
+        by_char = js(Counter(q._class_of(ord(c)) if ord(c) < 1 << 16 else 9 for c in text), classes[lang]) if len(text) >= 200 and total >= 1000 else None
+        by_word = js(merged(Counter(text.lower().split())), merged(own)) if len(text.split()) >= 50 and total >= 1000 else None
+        x = got[r["doc_id"]]
+        assert (x["char_distance"], x["word_distance"]) == (pytest.approx(by_char, abs=1e-9), pytest.approx(by_word, abs=1e-9))
+        assert x["kept"] == (not base(text)[5] and (by_char or 0) <= 0.28 and (by_word or 0) <= 0.5)
+        judged += by_word is not None
+    assert judged > 100 and got[-1]["char_distance"] is None
+    before = {r["doc_id"]: r for r in q.assess(documents).collect()}
+    assert all(got[d] == r for d, r in before.items())
+
+
 def test_classes():
     assert q.char_classes("aB中́3 \n.|\x00\U0001f600").tolist() == [1, 1, 1, 1, 1, 1, 1, 1, 1, 2]
 

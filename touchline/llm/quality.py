@@ -18,7 +18,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEATED_SHARE = 50  # percent
 
-LEAST_SHARE = 1 / 1000  #: of a language's words, to be one of its common words; of all words, to have a reference
+LEAST_SHARE = 1 / 1000  #: of a language's words, to be one of its common words
+REFERENCE_WORDS = 1000  #: of a language, for it to have a reference
+MAX_COMMON_WORDS = 1_000_000  #: of all languages together
 MIN_CHARS = 200  #: shorter texts aren't judged by their characters
 MIN_JUDGED_WORDS = 50  #: nor by their words
 MAX_CHAR_DISTANCE = 0.28
@@ -135,28 +137,26 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, least_share: float = LEAST_SHARE) -> dict[str | None, Reference]:
-    """A reference for each language with a thousandth of all words or more, and one, under None, of
-    all documents for the others. So there are a thousand languages at most with a thousand words
-    each, which bounds what comes to the driver and goes out to the tasks whatever the corpus."""
+def references(docs: DataFrame) -> dict[str, Reference]:
+    """A reference for each language with REFERENCE_WORDS words or more, counted over all its documents,
+    whatever else the corpus holds. A language has a thousand common words at most; more than
+    MAX_COMMON_WORDS of all languages, which would be thousands of languages, raise an error."""
     counts = common.written(corpus_counts(docs), "counts")
-    totals = common.written(counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("total")).where("total > 0"), "totals")
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    large = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= least_share * everything).collect()}
-    if not large:
-        return {}
-    bound = F.broadcast(totals.where(F.col("total") >= least_share * everything))
-    own = counts.join(bound, "lang")
-    frequent = own.where(F.col("word").isNotNull() & (F.col("n") >= least_share * F.col("total"))).select("lang", "word", "n").collect()
-    classes = own.where("class is not null").select("lang", "class", "n").collect()
-    whole = counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_share * everything).collect()
-    all_classes = counts.where("class is not null").groupBy("class").agg(F.sum("n").alias("n")).collect()
-
-    def histogram(rows) -> list[int]:
-        return [sum(r["n"] for r in rows if r["class"] == k) for k in range(len(CLASSES))]
-
-    found = {x: Reference(histogram([r for r in classes if r["lang"] == x]), {bytes(r["word"]): r["n"] for r in frequent if r["lang"] == x}, n) for x, n in large.items()}
-    return found | {None: Reference(histogram(all_classes), {bytes(r["word"]): r["n"] for r in whole}, everything)}
+    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("total")).where(F.col("total") >= REFERENCE_WORDS)
+    own = counts.join(common.written(totals, "totals"), "lang")
+    known = common.written(own.where(F.col("word").isNull() | (F.col("n") >= LEAST_SHARE * F.col("total"))), "references")
+    if known.count() > MAX_COMMON_WORDS:
+        raise ValueError("too many languages for references that every task holds")
+    classes: dict[str, list[int]] = {}
+    words: dict[str, dict[bytes, int]] = {}
+    sums: dict[str, int] = {}
+    for r in known.collect():
+        sums[r["lang"]] = r["total"]
+        if r["word"] is None:
+            classes.setdefault(r["lang"], [0] * len(CLASSES))[r["class"]] = r["n"]
+        else:
+            words.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
+    return {x: Reference(classes[x], words.get(x, {}), n) for x, n in sums.items()}
 
 
 RESULT = (
@@ -186,9 +186,10 @@ def assess(docs: DataFrame) -> DataFrame:
     """RESULT for every row of ``docs(doc_id, text, lang)``: the base rules' figures, the distances from
     the language's reference (null where the text is too short to judge) and the verdict.
 
-    A null text counts as empty, and an empty one fails the base rules. A null language, like any with
-    under a thousandth of all words, is held against the histograms of all documents. Repeated rows
-    get a row each; an empty table gives an empty table; other columns are ignored.
+    A null text counts as empty, and an empty one fails the base rules. A null language is a language of
+    its own, like the empty name. Texts in a language of under a thousand words in all aren't judged by
+    distance, like short texts. Repeated rows get a row each; an empty table gives an empty table; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(references(docs))
@@ -198,7 +199,7 @@ def assess(docs: DataFrame) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = known.value
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            rows = [judge(t, refs.get(x) or refs.get(None)) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            rows = [judge(t, refs.get(x)) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
