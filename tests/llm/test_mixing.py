@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -25,26 +26,27 @@ def test_margins_are_met(mixed, texts):
     assert {r["doc_id"]: r["tokens"] for r in mixed} == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in texts.items()}
     for name in m.DIMENSIONS:
         natural = cell_sums(mixed, name, lambda r: r["tokens"])
-        power = {k: v**m.TEMPER for k, v in natural.items() if v}
+        power = {k: v ** m.TEMPER[name] for k, v in natural.items() if v}
         want = {k: v / sum(power.values()) for k, v in power.items()}
         got = cell_sums(mixed, name)
         assert {k: got[k] for k in want} == pytest.approx(want, rel=2e-2)
 
 
 def test_equals_plain_fitting(spark):
-    cells = [("a", "x", "p", 10), ("a", "y", "p", 30), ("b", "x", "q", 60), ("b", "y", "p", 5), ("c", "y", "q", 20)]
+    cells = [(a, b, c, 5 + 7 * k) for k, (a, b, c) in enumerate((a, b, c) for a in "abc" for b in "xy" for c in "pq")]
+    total = sum(c[3] for c in cells)
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.4, "q": 0.6}}
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    got = {(r["source"], r["lang"], r["topic"]): r["factor"] for r in m.rake(df, targets, rounds=8, tolerance=0).collect()}
+    got = {(r["source"], r["lang"], r["topic"]): r["factor"] for r in m.rake(df, targets, tolerance=1e-9).collect()}
     factor = {c[:3]: 1.0 for c in cells}
-    for _ in range(8):
+    for _ in range(300):
         for k, name in enumerate(m.DIMENSIONS):
             mass = defaultdict(float)
             for c in cells:
                 mass[c[k]] += c[3] * factor[c[:3]]
             for c in cells:
-                factor[c[:3]] *= targets[name][c[k]] * 125 / mass[c[k]]
-    assert got == pytest.approx(factor)
+                factor[c[:3]] *= targets[name][c[k]] * total / mass[c[k]]
+    assert got == pytest.approx(factor, rel=1e-6)
 
 
 def test_value_without_target_gets_nothing(spark):
@@ -112,3 +114,47 @@ def test_an_odd_document_does_not_shrink_the_sample(spark):
         assert kept == pytest.approx((1 - m.SHORTFALL) * scale * mass, rel=1e-6)
         share.append(kept / sum(r["tokens"] for r in rows))
     assert share[1] == pytest.approx(share[0], rel=0.02)
+
+
+def test_margins_that_cannot_be_met_are_told(spark):
+    """A language that only one source has, and that has no other: two targets, one cell."""
+    cells = [("a", "x", "p", 50), ("b", "y", "p", 30), ("b", "z", "p", 20)]
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.8, "y": 0.1, "z": 0.1}}
+    rows = m.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets).collect()
+    assert all(r["unmet"] > 0.3 for r in rows)
+    met = m.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), {"lang": {"x": 0.5, "y": 0.25, "z": 0.25}, "source": {"a": 0.5, "b": 0.5}}).collect()
+    assert all(r["unmet"] < m.TOLERANCE for r in met)
+
+
+def kind_of(text):
+    text = text or ""
+    tokens, n = re.findall(r"[^\x20\x09-\x0D]+", text), max(1, len(text))
+    if any(len(set(tokens[i : i + 10])) == 1 for i in range(len(tokens) - 9)):
+        return "repetition"
+    share = lambda marks: sum(map(text.count, marks)) / n
+    if share("{}<>[]()=;/\\_|*#$%&@") >= 0.03:
+        return "markup"
+    if share("0123456789") >= 0.05:
+        return "figures"
+    if sum(unicodedata.category(c) == "Lu" for c in text) / n >= 0.25:
+        return "capitals"
+    lines = sum(bool(x.strip(" \t\n\r\v\f")) for x in text.split("\n"))
+    if lines >= 5 and len(tokens) <= 6 * lines:
+        return "list"
+    return "note" if len(tokens) < 50 else "prose"
+
+
+def test_topics_probabilities_and_kept_by_hand(spark, documents, mixed, odd_texts):
+    more = ["a" * 10 + " " + "b " * 9, "b " * 10, "x <y> {z}; " * 9, "12 345 6789", "LOUD TEXT HERE", "one\ntwo\n\nthree\nfour\nfive six", "ÄÖÜ ß", "ab ab ab ab ab ab ab ab ab abc", "w\n" * 9 + "w"]
+    kinds = spark.createDataFrame(list(enumerate([*more, *(x for x in odd_texts if x is not None)])), "k long, text string").select("text", m.topic_of(F.col("text")).alias("topic")).collect()
+    assert [r["topic"] for r in kinds] == [kind_of(r["text"]) for r in kinds] and len({r["topic"] for r in kinds}) == 7
+    rows = {r["doc_id"]: r for r in documents.withColumn("u", m.uniform(F.col("doc_id"), 7)).collect()}
+    assert all(r["topic"] == kind_of(rows[r["doc_id"]]["text"]) for r in mixed)
+    total, mass = sum(r["tokens"] for r in mixed), sum(r["tokens"] * r["weight"] for r in mixed)
+    assert mass == pytest.approx(total, rel=1e-3)
+    free = {r["probability"] / r["weight"] for r in mixed if r["probability"] < 1 and r["weight"]}
+    scale = max(free)
+    assert min(free) == pytest.approx(scale)
+    assert all(r["probability"] == pytest.approx(min(1, scale * r["weight"])) for r in mixed)
+    assert sum(r["tokens"] * r["probability"] for r in mixed) == pytest.approx((1 - m.SHORTFALL) * scale * mass, rel=1e-6)
+    assert all(r["kept"] == (rows[r["doc_id"]]["u"] < r["probability"]) for r in mixed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -10,19 +11,20 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = ("source", "lang", "topic")
-TEMPER = 0.9  #: default target share: in proportion to the token share to this power
-ROUNDS = 12  #: of fitting, at most
-TOLERANCE = 1e-4  #: of the largest margin's relative error, to stop
+#: Default target share: in proportion to the token share to this power, by dimension. So large sources and
+#: languages give way to small ones.
+TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+TOLERANCE = 1e-4  #: share of the tokens that lie off their marginals, to stop
+PROGRESS = 0.99  #: or where a round leaves more of it than this share: the margins can't all be met
 SHORTFALL = 0.01  #: share of the target tokens that cells kept whole may lack; it sets the size of a sample without a ``share``
 
-#: Topics by marks of the text; the first that fits counts. A parameter of :func:`sample_to_targets`.
-TOPICS = (
-    ("licensing", ("license", "copyright", "all rights reserved")),
-    ("contact data", ("@", "token =", "password")),
-    ("tabular", (" | ",)),
-    ("loud", ("!!",)),
-)
-REST = "prose"
+# What a text is made of; the tables name no topics. Shares are of its characters, lines are those with a word.
+MARKUP, MARKUP_SHARE = r"[{}<>\[\]()=;/\\_|*#$%&@]", 0.03
+DIGIT_SHARE = 0.05
+CAPITAL_SHARE = 0.25
+NOTE_TOKENS = 50
+LIST_LINES, LIST_TOKENS = 5, 6  #: a list has so many lines, of so many tokens on average at most
+MONOTONE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){9}(?![^\x20\x09-\x0D])"  #: ten times the same word
 
 
 def n_tokens(text: Column) -> Column:
@@ -30,21 +32,29 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def topic_of(text: Column, topics=TOPICS) -> Column:
-    lowered, out = F.lower(text), F.lit(REST)
-    for name, marks in reversed(topics):
-        found = F.lit(False)
-        for mark in marks:
-            found = found | F.contains(lowered, F.lit(mark))
-        out = F.when(found, name).otherwise(out)
-    return out
+def topic_of(text: Column) -> Column:
+    """The kind of a text, by what it is made of: the first that fits of repetition, code and markup, figures,
+    capitals, lists, notes (short texts) and prose. Columns are measured, no words looked up, so it is the
+    same for any language."""
+    length, tokens = F.greatest(F.length(text), F.lit(1)), n_tokens(text)
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / length
+    lines = F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*"))
+    return (
+        F.when(F.regexp_like(text, F.lit(MONOTONE)), "repetition")
+        .when(share(MARKUP) >= MARKUP_SHARE, "markup")
+        .when(share(r"[0-9]") >= DIGIT_SHARE, "figures")
+        .when(share(r"\p{Lu}") >= CAPITAL_SHARE, "capitals")
+        .when((lines >= LIST_LINES) & (tokens <= LIST_TOKENS * lines), "list")
+        .when(tokens < NOTE_TOKENS, "note")
+        .otherwise("prose")
+    )
 
 
 def _targets(cells: DataFrame, dimension: str, shares: Mapping[str, float] | None) -> DataFrame:
     """value and target (a share; they sum to 1 over the values that occur)."""
     by = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     if shares is None:
-        wanted = by.withColumn("target", F.pow(F.col("tokens").cast("double"), F.lit(TEMPER)))
+        wanted = by.withColumn("target", F.pow(F.col("tokens").cast("double"), F.lit(TEMPER[dimension])))
     else:
         named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "value string, target double")
         wanted = by.join(F.broadcast(named), "value", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
@@ -52,33 +62,39 @@ def _targets(cells: DataFrame, dimension: str, shares: Mapping[str, float] | Non
     return wanted.join(F.broadcast(total), F.col("all") > 0).select("value", (F.col("target") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], tolerance: float = TOLERANCE) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` with ``factor``: tokens times factor has the target
-    marginals, as nearly as the cells allow.
+    marginals, as nearly as the cells allow; and ``unmet``, the largest relative error that is left in
+    the marginals of a cell's values.
 
     Each step scales the cells of every value of one dimension to that value's target; sums by value
     are combined before they move, so a value with most of the cells is no hot task. The cells are
-    written once a round, and the rounds end when all margins are met. A value without a target (or
-    with target 0) gets the factor 0.
+    written once a round. Rounds end when hardly any token lies off its marginals, or when a round brings
+    no progress: where a source has a language to itself, say, and their targets differ, no factors meet
+    both, and ``unmet`` says by how much. A value without a target (or with target 0) gets the factor 0.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = {d: common.written(_targets(cells, d, targets.get(d)), f"targets-{d}") for d in DIMENSIONS}
-    cells = common.written(cells.withColumn("factor", F.lit(1.0)), "cells")
-    for _ in range(rounds if total else 0):
-        now = cells.withColumn("error", F.lit(0.0))
+
+    def change(now: DataFrame, d: str) -> DataFrame:
+        margin = now.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass"))
+        scale = F.coalesce(F.col("target") * total / F.nullif(F.col("mass"), F.lit(0.0)), F.lit(0.0))
+        return margin.join(wanted[d], "value", "left").select(F.col("value").alias(d), scale.alias("change"))
+
+    error = F.when(F.col("change") > 0, F.abs(1 / F.col("change") - 1)).otherwise(0.0)  # of the margin before the step
+    cells = common.written(cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(None).cast("double").alias("unmet")), "cells")
+    last, going = math.inf, bool(total)
+    while going:
+        now = cells.withColumns({"unmet": F.lit(0.0), "off": F.lit(0.0)})
         for d in DIMENSIONS:
-            margin = now.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass"))
-            change = margin.join(wanted[d], "value", "left").select(F.col("value").alias(d), F.coalesce(F.col("target") * total / F.nullif(F.col("mass"), F.lit(0.0)), F.lit(0.0)).alias("change"))
-            now = now.join(change, d).select(
-                *DIMENSIONS, "tokens", (F.col("factor") * F.col("change")).alias("factor"), F.greatest("error", F.when(F.col("change") > 0, F.abs(F.col("change") - 1)).otherwise(0.0)).alias("error")
-            )
+            off = F.col("off") + F.col("tokens") * F.col("factor") * F.abs(1 - F.col("change"))
+            now = now.join(change(now, d), d).select(*DIMENSIONS, "tokens", (F.col("factor") * F.col("change")).alias("factor"), F.greatest("unmet", error).alias("unmet"), off.alias("off"))
         now = common.written(now, "cells")
-        worst = now.agg(F.max("error")).first()[0]
+        off = now.agg(F.sum("off")).first()[0] / total
         common.dropped(cells)
-        cells = now
-        if worst is None or worst < tolerance:
-            break
-    return cells.select(*DIMENSIONS, "tokens", "factor")
+        cells, going = now, tolerance < off <= PROGRESS * last
+        last = off
+    return cells.select(*DIMENSIONS, "tokens", "factor", F.coalesce("unmet", F.lit(0.0)).alias("unmet"))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -86,17 +102,17 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def described(docs: DataFrame, topics=TOPICS) -> DataFrame:
+def described(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic and tokens of every document; null names count as an empty name."""
-    return docs.select("doc_id", *_names("", topics), n_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return docs.select("doc_id", *_names(""), n_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
-def _names(at: str, topics) -> list[Column]:
+def _names(at: str) -> list[Column]:
     """source, lang and topic of a row or of the struct ``at``."""
     return [
         F.coalesce(F.col(f"{at}source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(f"{at}lang").cast("string"), F.lit("")).alias("lang"),
-        topic_of(F.coalesce(f"{at}text", F.lit("")), topics).alias("topic"),
+        topic_of(F.coalesce(f"{at}text", F.lit(""))).alias("topic"),
     ]
 
 
@@ -105,13 +121,12 @@ def sample_to_targets(
     targets: Mapping[str, Mapping[str, float] | None] | None = None,
     share: float | None = None,
     seed: int = 7,
-    topics=TOPICS,
 ) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability and kept of every row of
+    """doc_id, source, lang, topic, tokens, weight, unmet, probability and kept of every row of
     ``docs(doc_id, text, lang, source)``.
 
-    ``targets`` gives token shares by dimension (missing: the corpus's own shares to the power TEMPER).
-    ``weight`` is the raked factor of the document's cell. Probabilities are in proportion to it, 1 at
+    ``targets`` gives token shares by dimension (missing: the corpus's own shares to the power that TEMPER has for it).
+    ``weight`` is the raked factor of the document's cell, ``unmet`` the error left in its margins (see :func:`rake`). Probabilities are in proportion to it, 1 at
     most. With no ``share`` the sample is the largest of which cells kept whole lack SHORTFALL of the
     tokens, so that a scarce cell counts by its tokens and can't shrink the sample. With one, the
     expected tokens are that share of all, where weights that reach certainty stay there and the
@@ -122,7 +137,7 @@ def sample_to_targets(
     Documents in cells without tokens have weight 1. Other columns are ignored; an empty table gives
     an empty table.
     """
-    named = common.written(described(docs, topics), "described")
+    named = common.written(described(docs), "described")
     rows = named.join(*_own_cell(fitted_cells(named, targets, share)))
     probability = F.coalesce("probability", F.lit(1.0))
     return rows.select(
@@ -130,6 +145,7 @@ def sample_to_targets(
         *DIMENSIONS,
         "tokens",
         F.coalesce("factor", F.lit(1.0)).alias("weight"),
+        F.coalesce("unmet", F.lit(0.0)).alias("unmet"),
         probability.alias("probability"),
         (uniform(F.col("doc_id"), seed) < probability).alias("kept"),
     )
@@ -145,7 +161,7 @@ def fitted_cells(named: DataFrame, targets: Mapping[str, Mapping[str, float] | N
 def _own_cell(fitted: DataFrame) -> tuple[DataFrame, Column, str]:
     """What joins its cell to a row with the columns DIMENSIONS."""
     keys = [F.col(d) == F.col(f"c_{d}") for d in DIMENSIONS]
-    return fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "factor", "probability"), keys[0] & keys[1] & keys[2], "left"
+    return fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "factor", "unmet", "probability"), keys[0] & keys[1] & keys[2], "left"
 
 
 def _calibrated(cells: DataFrame, share: float | None) -> Column:
@@ -192,11 +208,11 @@ def sampled(
     targets: Mapping[str, Mapping[str, float] | None] | None = None,
     share: float | None = None,
     seed: int = 7,
-    topics=TOPICS,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`sample_to_targets` keeps; all columns, unchanged. Each row has its
-    own fate, by its cell and id."""
-    named = common.written(described(docs, topics), "described")
+    own fate, by its cell and id: rows that repeat an id share it within a cell, null ids are hashed like
+    others, texts without tokens stay, and an empty table stays empty."""
+    named = common.written(described(docs), "described")
     fitted = fitted_cells(named, targets, share)
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), *_names("row.", topics))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), *_names("row."))
     return rows.join(*_own_cell(fitted)).where(uniform(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(1.0))).select("row.*")
