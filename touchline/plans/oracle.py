@@ -196,8 +196,8 @@ SELECTS: dict[str, str] = {
     "p6_positions": f"SELECT {TRACK}, pos_x, pos_y FROM positioned",
     "p7_adjusted_positions": f"SELECT {TRACK}, adj_x, adj_y FROM adjusted",
     "p8_project": f"SELECT {TRACK}, {r6('u', 'v')} FROM projected",
-    "p9_calibrations": "SELECT calibration_id, list_transform(h, lambda v: round(v, 6)) AS h FROM calibrations",
-    "p9_world_by_calibration": f"SELECT {TRACK}, round(u, 3) AS u, round(v, 3) AS v FROM calibrated",
+    "p9_calibrations": "SELECT calibration_id, list_transform(list_zip(h, [1e3, 1e3, 1e0, 1e3, 1e3, 1e0, 1e6, 1e6, 1e0]), lambda v: round(v[1] * v[2], 3)) AS h FROM calibrations",
+    "p9_world_by_calibration": f"SELECT {TRACK}, round(u, 1) AS u, round(v, 1) AS v FROM calibrated",
     "p10_world_positions": f"SELECT {TRACK}, {r6('world_x', 'world_y')} FROM world",
     "p11_kmh": f"SELECT {_kinds}, start, round(speed_kmh, 6) AS speed_kmh FROM windows",
     "p12_relabel": "SELECT match_id, frame_num, det_index, CASE class_name WHEN 'goalkeeper' THEN 'player' ELSE class_name END AS class_name FROM detections",

@@ -22,6 +22,7 @@ from . import pipeline
 FRAME, TRACK, BOX = schema.FRAME, schema.TRACK, schema.BOX
 KEY = [*FRAME, "object", "track_id"]
 CLASSES = [(0, "ball"), (1, "goalkeeper"), (2, "player"), (3, "referee")]
+CALIBRATION_SCALE = (1e3, 1e3, 1.0, 1e3, 1e3, 1.0, 1e6, 1e6, 1.0)
 SHAPE = [*FRAME, "z", "shape", "track_id", "x", "y"]
 
 
@@ -163,12 +164,13 @@ def p8_project(f: Fixtures) -> DataFrame:
 
 
 def p9_calibrations(f: Fixtures) -> DataFrame:
-    return g.solve_calibrations(f.calibrations).select("calibration_id", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+    scale = F.array(*map(F.lit, CALIBRATION_SCALE))  # so that three digits after the point are told apart in each number
+    return g.solve_calibrations(f.calibrations).select("calibration_id", F.zip_with("h", scale, lambda x, s: F.round(x * s, 3)).alias("h"))
 
 
 def p9_world_by_calibration(f: Fixtures) -> DataFrame:
     found = camera.on_pitch_by_calibration(adjusted(f).join(f.calibrated, "match_id"), f.calibrations)
-    return found.select(*KEY, F.round("world_x", 3).alias("u"), F.round("world_y", 3).alias("v"))
+    return found.select(*KEY, F.round("world_x", 1).alias("u"), F.round("world_y", 1).alias("v"))
 
 
 def p10_world_positions(f: Fixtures) -> DataFrame:
