@@ -30,6 +30,27 @@ def test_word_by_word_equals_the_library(library, odd_texts, texts):
     assert [x.tolist() for x in again] == [whole(library, x)[:-1] for x in every[:5]]
 
 
+def test_other_tokenizers_take_texts_whole(library, tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    settings = json.loads(library.to_str())
+    assert t.special_marks(settings) == ["<|"] and t.WordEncoder(PATH, "<u2").marks == ["<|"]
+    texts = ["Café au LAIT, 12 o'clock's", "two  words", "", None]
+    others = [
+        settings | {"normalizer": {"type": "NFC"}},
+        settings | {"pre_tokenizer": settings["pre_tokenizer"] | {"pretokenizers": settings["pre_tokenizer"]["pretokenizers"][1:]}},
+        settings | {"added_tokens": [*settings["added_tokens"], settings["added_tokens"][0] | {"id": len(library.get_vocab()), "content": "words"}]},
+    ]
+    for k, other in enumerate(others):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(other))
+        encode, exact = t.WordEncoder(str(path), "<u2"), Tokenizer.from_file(str(path))
+        assert encode.marks is None
+        assert [x.tolist() for x in encode(pa.array(texts, pa.string()))] == [whole(exact, x)[:-1] for x in texts]
+
+
 def test_memory_of_words_is_bounded(library, monkeypatch):
     import pyarrow as pa
 

@@ -10,6 +10,7 @@ documents asked for and decompresses no others.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -50,19 +51,39 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
+#: How a tokenizer normalizes and splits that lower-cases, drops white space and never merges across it or
+#: across the border of letters and ASCII marks (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def special_marks(settings: dict) -> list[str] | None:
+    """For a tokenizer's settings (its JSON): what a text holds if it holds one of its added tokens. None if
+    its texts can't be encoded word by word, or an added token doesn't begin with ASCII marks."""
+    model, sequence = settings["model"], settings.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    split = sequence.get("type") == "Sequence" and sequence.get("pretokenizers") == [SPLIT, BYTE_LEVEL]
+    if not plain or not split or settings.get("normalizer") != NORMALIZER or settings.get("truncation") or settings.get("padding"):
+        return None
+    marks = [re.match(r"[!-/:-@\[-`{-~]*", x["content"])[0] for x in settings.get("added_tokens", [])]
+    return sorted(set(marks)) if all(marks) else None
+
+
 class WordEncoder:
     """Encodes texts by the words between white space, each looked up once and remembered.
 
-    This is exact for a tokenizer that lower-cases, drops white space and never merges across it or
-    across the border of letters and ASCII marks: a text's ids are then those of its words in a row.
-    Texts that may hold a special token go to the library whole, and so do all if ``by_word`` is off.
+    A text's ids are those of its words in a row if the tokenizer's file says that it splits so (see
+    :func:`special_marks`). Texts that may hold a special token go to the library whole; so do all of any
+    other tokenizer, and all if ``by_word`` is off.
     """
 
     def __init__(self, path: str, dtype: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.dtype, self.by_word = self.tokenizer.model, dtype, by_word
+        self.model, self.dtype = self.tokenizer.model, dtype
+        self.marks = special_marks(json.loads(self.tokenizer.to_str())) if by_word else None
         self.memo: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -97,7 +118,9 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring(texts, "<|") if self.by_word else pa.repeat(pa.scalar(True), len(texts))
+        whole = pa.repeat(pa.scalar(self.marks is None), len(texts))
+        for mark in self.marks or []:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(whole, "", texts).cast(pa.large_string())))
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
         index, word = coded.indices.to_numpy(), self._word
