@@ -146,7 +146,7 @@ def kind_of(text):
 
 def test_topics_probabilities_and_kept_by_hand(spark, documents, mixed, odd_texts):
     more = ["a" * 10 + " " + "b " * 9, "b " * 10, "x <y> {z}; " * 9, "12 345 6789", "LOUD TEXT HERE", "one\ntwo\n\nthree\nfour\nfive six", "ÄÖÜ ß", "ab ab ab ab ab ab ab ab ab abc", "w\n" * 9 + "w"]
-    kinds = spark.createDataFrame(list(enumerate([*more, *(x for x in odd_texts if x is not None)])), "k long, text string").select("text", m.topic_of(F.col("text")).alias("topic")).collect()
+    kinds = spark.createDataFrame(list(enumerate([*more, *(x for x in odd_texts if x is not None)])), "k long, text string").select("text", m.topic_of(F.col("text"), m.n_tokens(F.col("text"))).alias("topic")).collect()
     assert [r["topic"] for r in kinds] == [kind_of(r["text"]) for r in kinds] and len({r["topic"] for r in kinds}) == 7
     rows = {r["doc_id"]: r for r in documents.withColumn("u", m.uniform(F.col("doc_id"), 7)).collect()}
     assert all(r["topic"] == kind_of(rows[r["doc_id"]]["text"]) for r in mixed)

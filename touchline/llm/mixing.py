@@ -24,7 +24,7 @@ DIGIT_SHARE = 0.05
 CAPITAL_SHARE = 0.25
 NOTE_TOKENS = 50
 LIST_LINES, LIST_TOKENS = 5, 6  #: a list has so many lines, of so many tokens on average at most
-MONOTONE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){9}(?![^\x20\x09-\x0D])"  #: ten times the same word
+MONOTONE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1){9}(?![^\x20\x09-\x0D])"  #: ten times the same word
 
 
 def n_tokens(text: Column) -> Column:
@@ -32,11 +32,11 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """The kind of a text, by what it is made of: the first that fits of repetition, code and markup, figures,
+def topic_of(text: Column, tokens: Column) -> Column:
+    """The kind of a text of so many tokens, by what it is made of: the first that fits of repetition, code and markup, figures,
     capitals, lists, notes (short texts) and prose. Columns are measured, no words looked up, so it is the
     same for any language."""
-    length, tokens = F.greatest(F.length(text), F.lit(1)), n_tokens(text)
+    length = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / length
     lines = F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*"))
     return (
@@ -104,16 +104,21 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic and tokens of every document; null names count as an empty name."""
-    return docs.select("doc_id", *_names(""), n_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-
-
-def _names(at: str) -> list[Column]:
-    """source, lang and topic of a row or of the struct ``at``."""
-    return [
-        F.coalesce(F.col(f"{at}source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(f"{at}lang").cast("string"), F.lit("")).alias("lang"),
-        topic_of(F.coalesce(f"{at}text", F.lit(""))).alias("topic"),
-    ]
+    return _described(docs.select(F.struct("doc_id", "source", "lang", "text").alias("row"))).select("doc_id", *DIMENSIONS, "tokens")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """``row``, a document, with what :func:`described` tells of it. Tokens have a projection of their own, for
+    they are used more than once and a pass over the text is dear."""
+    text = F.coalesce("row.text", F.lit(""))
+    counted = rows.select(
+        "row",
+        "row.doc_id",
+        F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("lang"),
+        n_tokens(text).alias("tokens"),
+    )
+    return counted.withColumn("topic", topic_of(text, F.col("tokens")))
 
 
 def sample_to_targets(
@@ -211,8 +216,8 @@ def sampled(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`sample_to_targets` keeps; all columns, unchanged. Each row has its
     own fate, by its cell and id: rows that repeat an id share it within a cell, null ids are hashed like
-    others, texts without tokens stay, and an empty table stays empty."""
-    named = common.written(described(docs), "described")
-    fitted = fitted_cells(named, targets, share)
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), *_names("row."))
+    others, texts without tokens stay, and an empty table stays empty. Rows are written once with their cell,
+    which costs less than to measure each text again."""
+    rows = common.written(_described(docs.select(F.struct("*").alias("row"))), "described")
+    fitted = fitted_cells(rows, targets, share)
     return rows.join(*_own_cell(fitted)).where(uniform(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(1.0))).select("row.*")
