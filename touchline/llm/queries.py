@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, licenses, mixing, quality, sentence_dedup, simhash, token_files, toxicity, warc
+from . import chat, common, decontamination, licenses, mixing, phrases, quality, sentence_dedup, simhash, spelling, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +102,8 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_mixing_to_targets,
         op10_license_scan,
+        op12_spelling_variants,
+        op13_phrase_collocations,
     )
 }
 
@@ -179,4 +189,29 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, count(*) AS n_matches, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM best GROUP BY doc_id
         )
         SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, f.dice FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
+    "op13_phrase_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), pieces AS (
+            SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+        ), places AS (
+            SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k
+        ), counts AS (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT *, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS tail
+            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS j FROM counts WHERE k > 1)
+        ), scores AS (
+            SELECT c.lang, c.k, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail JOIN totals t ON t.lang = c.lang
+        ), best AS (
+            SELECT lang, k, phrase, a, n, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score FROM scores GROUP BY ALL
+        ), inner_phrases AS (
+            SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), b, b + k - 2), ' ') AS phrase, max(f) AS longer FROM counts, (VALUES (1), (2)) v(b) WHERE k > 2 GROUP BY ALL
+        ), kept AS (
+            SELECT b.* FROM best b LEFT JOIN inner_phrases i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR longer < a
+        )
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000""",
 }
