@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, licenses, mixing, phrases, quality, sentence_dedup, simhash, spelling, token_files, toxicity, warc
+from . import chat, common, decontamination, html_extraction, licenses, mixing, phrases, quality, sentence_dedup, simhash, spelling, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_mixing_to_targets,
         op10_license_scan,
+        op11_html_extraction,
         op12_spelling_variants,
         op13_phrase_collocations,
     )
