@@ -87,7 +87,7 @@ def test_classes_equal_grouping_by_whole_vectors(spark, made):
     rows = [(r[1], r[2]) for r in made[0]] + [(made[0][0][1], made[0][0][2])] * 3
     pages = spark.createDataFrame(rows, "url string, html string").select(ex.host_of(F.col("url")).alias("host"), "html")
     got = set()
-    for r in ex.equivalence_classes(ex.count_tokens(pages)).collect():
+    for r in ex.equivalence_classes(ex.count_tokens(pages), ex.page_counts(pages)).collect():
         classes = defaultdict(set)
         for t in r["tokens"]:
             classes[t["class"]].add((t["kind"], t["token"]))

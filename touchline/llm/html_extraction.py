@@ -28,7 +28,7 @@ LEAST_SIZE = 2  #: tokens of a class
 DISORDER = 0.1  #: share of a class's pages on which its tokens may be out of order
 REGION = 0.65  #: share of a host's text that a region holds where no element says that it is the article
 NO_REGION = frozenset("p li dt dd td th tr pre blockquote h1 h2 h3 h4 h5 h6 caption figcaption summary".split())  #: parts of a text
-ELEMENT, TEXT, PAGE = 0, 1, 2
+ELEMENT, TEXT = 0, 1
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +66,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def count_tokens(pages: DataFrame) -> DataFrame:
     """host, kind, token with n (pages it is on), low, high (sums that are equal for tokens of equal occurrence
     vectors), place (its mean place on them) and seen (64 bits, of which different headings set different ones).
-    The token of kind PAGE stands for the host's pages themselves. Summed in each task before rows move."""
+    Summed in each task before rows move."""
 
     def task(batches):
         for part, read_pages in _pages(batches):
@@ -74,7 +74,7 @@ def count_tokens(pages: DataFrame) -> DataFrame:
             number = {h: k for k, h in enumerate(dict.fromkeys(hosts))}
             rows: dict[tuple[int, int, int], list[int]] = {}
             for host, source, page in zip(hosts, part.column("html").to_pylist(), read_pages, strict=True):
-                found: dict[tuple[int, int], list[int]] = {(PAGE, 0): [1, 0]}
+                found: dict[tuple[int, int], list[int]] = {}
                 for place, token in enumerate(tokens_of(page)):
                     own = found.get(token)
                     if own is None:
@@ -105,13 +105,17 @@ def count_tokens(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("n", "low", "high", "place")], F.bit_or("seen").alias("seen"))
 
 
-def equivalence_classes(tokens: DataFrame) -> DataFrame:
+def page_counts(pages: DataFrame) -> DataFrame:
+    """host, n_pages; a scan of the URLs alone."""
+    return pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+
+
+def equivalence_classes(tokens: DataFrame, totals: DataFrame) -> DataFrame:
     """host, n_pages, tokens: an array of kind, token, class and place in page order, of all classes large and
-    frequent enough. A host's tokens are bounded: each is on a fifth of its pages at least, so there are at most
+    frequent enough; ``totals`` has host, n_pages. A host's tokens are bounded: each is on a fifth of its pages at least, so there are at most
     five times as many as a page has."""
-    totals = tokens.where(F.col("kind") == PAGE).select("host", F.col("n").alias("n_pages"))
     share = F.when(F.col("kind") == TEXT, TEXT_SHARE).otherwise(ELEMENT_SHARE)
-    both = tokens.where(F.col("kind") != PAGE).join(totals, "host").where(F.col("n") >= share * F.col("n_pages"))
+    both = tokens.join(totals, "host").where(F.col("n") >= share * F.col("n_pages"))
     both = both.where((F.col("kind") != TEXT) | (F.bit_count("seen") >= LEAST_PAGES))
     each = F.struct(F.col("kind"), F.col("token"), (F.col("place") / F.col("n")).alias("place"))
     classes = both.groupBy("host", "n_pages", "n", "low", "high").agg(F.collect_list(each).alias("own")).where(F.size("own") >= LEAST_SIZE)
@@ -238,7 +242,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, tokens, slots: the valid classes of each host of ``pages(host, html)`` and the text in its slots. Pages
     meet their host's classes by a join on the host, whose small side is a written table: Spark sends it to all
     tasks if it is small, else joins by sorting, where it can split the pages of a hot host."""
-    classes = written(equivalence_classes(count_tokens(pages)), "classes")
+    classes = written(equivalence_classes(count_tokens(pages), page_counts(pages)), "classes")
     measured = written(measure_slots(pages.join(classes.select("host", "tokens"), "host", "left")), "slots")
     bad = measured.where((F.col("kind") == TEXT) & (F.col("bad") > DISORDER * F.col("n"))).groupBy("host").agg(F.collect_list("token").alias("invalid"))
     slots = measured.where(F.col("kind") == ELEMENT).join(classes.select("host", "n_pages"), "host")
