@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
-from ..sources.folder import dropped, written
+from ..schema import BOX, FRAME
+from ..sources.folder import written
 
 CHANNELS = ("b", "g", "r")
+CROP = ("match_id", "frame_num", "track_id")  #: what tells the crops of whole frames apart
 
 
 def cut_boxes(pixels: DataFrame) -> DataFrame:
@@ -20,10 +26,41 @@ def cut_boxes(pixels: DataFrame) -> DataFrame:
     return inside.withColumns({"x": F.col("x") - x1, "y": F.col("y") - y1}).drop("x1", "y1", "x2", "y2")
 
 
-def top_half(pixels: DataFrame) -> DataFrame:
+def top_half(pixels: DataFrame, key: Sequence[str] = ("crop_id",)) -> DataFrame:
     """The upper half of each crop's rows; an odd row in the middle goes to the lower half."""
-    rows = pixels.groupBy("crop_id").agg((F.max("y") + 1).alias("rows"))
-    return pixels.join(rows, "crop_id").where(F.col("y") < F.floor(F.col("rows") / 2)).drop("rows")
+    rows = pixels.groupBy(*key).agg((F.max("y") + 1).alias("rows"))
+    return pixels.join(rows, [*key]).where(F.col("y") < F.floor(F.col("rows") / 2)).drop("rows")
+
+
+def first_boxes(tracks: DataFrame) -> DataFrame:
+    """match_id, track_id, frame_num and box of each player's first row: the one its team is decided by."""
+    players = tracks.where((F.col("object") == "players") & F.col("x1").isNotNull())
+    first = F.min_by(F.struct("frame_num", *BOX), "frame_num").alias("f")
+    return players.groupBy("match_id", "track_id").agg(first).select("match_id", "track_id", "f.*")
+
+
+def crops_from_frames(pixels: DataFrame, boxes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """match_id, frame_num, track_id, x, y, b, g, r: the upper half of each box of ``boxes(match_id, frame_num,
+    track_id, x1, y1, x2, y2)``, cut from frames ``pixels(match_id, frame_num, x, y, b, g, r)``.
+
+    Boxes are as in :func:`cut_boxes`; a frame ends with its last row of pixels, and so does a box that
+    reaches below it. Boxes may overlap: a pixel is in as many crops as hold it. A spatial join: each box is
+    listed in the cells of a grid that its upper half touches, pixels meet boxes by frame and cell, and a
+    test of the box is left for what has met. So no frame's pixels are paired with all of its boxes, and
+    one frame's rows go to as many tasks as it has cells.
+    """
+    size = params.cell
+    x1, y1, x2, y2 = (F.greatest(F.col(c).cast("long"), F.lit(0)) for c in BOX)
+    heights = pixels.groupBy(*FRAME).agg((F.max("y") + 1).alias("height"))
+    whole = boxes.select(*FRAME, "track_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).join(heights, FRAME)
+    half = F.floor((F.least("y2", "height") - F.col("y1")) / 2)
+    upper = whole.select(*FRAME, "track_id", "x1", "y1", "x2", (F.col("y1") + half).alias("y2")).where("x2 > x1 AND y2 > y1")
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size))
+    cells = upper.withColumn("cell_x", F.explode(span("x1", "x2"))).withColumn("cell_y", F.explode(span("y1", "y2")))
+    placed = pixels.select(*FRAME, "x", "y", *CHANNELS, F.floor(F.col("x") / size).alias("cell_x"), F.floor(F.col("y") / size).alias("cell_y"))
+    met = placed.join(cells, [*FRAME, "cell_x", "cell_y"])
+    inside = met.where("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
+    return inside.select(*CROP, (F.col("x") - F.col("x1")).alias("x"), (F.col("y") - F.col("y1")).alias("y"), *CHANNELS)
 
 
 def squared(a: str, b: str) -> Column:
@@ -37,70 +74,122 @@ def nearest(point: str = "", first: str = "c0_", second: str = "c1_") -> Column:
     return F.when(squared(point, first) <= squared(point, second), 0).otherwise(1)
 
 
-STARTS = ("b + g + r", "b", "g", "r")  #: 2-means begins with the least and the greatest point by each
+#: The draws of the ten starts: for the first centre, one from each tenth of the pixels; for the second, from fractions
+#: of the golden ratio, which spread evenly however they pair with the first.
+DRAWS = tuple(((k + 0.5) / 10, (k + 1) * 0.6180339887498949 % 1) for k in range(10))
+EXTREMES = ("b + g + r", "b", "g", "r")  #: four more starts: the least and the greatest colour by each
+
+
+def _apart(a: Column, b: Column) -> Column:
+    parts = [(a[c] - b[c]) * (a[c] - b[c]) for c in CHANNELS]
+    return parts[0] + parts[1] + parts[2]
+
+
+def _first_past(weight: Callable[[Column], Column], limit: Column) -> Column:
+    """The first of the colours ``p`` with which the sum of weights passes the limit; null if none does."""
+    none = F.lit(None).cast("struct<b:double,g:double,r:double>")
+    start = F.struct(F.lit(0.0).alias("sum"), none.alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + weight(x)
+        return F.struct(total.alias("sum"), F.coalesce(acc["hit"], F.when(total > limit, F.struct(*[x[c].alias(c) for c in CHANNELS]))).alias("hit"))
 
+    return F.aggregate("p", start, step, lambda acc: acc["hit"])
 
-def two_means(points: DataFrame, group: str, rounds: int = DEFAULTS.kmeans_rounds) -> DataFrame:
-    """``group`` and the centres c0_b ... c1_r of each group of ``points(group, b, g, r)``.
 
-    Lloyd's rounds over all groups and starts at once, until nothing moves; the start with the least sum
-    of squares counts (to 1e-6; the first of equals), and centre 0 is the darker one. Ties of a point go
-    to centre 0; an empty cluster keeps its centre. A round is one join with the centres, which are
-    written, and one aggregation. More than ``rounds`` of them raise an error.
+def _keyed(names: list[str]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(reduce(add, [x[c] for c in names]).alias("key"), F.struct(*[x[c].alias(c) for c in CHANNELS]).alias("c"))
+
+
+def _seeded() -> Column:
+    """Ten pairs of centres by squared-distance draws, and the four of extremes, for the colours ``p`` of a row. Each
+    step is a transform of the one before, so that what a start has is worked out once."""
+    draws = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in DRAWS])
+    first = F.transform(draws, lambda d: F.struct(_first_past(lambda x: x["n"], d["u"] * F.col("total")).alias("c0"), d["v"].alias("v")))
+    limited = F.transform(first, lambda d: F.struct(d["c0"].alias("c0"), (d["v"] * F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["n"] * _apart(x, d["c0"]))).alias("limit")))
+    seeded = F.transform(limited, lambda d: F.struct(d["c0"].alias("c0"), F.coalesce(_first_past(lambda x: x["n"] * _apart(x, d["c0"]), d["limit"]), d["c0"]).alias("c1")))
+    ends = []
+    for order in EXTREMES:
+        keyed = F.transform("p", _keyed(order.split(" + ")))
+        ends.append(F.struct(F.array_min(keyed)["c"].alias("c0"), F.array_max(keyed)["c"].alias("c1")))
+    return F.concat(seeded, F.array(*ends))
+
+
+def two_means(points: DataFrame, *group: str, rounds: int = DEFAULTS.kmeans_rounds) -> DataFrame:
+    """The group's columns and the centres c0_b ... c1_r of each group of ``points(group, b, g, r)``.
+
+    Lloyd's rounds until nothing moves, from ten starts drawn in proportion to squared distance (fixed draws, so
+    that a group always gets the same) and four of extremes; the start with the least sum of squares counts (to
+    1e-6; the first of equals), and centre 0 is the darker one. Ties of a point go to centre 0; an empty
+    cluster keeps its centre. Still moving after ``rounds`` is an error. The centres are written once.
+
+    Points are counted by colour before they move. A group is then one row with an array of its colours, as
+    many as a crop has at most, and all rounds of all starts are one projection: nothing is shuffled or
+    written between them.
     """
-    starts = []
-    for k, order in enumerate(STARTS):
-        key = F.struct(F.expr(order).alias("key"), *CHANNELS)
-        starts += [F.min(key).alias(f"lo{k}"), F.max(key).alias(f"hi{k}")]
-    each = [F.struct(F.lit(k).alias("start"), *[F.col(f"{e}{k}.{c}").cast("double").alias(f"c{i}_{c}") for i, e in enumerate(("lo", "hi")) for c in CHANNELS]) for k in range(len(STARTS))]
-    ends = points.groupBy(group).agg(*starts).select(group, F.inline(F.array(*each)))
-    centres, names = written(ends, "centres"), [f"c{k}_{c}" for k in (0, 1) for c in CHANNELS]
-    moving = True
-    while moving:
-        if not rounds:
-            raise RuntimeError("2-means still moves after its last round")
-        rounds -= 1
-        label = points.join(centres, group).withColumn("label", nearest())
-        means = [F.avg(F.when(F.col("label") == k, F.col(c).cast("double"))).alias(f"m{k}_{c}") for k in (0, 1) for c in CHANNELS]
-        found = label.groupBy(group, "start").agg(*means).join(centres, [group, "start"])
-        new = [F.coalesce(f"m{n[1:]}", n).alias(n) for n in names]
-        change = F.lit(False)
-        for n in names:
-            change = change | (F.coalesce(f"m{n[1:]}", n) != F.col(n))
-        step = written(found.select(group, "start", *new, change.alias("moved")), "centres")
-        moving = not step.where("moved").isEmpty()
-        dropped(centres)
-        centres = step.drop("moved")
-    cost = points.join(centres, group).groupBy(group, "start").agg(F.round(F.sum(F.least(squared("", "c0_"), squared("", "c1_"))), 6).alias("cost"))
-    spot = lambda k: F.struct(F.expr(f"c{k}_b + c{k}_g + c{k}_r").alias("sum"), *[F.col(f"c{k}_{c}").alias(c) for c in CHANNELS])
-    sorted_ = centres.join(cost, [group, "start"]).withColumns({"c0": F.least(spot(0), spot(1)), "c1": F.greatest(spot(0), spot(1))})
-    best = sorted_.groupBy(group).agg(F.min_by(F.struct("c0", "c1"), F.struct("cost", "start")).alias("best"))
-    return best.select(group, *[F.col(f"best.c{k}.{c}").alias(f"c{k}_{c}") for k in (0, 1) for c in CHANNELS])
-
-
-def corner_vote(pixels: DataFrame, centres: DataFrame) -> DataFrame:
-    """crop_id and ``player_cluster``: the one that isn't the majority of the crop's four corners (a corner
+    colour = [F.col(c).cast("double").alias(c) for c in CHANNELS]
+    counted = points.select(*group, *colour).groupBy(*group, *CHANNELS).agg(F.count("*").cast("double").alias("n"))
+    listed = counted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*CHANNELS, "n"))).alias("p"), F.sum("n").alias("total"))
+    zero = F.struct(*[F.lit(0.0).alias(f"s{k}{c}") for k in (0, 1) for c in (*CHANNELS, "n")])
+
+    def lloyd(at: Column) -> Column:
+        def add_point(t: Column, x: Column) -> Column:
+            own = F.when(_apart(x, at["c0"]) <= _apart(x, at["c1"]), 0).otherwise(1)
+            part = lambda k, c: F.when(own == k, x["n"] if c == "n" else x["n"] * x[c]).otherwise(0.0)
+            return F.struct(*[(t[f"s{k}{c}"] + part(k, c)).alias(f"s{k}{c}") for k in (0, 1) for c in (*CHANNELS, "n")])
+
+        def centres(t: Column) -> Column:
+            mean = lambda k, c: F.coalesce(F.try_divide(t[f"s{k}{c}"], t[f"s{k}n"]), at[f"c{k}"][c])
+            new = [F.struct(*[mean(k, c).alias(c) for c in CHANNELS]) for k in (0, 1)]
+            return F.struct(new[0].alias("c0"), new[1].alias("c1"), ((new[0] != at["c0"]) | (new[1] != at["c1"])).alias("moved"))
+
+        return F.when(at["moved"], F.aggregate("p", zero, add_point, centres)).otherwise(at)
+
+    def settle(start: Column) -> Column:
+        at = F.struct(start["c0"].alias("c0"), start["c1"].alias("c1"), F.lit(True).alias("moved"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at, lambda acc, _: lloyd(acc))
+
+    def priced(s: Column, k: Column) -> Column:
+        cost = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["n"] * F.least(_apart(x, s["c0"]), _apart(x, s["c1"])))
+        spot = lambda c: F.struct((c["b"] + c["g"] + c["r"]).alias("sum"), *[c[x].alias(x) for x in CHANNELS])
+        return F.struct(F.round(cost, 6).alias("cost"), k.alias("k"), F.least(spot(s["c0"]), spot(s["c1"])).alias("c0"), F.greatest(spot(s["c0"]), spot(s["c1"])).alias("c1"), s["moved"].alias("moved"))
+
+    settled = listed.withColumn("found", F.transform(F.transform(_seeded(), settle), priced))
+    best = settled.select(*group, F.array_min("found").alias("best"), F.exists("found", lambda s: s["moved"]).alias("late"))
+    best = written(best, "centres")
+    if not best.where("late").isEmpty():
+        raise RuntimeError("2-means still moves after its last round")
+    return best.select(*group, *[F.col(f"best.c{k}.{c}").alias(f"c{k}_{c}") for k in (0, 1) for c in CHANNELS])
+
+
+def corner_vote(pixels: DataFrame, centres: DataFrame, key: Sequence[str] = ("crop_id",)) -> DataFrame:
+    """The crop's key and ``player_cluster``: the one that isn't the majority of the crop's four corners (a corner
     pixel of a one-wide crop votes twice; two against two is cluster 0)."""
-    size = pixels.groupBy("crop_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    size = pixels.groupBy(*key).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
     spots = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("low_x", "high_x") for y in ("low_y", "high_y")])
-    corners = size.select("crop_id", F.explode(spots).alias("at")).select("crop_id", "at.x", "at.y")
-    votes = corners.join(pixels, ["crop_id", "x", "y"]).join(centres, "crop_id").groupBy("crop_id").agg(F.sum(nearest()).alias("ones"))
-    return votes.select("crop_id", F.when(F.col("ones") >= 3, 0).otherwise(1).alias("player_cluster"))
+    corners = size.select(*key, F.explode(spots).alias("at")).select(*key, "at.x", "at.y")
+    votes = corners.join(pixels, [*key, "x", "y"]).join(centres, [*key]).groupBy(*key).agg(F.sum(nearest()).alias("ones"))
+    return votes.select(*key, F.when(F.col("ones") >= 3, 0).otherwise(1).alias("player_cluster"))
+
+
+def colours_of(top: DataFrame, key: Sequence[str] = ("crop_id",), params: Params = DEFAULTS) -> DataFrame:
+    """The crop's key, b, g, r: the centre of the player's cluster among the crop's pixels, which are its upper
+    half. A crop without pixels has no row."""
+    top = written(top, "top")
+    centres = two_means(top, *key, rounds=params.kmeans_rounds)
+    picked = centres.join(corner_vote(top, centres, key), [*key])
+    return picked.select(*key, *[F.when(F.col("player_cluster") == 0, F.col(f"c0_{c}")).otherwise(F.col(f"c1_{c}")).alias(c) for c in CHANNELS])
 
 
 def jersey_colours(pixels: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """crop_id, b, g, r: the centre of the player's cluster in the top half of each crop. A crop without
-    pixels has no row."""
-    top = written(top_half(pixels), "top")
-    centres = two_means(top, "crop_id", params.kmeans_rounds)
-    picked = centres.join(corner_vote(top, centres), "crop_id")
-    return picked.select("crop_id", *[F.when(F.col("player_cluster") == 0, F.col(f"c0_{c}")).otherwise(F.col(f"c1_{c}")).alias(c) for c in CHANNELS])
+    """crop_id, b, g, r of ready crops."""
+    return colours_of(top_half(pixels), params=params)
 
 
 def team_colours(colours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """match_id, team (1 or 2), b, g, r: 2-means of each match's jersey colours ``(match_id, b, g, r)``; team
     1 is the smaller centre by b, g, r."""
-    centres = two_means(colours, "match_id", params.kmeans_rounds)
+    centres = two_means(colours, "match_id", rounds=params.kmeans_rounds)
     both = F.array_sort(F.array(*[F.struct(*[F.col(f"c{k}_{c}").alias(c) for c in CHANNELS]) for k in (0, 1)]))
     return centres.select("match_id", F.posexplode(both).alias("k", "c")).select("match_id", (F.col("k") + 1).alias("team"), *[F.col(f"c.{c}").alias(c) for c in CHANNELS])
 
@@ -138,7 +227,18 @@ def with_team_colour(tracks: DataFrame, teams: DataFrame) -> DataFrame:
 def assign_teams(pixels: DataFrame, crops: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """``player_team(match_id, track_id, team)`` and ``team_colours``: colours of the first frame's crops give
     the two teams, and each player's earliest crop its team."""
-    colours = written(jersey_colours(pixels, params).join(crops, "crop_id"), "colours")
+    return _by_colours(jersey_colours(pixels, params).join(crops, "crop_id"), overrides, params)
+
+
+def assign_teams_from_frames(pixels: DataFrame, tracks: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """The same from whole frames ``pixels(match_id, frame_num, x, y, b, g, r)`` and tracks: each player's box is
+    cut from the frame in which it is first seen. A box without pixels gives its player no team."""
+    boxes = written(first_boxes(tracks), "boxes")
+    return _by_colours(colours_of(crops_from_frames(pixels, boxes, params), CROP, params), overrides, params)
+
+
+def _by_colours(colours: DataFrame, overrides: DataFrame | None, params: Params) -> tuple[DataFrame, DataFrame]:
+    colours = written(colours, "colours")
     teams = written(team_colours(colours.where("frame_num = 0"), params), "teams")
     player_team = predicted_team(first_seen(colours), teams)
     return (overridden(player_team, overrides) if overrides is not None else player_team), teams

@@ -63,12 +63,14 @@ def on_pitch(tracks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return tracks.withColumns({"world_x": F.when(known, u), "world_y": F.when(known, v)})
 
 
-def on_pitch_by_calibration(tracks: DataFrame, calibrations: DataFrame) -> DataFrame:
-    """The same with a calibration for each match: ``tracks`` have a ``calibration_id``; no polygon test."""
-    solved = g.solve_calibrations(calibrations)
-    both = tracks.join(solved, "calibration_id", "left")
-    u, v = g.project(F.col("adj_x"), F.col("adj_y"), [F.element_at("h", k + 1) for k in range(9)])
-    return both.withColumns({"world_x": u, "world_y": v}).drop("h")
+def on_pitch_by_calibration(tracks: DataFrame, calibrations: DataFrame, key: str = "calibration_id") -> DataFrame:
+    """The same with calibrations that are data: ``tracks`` have the key of their row in ``calibrations(key, src,
+    dst)``. Null off the polygon of ``src``, without a calibration, and where one has no solution."""
+    both = tracks.join(g.solve_calibrations(calibrations, key), key, "left")
+    x, y = F.col("adj_x"), F.col("adj_y")
+    u, v = g.project(x, y, [F.element_at("h", k + 1) for k in range(9)])
+    known = x.isNotNull() & y.isNotNull() & F.col("h").isNotNull() & g.inside_corners(x, y, F.col("src"))
+    return both.withColumns({"world_x": F.when(known, u), "world_y": F.when(known, v)}).drop("h", "src")
 
 
 def select_corners(corners: DataFrame, params: Params = DEFAULTS) -> DataFrame:

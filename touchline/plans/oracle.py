@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..sources.fixtures import BALL, DENSE, DETECTION
+from ..sources.fixtures import BALL, DENSE, DETECTION, FRAME_PIXEL
 
 TRACK = "match_id, frame_num, object, track_id"
 H = (0.21888134936997805, 0.04464027520045604, -70.27963326316959, -0.005306128172663865, -0.06765313420146424, 70.60466799750851, -5.9823044554659536e-05, 0.00431056087175743, 1.0)
@@ -27,36 +27,87 @@ def _project(row: int, x: str, y: str) -> str:
     return f"CAST(CAST(({a} * {s(x)} + {b} * {s(y)} + {c}) / {w} AS REAL) AS DOUBLE)"
 
 
-def _shifted() -> str:
-    """The homography of a camera that is s pixels to the right: that of x - s, scaled so that its last number is 1."""
-    h = [_num(v) for v in H]
-    last = f"(1e0 - s * {h[6]})"
-    return ", ".join(f"({h[k]} - s * {h[k - 2]}) / {last}" if k in (2, 5) else "1e0" if k == 8 else f"{h[k]} / {last}" for k in range(9))
+def _solved(ids: str, source: list[tuple[str, str]], target: list[tuple[str, str]]) -> str:
+    """ids, h: the map of four points to four points, step by step over columns: the unit square to either, one back, one on."""
+    single = lambda v: f"CAST(CAST({v} AS REAL) AS DOUBLE)"
+    points = ", ".join(f"{single(v)} AS {m}{c}{k}" for m, four in (("s", source), ("t", target)) for k, xy in enumerate(four) for c, v in zip("xy", xy, strict=True))
+    sides = ", ".join(f"{m}{c}0 - {m}{c}1 + {m}{c}2 - {m}{c}3 AS {m}s{c}, {m}{c}1 - {m}{c}2 AS {m}a{c}, {m}{c}3 - {m}{c}2 AS {m}b{c}" for m in "st" for c in "xy")
+    slopes = ", ".join(f"({m}sx * {m}by - {m}bx * {m}sy) / {m}det AS {m}6, ({m}ax * {m}sy - {m}sx * {m}ay) / {m}det AS {m}7, 1e0 AS {m}8" for m in "st")
+    rows = ", ".join(f"{m}{c}1 - {m}{c}0 + {m}6 * {m}{c}1 AS {m}{3 * r}, {m}{c}3 - {m}{c}0 + {m}7 * {m}{c}3 AS {m}{3 * r + 1}, {m}{c}0 AS {m}{3 * r + 2}" for m in "st" for r, c in enumerate("xy"))
+    minors = ((4, 5, 7, 8), (2, 1, 8, 7), (1, 2, 4, 5), (5, 3, 8, 6), (0, 2, 6, 8), (2, 0, 5, 3), (3, 4, 6, 7), (1, 0, 7, 6), (0, 1, 3, 4))
+    back = ", ".join(f"s{i} * s{m} - s{j} * s{k} AS k{n}" for n, (i, j, k, m) in enumerate(minors))
+    cells = ", ".join(f"t{3 * r} * k{c} + t{3 * r + 1} * k{3 + c} + t{3 * r + 2} * k{6 + c} AS p{3 * r + c}" for r in range(3) for c in range(3))
+    out = f"SELECT *, {points} FROM ({ids})"
+    for step in (sides, "sax * sby - sbx * say AS sdet, tax * tby - tbx * tay AS tdet", slopes, rows, back, cells):
+        out = f"SELECT *, {step} FROM ({out})"
+    return f"SELECT match_id, calibration_id, [{', '.join(f'p{k} / p8' for k in range(9))}] AS h FROM ({out})"
 
 
 def _d(ax: str, ay: str, bx: str, by: str) -> str:
     return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
 
-def _means(name: str, points: str, group: str, rounds: int = 14) -> dict[str, str]:
-    """Lloyd's rounds unrolled from four starts: name_0 (the starts), ..., name_rounds; name has the best start's centres."""
-    starts = []
-    for k, key in enumerate(("b + g + r", "b", "g", "r")):
-        first = ", ".join(f"CAST(arg_{f}({c}, ({key}, b, g, r)) AS DOUBLE) AS c{i}_{c}" for i, f in ((0, "min"), (1, "max")) for c in "bgr")
-        starts.append(f"SELECT {group}, {k} AS start, {first} FROM {points} GROUP BY {group}")
-    out = {f"{name}_0": " UNION ALL ".join(starts)}
-    near = [" + ".join(f"(p.{c} - c.c{k}_{c}) * (p.{c} - c.c{k}_{c})" for c in "bgr") for k in (0, 1)]
-    for i in range(1, rounds + 1):
-        mean = ", ".join(f"coalesce(avg(CAST({c} AS DOUBLE)) FILTER (label = {k}), max(c{k}_{c})) AS c{k}_{c}" for k in (0, 1) for c in "bgr")
-        labelled = f"SELECT p.{group}, p.b, p.g, p.r, c.* EXCLUDE ({group}), CASE WHEN {near[0]} <= {near[1]} THEN 0 ELSE 1 END AS label FROM {points} p JOIN {name}_{i - 1} c ON p.{group} = c.{group}"
-        out[f"{name}_{i}"] = f"SELECT {group}, start, {mean} FROM ({labelled}) GROUP BY {group}, start"
-    last = f"{name}_{rounds}"
-    out[f"{name}_cost"] = f"SELECT c.{group}, c.start, round(sum(least({near[0]}, {near[1]})), 6) AS cost FROM {points} p JOIN {last} c ON p.{group} = c.{group} GROUP BY c.{group}, c.start"
+#: Draws of the ten starts of 2-means: the number of the start, and the fractions at which its two centres lie.
+DRAWS = ", ".join(f"({k}, {_num((k + 0.5) / 10)}, {_num((k + 1) * 0.6180339887498949 % 1)})" for k in range(10))
+
+
+def _means(name: str, points: str, *keys: str) -> dict[str, str]:
+    """2-means of each group of points: counted colours, starts drawn by squared distance and by extremes, all the
+    centres that the rounds pass through (name_walk, until nothing new comes), and the best that stay."""
+    key = ", ".join(keys)
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys)
+    of = lambda x: ", ".join(f"{x}.{k}" for k in keys)
+    centre = ", ".join(f"c{k}_{c}" for k in (0, 1) for c in "bgr")
+    near = [" + ".join(f"(p.{c} - w.c{k}_{c}) * (p.{c} - w.c{k}_{c})" for c in "bgr") for k in (0, 1)]
+    far = " + ".join(f"(c.{c} - f.{c}) * (c.{c} - f.{c})" for c in "bgr")
+    side = f"(({near[0]}) <= ({near[1]}))"
+    mean = lambda k, c: f"coalesce(round(sum(p.n * p.{c}) FILTER ({'' if k == 0 else 'NOT '}{side}) / sum(p.n) FILTER ({'' if k == 0 else 'NOT '}{side}), 9), w.c{k}_{c})"
+    means = ", ".join(f"{mean(k, c)} AS {'{}'}c{k}_{c}" for k in (0, 1) for c in "bgr")
+    extremes = []
+    for i, order in enumerate(("b + g + r", "b", "g", "r")):
+        first = ", ".join(f"arg_{f}({c}, ({order}, b, g, r)) AS c{k}_{c}" for k, f in ((0, "min"), (1, "max")) for c in "bgr")
+        extremes.append(f"SELECT {key}, {10 + i} AS s, {first} FROM {name}_c GROUP BY {key}")
     darker = "(c0_b + c0_g + c0_r, c0_b, c0_g, c0_r) <= (c1_b + c1_g + c1_r, c1_b, c1_g, c1_r)"
     ordered = ", ".join(f"CASE WHEN {darker} THEN c{k}_{c} ELSE c{1 - k}_{c} END AS c{k}_{c}" for k in (0, 1) for c in "bgr")
-    best = ", ".join(f"arg_min(c{k}_{c}, (cost, start)) AS c{k}_{c}" for k in (0, 1) for c in "bgr")
-    out[name] = f"SELECT {group}, {best} FROM (SELECT {group}, start, cost, {ordered} FROM {last} JOIN {name}_cost USING ({group}, start)) GROUP BY {group}"
-    return out
+    return {
+        f"{name}_c": f"SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY b, g, r) AS cum, sum(n) OVER (PARTITION BY {key}) AS total FROM "
+        f"(SELECT {key}, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r, CAST(count(*) AS DOUBLE) AS n FROM {points} GROUP BY ALL)",
+        f"{name}_1": f"SELECT {key}, s, v, " + ", ".join(f"arg_min({c}, (b, g, r)) AS {c}" for c in "bgr") + f" FROM {name}_c, (VALUES {DRAWS}) d(s, u, v) WHERE cum > u * total GROUP BY {key}, s, v",
+        f"{name}_2": f"SELECT {of('f')}, s, v, f.b AS fb, f.g AS fg, f.r AS fr, c.b, c.g, c.r, sum(c.n * ({far})) OVER (PARTITION BY {of('f')}, s ORDER BY c.b, c.g, c.r) AS cum, "
+        f"sum(c.n * ({far})) OVER (PARTITION BY {of('f')}, s) AS total FROM {name}_1 f JOIN {name}_c c ON {on('f', 'c')}",
+        f"{name}_starts": f"SELECT {key}, s, fb AS c0_b, fg AS c0_g, fr AS c0_r, " + ", ".join(f"coalesce(arg_min({c}, (b, g, r)) FILTER (cum > v * total), f{c}) AS c1_{c}" for c in "bgr")
+        + f" FROM {name}_2 GROUP BY {key}, s, fb, fg, fr UNION ALL " + " UNION ALL ".join(extremes),
+        f"{name}_walk": f"SELECT {key}, s, {centre} FROM {name}_starts UNION SELECT {of('w')}, w.s, {means.format(*[''] * 6)} FROM {name}_walk w JOIN {name}_c p ON {on('w', 'p')} GROUP BY {of('w')}, w.s, "
+        + ", ".join(f"w.{c}" for c in centre.split(", ")),
+        f"{name}_next": f"SELECT {of('w')}, w.s, " + ", ".join(f"w.{c}" for c in centre.split(", ")) + f", {means.format(*['n'] * 6)}, round(sum(p.n * least({near[0]}, {near[1]})), 6) AS cost "
+        f"FROM {name}_walk w JOIN {name}_c p ON {on('w', 'p')} GROUP BY {of('w')}, w.s, " + ", ".join(f"w.{c}" for c in centre.split(", ")),
+        name: f"SELECT {key}, " + ", ".join(f"arg_min({c}, (cost, s)) AS {c}" for c in centre.split(", ")) + f" FROM (SELECT {key}, s, cost, {ordered} FROM {name}_next WHERE "
+        + " AND ".join(f"{c} = n{c}" for c in centre.split(", ")) + f") GROUP BY {key}",
+    }
+
+
+def _colours(prefix: str, top: str, *keys: str) -> dict[str, str]:
+    """Jersey colours of crops: prefix + means, extent, corner, votes, colours over the pixels of their upper halves."""
+    p, key = prefix, ", ".join(keys)
+    return {
+        **_means(f"{p}means", top, *keys),
+        f"{p}extent": f"SELECT {key}, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM {top} GROUP BY {key}",
+        f"{p}corner": " UNION ALL ".join(f"SELECT {key}, {x} AS x, {y} AS y FROM {p}extent" for x in ("lx", "hx") for y in ("ly", "hy")),
+        f"{p}votes": f"SELECT {key}, CASE WHEN sum({_nearer()}) >= 3 THEN 0 ELSE 1 END AS player_cluster FROM {p}corner JOIN {top} USING ({key}, x, y) JOIN {p}means USING ({key}) GROUP BY {key}",
+        f"{p}colours": f"SELECT {key}, " + ", ".join(f"CASE WHEN player_cluster = 0 THEN c0_{c} ELSE c1_{c} END AS {c}" for c in "bgr") + f" FROM {p}means JOIN {p}votes USING ({key})",
+    }
+
+
+def _teams(prefix: str, seen: str) -> dict[str, str]:
+    """Teams of players by the colours in ``seen``: prefix + seen_0, teams, first_colours, by_colour."""
+    p = prefix
+    return {
+        f"{p}seen_0": f"SELECT * FROM {seen} WHERE frame_num = 0",
+        **_means(f"{p}team_means", f"{p}seen_0", "match_id"),
+        f"{p}teams": f"SELECT match_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY b, g, r) AS INT) AS team, b, g, r FROM (SELECT match_id, c0_b AS b, c0_g AS g, c0_r AS r FROM {p}team_means UNION ALL SELECT match_id, c1_b, c1_g, c1_r FROM {p}team_means)",
+        f"{p}first_colours": f"SELECT match_id, track_id, arg_min(b, frame_num) AS b, arg_min(g, frame_num) AS g, arg_min(r, frame_num) AS r FROM {seen} GROUP BY match_id, track_id",
+        f"{p}by_colour": f"SELECT f.match_id, f.track_id, CAST({_nearer('f.', 'a.', 'z.')} + 1 AS INT) AS team FROM {p}first_colours f JOIN {p}teams a ON f.match_id = a.match_id AND a.team = 1 JOIN {p}teams z ON f.match_id = z.match_id AND z.team = 2",
+    }
 
 
 def _nearer(point: str = "", first: str = "c0_", second: str = "c1_") -> str:
@@ -88,9 +139,14 @@ RELATIONS: dict[str, str] = {
     "adjusted": "SELECT t.*, pos_x - dx AS adj_x, pos_y - dy AS adj_y FROM positioned t JOIN camera c ON t.match_id = c.match_id AND t.frame_num = c.frame_num",
     "projected": f"SELECT *, {_project(0, 'adj_x', 'adj_y')} AS u, {_project(1, 'adj_x', 'adj_y')} AS v, {_inside('adj_x', 'adj_y')} AS inside FROM adjusted",
     "world": "SELECT * EXCLUDE (u, v, inside), CASE WHEN inside THEN u END AS world_x, CASE WHEN inside THEN v END AS world_y FROM projected",
-    "calibrations": f"SELECT match_id, match_id AS calibration_id, [{_shifted()}] AS h FROM (SELECT DISTINCT match_id, CAST(match_id % 25 AS DOUBLE) AS s FROM frames)",
+    "calibrations": _solved(
+        "SELECT DISTINCT match_id, match_id AS calibration_id, CAST(match_id % 25 AS DOUBLE) AS s FROM frames",
+        [(f"{x}e0 + s", f"{y}e0") for x, y in POLYGON],
+        [("0e0", "0e0"), ("0e0", "23.32e0"), ("68e0", "23.32e0"), ("68e0", "0e0")],
+    ),
     "calibrated": """SELECT *, CAST(CAST((h[1] * x + h[2] * y + h[3]) / w AS REAL) AS DOUBLE) AS u, CAST(CAST((h[4] * x + h[5] * y + h[6]) / w AS REAL) AS DOUBLE) AS v FROM (
         SELECT *, h[7] * x + h[8] * y + h[9] AS w FROM (SELECT *, CAST(CAST(adj_x AS REAL) AS DOUBLE) AS x, CAST(CAST(adj_y AS REAL) AS DOUBLE) AS y FROM adjusted JOIN calibrations USING (match_id)))""",
+    "world_by_match": f"SELECT * EXCLUDE (u, v, h, w, x, y), CASE WHEN {_inside('trunc(adj_x) - match_id % 25', 'adj_y')} THEN u END AS world_x, CASE WHEN {_inside('trunc(adj_x) - match_id % 25', 'adj_y')} THEN v END AS world_y FROM calibrated",
     "counts": "SELECT match_id, max(frame_num) + 1 AS n_frames FROM frames GROUP BY match_id",
     "spots": "SELECT * FROM world WHERE object <> 'balls' AND world_x IS NOT NULL",
     "windows": f"""SELECT s.match_id, s.object, s.track_id, s.start, s.last, {_d('s.world_x', 's.world_y', 'e.world_x', 'e.world_y')} AS metres,
@@ -129,22 +185,33 @@ RELATIONS: dict[str, str] = {
     "cut": "SELECT crop_id, CAST(x - x1 AS BIGINT) AS x, CAST(y - y1 AS BIGINT) AS y, b, g, r FROM images JOIN boxes USING (crop_id) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2",
     "cut_top": "SELECT p.* FROM cut p JOIN (SELECT crop_id, floor((max(y) + 1) / 2) AS half FROM cut GROUP BY crop_id) h USING (crop_id) WHERE y < half",
     "top": "SELECT p.* FROM pixels p JOIN (SELECT crop_id, floor((max(y) + 1) / 2) AS half FROM pixels GROUP BY crop_id) h USING (crop_id) WHERE y < half",
-    **_means("means", "top", "crop_id"),
-    "extent": "SELECT crop_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM top GROUP BY crop_id",
-    "corner": "SELECT crop_id, lx AS x, ly AS y FROM extent UNION ALL SELECT crop_id, lx, hy FROM extent UNION ALL SELECT crop_id, hx, ly FROM extent UNION ALL SELECT crop_id, hx, hy FROM extent",
-    "votes": f"SELECT crop_id, CASE WHEN sum({_nearer()}) >= 3 THEN 0 ELSE 1 END AS player_cluster FROM corner JOIN top USING (crop_id, x, y) JOIN means USING (crop_id) GROUP BY crop_id",
-    "colours": "SELECT crop_id, " + ", ".join(f"CASE WHEN player_cluster = 0 THEN c0_{c} ELSE c1_{c} END AS {c}" for c in "bgr") + " FROM means JOIN votes USING (crop_id)",
+    **_colours("", "top", "crop_id"),
     "seen": "SELECT * FROM colours JOIN crops USING (crop_id)",
-    "seen_0": "SELECT * FROM seen WHERE frame_num = 0",
-    **_means("team_means", "seen_0", "match_id"),
-    "teams": "SELECT match_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY b, g, r) AS INT) AS team, b, g, r FROM (SELECT match_id, c0_b AS b, c0_g AS g, c0_r AS r FROM team_means UNION ALL SELECT match_id, c1_b, c1_g, c1_r FROM team_means)",
-    "first_colours": "SELECT match_id, track_id, arg_min(b, frame_num) AS b, arg_min(g, frame_num) AS g, arg_min(r, frame_num) AS r FROM seen GROUP BY match_id, track_id",
-    "by_colour": f"SELECT f.match_id, f.track_id, CAST({_nearer('f.', 'a.', 'z.')} + 1 AS INT) AS team FROM first_colours f JOIN teams a ON f.match_id = a.match_id AND a.team = 1 JOIN teams z ON f.match_id = z.match_id AND z.team = 2",
+    **_teams("", "seen"),
+    "frame_pixels": f"SELECT match_id, frame_num, x, y, b, g, r FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_num, x, y ORDER BY b, g, r) AS nth FROM (SELECT {FRAME_PIXEL} FROM li, range(12) t(k))) WHERE nth = 1",
+    "first_boxes": "SELECT match_id, track_id, min(frame_num) AS frame_num, " + ", ".join(f"greatest(trunc(arg_min({c}, frame_num)), 0) AS {c}" for c in ("x1", "y1", "x2", "y2")) + " FROM tracks WHERE object = 'players' GROUP BY match_id, track_id",
+    "heights": "SELECT match_id, frame_num, max(y) + 1 AS height FROM frame_pixels GROUP BY match_id, frame_num",
+    "frame_top": """SELECT p.match_id, p.frame_num, track_id, CAST(x - x1 AS BIGINT) AS x, CAST(y - y1 AS BIGINT) AS y, b, g, r FROM frame_pixels p JOIN first_boxes q ON p.match_id = q.match_id AND p.frame_num = q.frame_num
+        JOIN heights h ON p.match_id = h.match_id AND p.frame_num = h.frame_num WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y1 + floor((least(y2, height) - y1) / 2)""",
+    **_colours("f_", "frame_top", "match_id", "frame_num", "track_id"),
+    **_teams("f_", "f_colours"),
+    "f_player_team": "SELECT match_id, track_id, CASE WHEN match_id = 0 AND track_id = 3 THEN 1 ELSE team END AS team FROM f_by_colour",
+    "f_colour": "SELECT p.match_id, p.track_id, p.team, [t.b, t.g, t.r] AS team_color FROM f_player_team p LEFT JOIN f_teams t ON p.match_id = t.match_id AND p.team = t.team",
     "links": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_num, det_index ORDER BY iou DESC, p_index) AS a, row_number() OVER (PARTITION BY match_id, frame_num, p_index ORDER BY iou DESC, det_index) AS b FROM (
         SELECT n.match_id, n.frame_num, n.det_index, p.det_index AS p_index, w * h / ((n.x2 - n.x1) * (n.y2 - n.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - w * h) AS iou
         FROM dense n JOIN dense p ON n.match_id = p.match_id AND n.frame_num = p.frame_num + 1,
         LATERAL (SELECT greatest(least(n.x2, p.x2) - greatest(n.x1, p.x1), 0e0) AS w, greatest(least(n.y2, p.y2) - greatest(n.y1, p.y1), 0e0) AS h)) WHERE iou >= 0.3e0) WHERE a = 1 AND b = 1""",
 }
+#: The chain from positions to speeds once more, over positions by each match's calibration.
+_CHAIN = ("world", "spots", "windows", "cumulative", "sped", "flagged")
+RELATIONS |= {f"{n}_by_match": re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"\1_by_match", RELATIONS[n]) for n in _CHAIN[1:]}
+RELATIONS |= {
+    "analyzed": """SELECT f.*, p.team, p.team_color FROM flagged_by_match f LEFT JOIN f_colour p ON f.object = 'players' AND f.match_id = p.match_id AND f.track_id = p.track_id WHERE f.object <> 'balls'
+        UNION ALL BY NAME SELECT *, false AS has_ball FROM filled""",
+    "f_carried": RELATIONS["carried"].replace("player_team", "f_player_team"),
+    "f_shares": RELATIONS["shares"].replace("FROM carried", "FROM f_carried"),
+    "painted": """SELECT f.*, p.team_color FROM flagged f LEFT JOIN f_colour p ON f.object = 'players' AND f.match_id = p.match_id AND f.track_id = p.track_id""",
+}
 
 
 def sql(select: str) -> str:
@@ -158,28 +225,35 @@ def sql(select: str) -> str:
                 visit(RELATIONS[name])
 
     visit(select)
-    parts = [f"{n} AS {'MATERIALIZED ' if 'means' in n else ''}({RELATIONS[n]})" for n in RELATIONS if n in needed]
-    return f"WITH {', '.join(parts)} {select}" if parts else select
+    kept = lambda n: "MATERIALIZED " if "means" in n and not n.endswith("_walk") else ""
+    parts = [f"{n} AS {kept(n)}({RELATIONS[n]})" for n in RELATIONS if n in needed]
+    return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
 
 
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+def _two_digits(x: str) -> str:
+    """As the other engine writes a number: its shortest decimal form, rounded half up."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 15)), 2) AS DECIMAL(20, 2)) AS VARCHAR)"
+
+
+_colour = "[0e0, 0e0, 255e0]", "[0e0, 255e0, 255e0]", "[0e0, 255e0, 0e0]"
+OWN_COLOUR = f"CASE object WHEN 'players' THEN coalesce(list_transform(team_color, lambda c: round(c, 6)), {_colour[0]}) WHEN 'referees' THEN {_colour[1]} ELSE {_colour[2]} END"
 SHAPES = f"""
-    SELECT match_id, frame_num, 1 AS z, 'ellipse' AS shape, track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc(y2) AS BIGINT) AS y FROM flagged WHERE object IN ('players', 'referees')
-    UNION ALL SELECT match_id, frame_num, 2, 'badge', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) - 8 - CASE WHEN track_id > 99 THEN 10 ELSE 0 END, CAST(trunc(y2) AS BIGINT) + 20 FROM flagged WHERE object = 'players'
-    UNION ALL SELECT match_id, frame_num, 3, 'triangle', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y1) AS BIGINT) FROM flagged WHERE object = 'players' AND has_ball
-    UNION ALL SELECT match_id, frame_num, 3, 'triangle', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y1) AS BIGINT) FROM filled WHERE x1 IS NOT NULL
-    UNION ALL SELECT match_id, frame_num, 4, 'possession', NULL, 1400, y FROM shares, (VALUES (900), (950)) v(y) WHERE share_1 IS NOT NULL
-    UNION ALL SELECT match_id, frame_num, 5, 'camera', NULL, 10, 30 FROM camera
-    UNION ALL SELECT match_id, frame_num, 6, 'speed', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y2) AS BIGINT) + dy FROM flagged, (VALUES (40), (60)) v(dy) WHERE object = 'players' AND speed_kmh IS NOT NULL AND distance_m IS NOT NULL
+    SELECT match_id, frame_num, 1 AS z, 'ellipse' AS shape, track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc(y2) AS BIGINT) AS y, NULL AS text, {OWN_COLOUR} AS color FROM analyzed WHERE object IN ('players', 'referees')
+    UNION ALL SELECT match_id, frame_num, 2, 'badge', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) - 8 - CASE WHEN track_id > 99 THEN 10 ELSE 0 END, CAST(trunc(y2) AS BIGINT) + 20, CAST(track_id AS VARCHAR), {OWN_COLOUR} FROM analyzed WHERE object = 'players'
+    UNION ALL SELECT match_id, frame_num, 3, 'triangle', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y1) AS BIGINT), NULL, {_colour[1]} FROM analyzed WHERE object = 'players' AND has_ball
+    UNION ALL SELECT match_id, frame_num, 3, 'triangle', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y1) AS BIGINT), NULL, {_colour[2]} FROM analyzed WHERE object = 'balls' AND x1 IS NOT NULL
+    UNION ALL SELECT match_id, frame_num, 4, 'possession', NULL, 1400, 850 + 50 * k, 'Team ' || k || ' Ball Control: ' || {_two_digits("CASE k WHEN 1 THEN share_1 ELSE share_2 END * 100")} || '%', NULL FROM f_shares, (VALUES (1), (2)) v(k) WHERE share_1 IS NOT NULL
+    UNION ALL SELECT match_id, frame_num, 5, 'camera', NULL, 10, 30, 'Camera Movement: (' || {_two_digits("dx")} || ', ' || {_two_digits("dy")} || ')', NULL FROM camera
+    UNION ALL SELECT match_id, frame_num, 6, 'speed', track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT), CAST(trunc(y2) AS BIGINT) + dy, CASE dy WHEN 40 THEN {_two_digits("speed_kmh")} || ' km/h' ELSE {_two_digits("distance_m")} || ' m' END, NULL FROM analyzed, (VALUES (40), (60)) v(dy) WHERE object = 'players' AND speed_kmh IS NOT NULL AND distance_m IS NOT NULL
 """
-SHAPE_ROWS = f"SELECT match_id, frame_num, CAST(z AS BIGINT) AS z, shape, track_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM ({SHAPES})"
+SHAPE_ROWS = f"SELECT match_id, frame_num, CAST(z AS BIGINT) AS z, shape, track_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, text, color FROM ({SHAPES})"
 
 _track = "match_id, frame_num, object, track_id, det_index, first_index, x1, y1, x2, y2"
 _kinds = "match_id, object, track_id"
-_colour = "[0e0, 0e0, 255e0]", "[0e0, 255e0, 255e0]", "[0e0, 255e0, 0e0]"
 
 SELECTS: dict[str, str] = {
     "s1_s2_tracks_saved": f"SELECT {_track} FROM tracks",
@@ -197,7 +271,12 @@ SELECTS: dict[str, str] = {
     "p7_adjusted_positions": f"SELECT {TRACK}, adj_x, adj_y FROM adjusted",
     "p8_project": f"SELECT {TRACK}, {r6('u', 'v')} FROM projected",
     "p9_calibrations": "SELECT calibration_id, list_transform(list_zip(h, [1e3, 1e3, 1e0, 1e3, 1e3, 1e0, 1e6, 1e6, 1e0]), lambda v: round(v[1] * v[2], 3)) AS h FROM calibrations",
-    "p9_world_by_calibration": f"SELECT {TRACK}, round(u, 1) AS u, round(v, 1) AS v FROM calibrated",
+    "p9_world_by_calibration": f"SELECT {TRACK}, {r6('world_x', 'world_y')} FROM world_by_match",
+    "p10_world_by_match": f"SELECT {TRACK}, {r6('world_x', 'world_y')} FROM world_by_match",
+    "f3_inside_calibration": f"SELECT {TRACK} FROM adjusted WHERE {_inside('trunc(adj_x) - match_id % 25', 'adj_y')}",
+    "f10_frame_crops": "SELECT match_id, frame_num, track_id, x, y, b, g, r FROM frame_top",
+    "a9_colours_from_frames": f"SELECT match_id, frame_num, track_id, {r6('b', 'g', 'r')} FROM f_colours",
+    "c6_teams_from_frames": "SELECT match_id, track_id, team, list_transform(team_color, lambda c: round(c, 6)) AS team_color FROM f_colour",
     "p10_world_positions": f"SELECT {TRACK}, {r6('world_x', 'world_y')} FROM world",
     "p11_kmh": f"SELECT {_kinds}, start, round(speed_kmh, 6) AS speed_kmh FROM windows",
     "p12_relabel": "SELECT match_id, frame_num, det_index, CASE class_name WHEN 'goalkeeper' THEN 'player' ELSE class_name END AS class_name FROM detections",
@@ -249,13 +328,13 @@ SELECTS: dict[str, str] = {
     "u1_objects_together": f"SELECT object, count(*) AS n, count(DISTINCT (match_id, track_id)) AS n_tracks FROM tracks GROUP BY object",
     "u2_replace_balls": f"SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')}, det_index FROM tracks WHERE object <> 'balls' UNION ALL SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')}, NULL FROM filled",
     "u3_shapes_together": SHAPE_ROWS,
-    "o1_possession_captions": "SELECT match_id, frame_num, CAST(k AS INT) AS team, CAST(1400 AS BIGINT) AS x, CAST(850 + 50 * k AS BIGINT) AS y, round(CASE k WHEN 1 THEN share_1 ELSE share_2 END * 100, 6) AS value FROM shares, (VALUES (1), (2)) v(k) WHERE share_1 IS NOT NULL",
-    "o2_speed_labels": "SELECT match_id, frame_num, track_id, kind, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc(y2) AS BIGINT) + dy AS y, round(CASE kind WHEN 'speed' THEN speed_kmh ELSE distance_m END, 6) AS value FROM sped, (VALUES ('speed', 40), ('distance', 60)) v(kind, dy) WHERE object = 'players' AND speed_kmh IS NOT NULL",
-    "o3_camera_captions": "SELECT match_id, frame_num, CAST(10 AS BIGINT) AS x, CAST(30 AS BIGINT) AS y, dx, dy FROM camera",
-    "o4_ellipses": f"SELECT {TRACK}, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y2) AS BIGINT) AS cy, CAST(trunc(x2 - x1) AS BIGINT) AS axis_x, CAST(trunc((x2 - x1) * 0.35e0) AS BIGINT) AS axis_y, CAST(-45 AS BIGINT) AS start_angle, CAST(225 AS BIGINT) AS end_angle FROM tracks WHERE object <> 'balls'",
-    "o5_badges": "SELECT match_id, frame_num, track_id, cx - 20 AS \"left\", cy + 5 AS top, cx + 20 AS \"right\", cy + 25 AS bottom, cx - 8 - CASE WHEN track_id > 99 THEN 10 ELSE 0 END AS text_x, cy + 20 AS text_y, CAST(track_id AS VARCHAR) AS text FROM (SELECT *, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y2) AS BIGINT) AS cy FROM tracks) WHERE object = 'players'",
-    "o6_triangles": "SELECT match_id, frame_num, object, track_id, cx AS tip_x, cy AS tip_y, cx - 10 AS left_x, cx + 10 AS right_x, cy - 20 AS top_y FROM (SELECT match_id, frame_num, object, track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y1) AS BIGINT) AS cy FROM flagged WHERE object = 'balls' OR has_ball)",
-    "o7_colours": f"SELECT {TRACK}, CASE object WHEN 'players' THEN {_colour[0]} WHEN 'referees' THEN {_colour[1]} ELSE {_colour[2]} END AS color FROM tracks",
+    "o1_possession_captions": "SELECT match_id, frame_num, CAST(k AS INT) AS team, CAST(1400 AS BIGINT) AS x, CAST(850 + 50 * k AS BIGINT) AS y, round(CASE k WHEN 1 THEN share_1 ELSE share_2 END * 100, 6) AS value, 'Team ' || k || ' Ball Control: ' || " + _two_digits("CASE k WHEN 1 THEN share_1 ELSE share_2 END * 100") + " || '%' AS text FROM shares, (VALUES (1), (2)) v(k) WHERE share_1 IS NOT NULL",
+    "o2_speed_labels": "SELECT match_id, frame_num, track_id, kind, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS x, CAST(trunc(y2) AS BIGINT) + dy AS y, round(CASE kind WHEN 'speed' THEN speed_kmh ELSE distance_m END, 6) AS value, " + _two_digits("CASE kind WHEN 'speed' THEN speed_kmh ELSE distance_m END") + " || CASE kind WHEN 'speed' THEN ' km/h' ELSE ' m' END AS text FROM sped, (VALUES ('speed', 40), ('distance', 60)) v(kind, dy) WHERE object = 'players' AND speed_kmh IS NOT NULL",
+    "o3_camera_captions": "SELECT match_id, frame_num, CAST(10 AS BIGINT) AS x, CAST(30 AS BIGINT) AS y, dx, dy, 'Camera Movement: (' || " + _two_digits("dx") + " || ', ' || " + _two_digits("dy") + " || ')' AS text FROM camera",
+    "o4_ellipses": f"SELECT {TRACK}, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y2) AS BIGINT) AS cy, CAST(trunc(x2 - x1) AS BIGINT) AS axis_x, CAST(trunc((x2 - x1) * 0.35e0) AS BIGINT) AS axis_y, CAST(-45 AS BIGINT) AS start_angle, CAST(225 AS BIGINT) AS end_angle, {OWN_COLOUR} AS color FROM painted WHERE object <> 'balls'",
+    "o5_badges": f"SELECT match_id, frame_num, track_id, cx - 20 AS \"left\", cy + 5 AS top, cx + 20 AS \"right\", cy + 25 AS bottom, cx - 8 - CASE WHEN track_id > 99 THEN 10 ELSE 0 END AS text_x, cy + 20 AS text_y, CAST(track_id AS VARCHAR) AS text, {OWN_COLOUR} AS color FROM (SELECT *, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y2) AS BIGINT) AS cy FROM painted) WHERE object = 'players'",
+    "o6_triangles": f"SELECT match_id, frame_num, object, track_id, cx AS tip_x, cy AS tip_y, cx - 10 AS left_x, cx + 10 AS right_x, cy - 20 AS top_y, CASE object WHEN 'balls' THEN {_colour[2]} ELSE {_colour[1]} END AS color FROM (SELECT match_id, frame_num, object, track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y1) AS BIGINT) AS cy FROM flagged WHERE object = 'balls' OR has_ball)",
+    "o7_colours": f"SELECT {TRACK}, {OWN_COLOUR} AS color FROM painted",
     "c1_build_tracks": f"SELECT {_track} FROM tracks",
     "c2_camera_motion": "SELECT match_id, frame_num, dx, dy FROM camera",
     "c3_to_pitch": f"SELECT {TRACK}, pos_x, pos_y, adj_x, adj_y, {r6('world_x', 'world_y')} FROM world",
@@ -264,9 +343,7 @@ SELECTS: dict[str, str] = {
     "c6_assign_teams": "SELECT c.match_id, c.track_id, CASE WHEN c.match_id = 0 AND c.track_id = 3 THEN 1 ELSE c.team END AS team FROM by_colour c",
     "c7_possession": f"SELECT match_id, frame_num, player_id, team, {r6('share_1', 'share_2')} FROM shares",
     "c8_overlays": SHAPE_ROWS,
-    "c9_analyze_matches": f"SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2', 'world_x', 'world_y', 'speed_kmh', 'distance_m')}, has_ball, team FROM ("
-    "SELECT f.* , p.team FROM flagged f LEFT JOIN player_team p ON f.object = 'players' AND f.match_id = p.match_id AND f.track_id = p.track_id WHERE f.object <> 'balls' "
-    "UNION ALL BY NAME SELECT *, false AS has_ball FROM filled)",
+    "c9_analyze_matches": f"SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2', 'world_x', 'world_y', 'speed_kmh', 'distance_m')}, has_ball, team FROM analyzed",
 }
 
 STREAMS = {
@@ -280,7 +357,7 @@ STREAMS = {
 def _with_chain(select: str) -> str:
     """A select that begins with a recursive relation of its own."""
     whole = sql("SELECT * FROM links, dense")
-    return whole[: whole.rindex(" SELECT * FROM links, dense")].replace("WITH ", "WITH RECURSIVE ", 1) + select
+    return whole[: whole.rindex(" SELECT * FROM links, dense")] + select
 
 
 ORACLE_SQL = {n: _with_chain(s) if s.startswith(", chain") else sql(s) for n, s in (SELECTS | STREAMS).items()}

@@ -23,9 +23,11 @@ def camera_motion(frames: DataFrame, features: DataFrame, params: Params = DEFAU
     return camera.camera_motion(frames, features, params)
 
 
-def to_pitch(track_rows: DataFrame, camera_rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Tracks with pixel positions, camera-compensated positions, and positions on the pitch in metres."""
-    return camera.on_pitch(camera.adjusted(tracks.with_position(track_rows, params), camera_rows, params), params)
+def to_pitch(track_rows: DataFrame, camera_rows: DataFrame, params: Params = DEFAULTS, calibrations: DataFrame | None = None) -> DataFrame:
+    """Tracks with pixel positions, camera-compensated positions, and positions on the pitch in metres: by the
+    parameters' polygon, or each match by its own row of ``calibrations(match_id, src, dst)``."""
+    seen = camera.adjusted(tracks.with_position(track_rows, params), camera_rows, params)
+    return camera.on_pitch(seen, params) if calibrations is None else camera.on_pitch_by_calibration(seen, calibrations, "match_id")
 
 
 def interpolate_ball(frames: DataFrame, track_rows: DataFrame) -> DataFrame:
@@ -42,6 +44,11 @@ def assign_teams(pixels: DataFrame, crops: DataFrame, overrides: DataFrame | Non
     return appearance.assign_teams(pixels, crops, overrides, params)
 
 
+def assign_teams_from_frames(pixels: DataFrame, track_rows: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Frames and tracks to teams: boxes are cut where players are first seen."""
+    return appearance.assign_teams_from_frames(pixels, track_rows, overrides, params)
+
+
 def possession_by_frame(frames: DataFrame, track_rows: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Player, team and running shares of every frame, from detected tracks."""
     balls = kinematics.interpolate_ball(frames, track_rows.where(F.col("object") == "balls"))
@@ -55,8 +62,9 @@ class Inputs:
     features: DataFrame
     player_team: DataFrame | None = None
     pixels: DataFrame | None = None
-    crops: DataFrame | None = None
+    crops: DataFrame | None = None  #: if given, pixels are those of crops, else of whole frames
     overrides: DataFrame | None = None
+    calibrations: DataFrame | None = None  #: match_id, src, dst
 
 
 @dataclass
@@ -71,22 +79,27 @@ class Results:
 
 def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[DataFrame, str], DataFrame] = written) -> Results:
     """All jobs in order. Balls are filled after the positions are computed, so filled balls have none,
-    unless ``reposition_balls`` is set. Teams come from the given table, else from the crops.
+    unless ``reposition_balls`` is set. Teams come from the given table, else from the crops, else from
+    the frames' pixels.
 
     Tables that several jobs read go through ``stage``, which writes them to the shared folder, so that
     they are computed once and lineage stays short.
     """
     moved = stage(camera_motion(inputs.frames, inputs.features, params), "camera")
-    world = stage(to_pitch(build_tracks(inputs.detections, params), moved, params), "world")
+    world = stage(to_pitch(build_tracks(inputs.detections, params), moved, params, inputs.calibrations), "world")
     balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"))
     if params.reposition_balls:
-        balls = to_pitch(balls, moved, params)
+        balls = to_pitch(balls, moved, params, inputs.calibrations)
     world = tracks.replaced(world, "balls", balls)
     sped = speed_distance(world, inputs.frames, params)
     teams = None
     player_team = inputs.player_team
     if player_team is None:
-        player_team, teams = assign_teams(inputs.pixels, inputs.crops, inputs.overrides, params)
+        if inputs.crops is not None:
+            player_team, teams = assign_teams(inputs.pixels, inputs.crops, inputs.overrides, params)
+        else:
+            player_team, teams = assign_teams_from_frames(inputs.pixels, world, inputs.overrides, params)
+        player_team = stage(player_team, "player-team")
     elif inputs.overrides is not None:
         player_team = appearance.overridden(player_team, inputs.overrides)
     assigned = possession.assign_ball(inputs.frames, world, balls, params)

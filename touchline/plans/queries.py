@@ -23,7 +23,7 @@ FRAME, TRACK, BOX = schema.FRAME, schema.TRACK, schema.BOX
 KEY = [*FRAME, "object", "track_id"]
 CLASSES = [(0, "ball"), (1, "goalkeeper"), (2, "player"), (3, "referee")]
 CALIBRATION_SCALE = (1e3, 1e3, 1.0, 1e3, 1e3, 1.0, 1e6, 1e6, 1.0)
-SHAPE = [*FRAME, "z", "shape", "track_id", "x", "y"]
+SHAPE = [*FRAME, "z", "shape", "track_id", "x", "y", "text"]
 
 
 def r6(*names: str):
@@ -58,11 +58,24 @@ def carried(f: Fixtures) -> DataFrame:
 
 
 def results(f: Fixtures) -> pipeline.Results:
-    return pipeline.analyze_matches(pipeline.Inputs(f.frames, f.detections, f.features, f.player_team))
+    return pipeline.analyze_matches(pipeline.Inputs(f.frames, f.detections, f.features, pixels=f.frame_pixels, overrides=f.overrides, calibrations=f.match_calibrations))
+
+
+def shapes(df: DataFrame) -> DataFrame:
+    """Colours to six digits, as the two engines add them up in different orders."""
+    return df.select(*SHAPE, F.transform("color", lambda c: F.round(c, 6)).alias("color"))
 
 
 def flagged(f: Fixtures) -> DataFrame:
-    return possession.flag_holder(f.tracks.withColumn("team_color", F.lit(None).cast("array<double>")), possession.assign_ball(f.frames, f.tracks, filled(f)))
+    """Tracks with the ball's holder, team and colour of the team, found from frames."""
+    f.tracks = written(f.tracks, "tracks")
+    player_team, teams = pipeline.assign_teams_from_frames(f.frame_pixels, f.tracks, f.overrides)
+    rows = appearance.with_team_colour(appearance.with_team(f.tracks, player_team), teams)
+    return possession.flag_holder(rows, possession.assign_ball(f.frames, f.tracks, filled(f)))
+
+
+def coloured(df: DataFrame) -> DataFrame:
+    return df.withColumn("color", F.transform("color", lambda c: F.round(c, 6)))
 
 
 def masked(f: Fixtures) -> DataFrame:
@@ -170,7 +183,16 @@ def p9_calibrations(f: Fixtures) -> DataFrame:
 
 def p9_world_by_calibration(f: Fixtures) -> DataFrame:
     found = camera.on_pitch_by_calibration(adjusted(f).join(f.calibrated, "match_id"), f.calibrations)
-    return found.select(*KEY, F.round("world_x", 1).alias("u"), F.round("world_y", 1).alias("v"))
+    return found.select(*KEY, *r6("world_x", "world_y"))
+
+
+def p10_world_by_match(f: Fixtures) -> DataFrame:
+    return pipeline.to_pitch(f.tracks, f.camera, calibrations=f.match_calibrations).select(*KEY, *r6("world_x", "world_y"))
+
+
+def f3_inside_calibration(f: Fixtures) -> DataFrame:
+    both = adjusted(f).join(f.match_calibrations, "match_id")
+    return both.where(g.inside_corners(F.col("adj_x"), F.col("adj_y"), F.col("src"))).select(*KEY)
 
 
 def p10_world_positions(f: Fixtures) -> DataFrame:
@@ -237,6 +259,11 @@ def f10_box_crop(f: Fixtures) -> DataFrame:
     return appearance.top_half(appearance.cut_boxes(f.images.join(f.boxes, "crop_id"))).select(*schema.PIXELS.names)
 
 
+def f10_frame_crops(f: Fixtures) -> DataFrame:
+    boxes = appearance.first_boxes(f.tracks)
+    return appearance.crops_from_frames(f.frame_pixels, boxes).select(*appearance.CROP, "x", "y", "b", "g", "r")
+
+
 # --- joins
 
 
@@ -275,7 +302,7 @@ def j8_overrides(f: Fixtures) -> DataFrame:
 
 
 def j9_has_ball(f: Fixtures) -> DataFrame:
-    return flagged(f).select(*KEY, "has_ball")
+    return possession.flag_holder(f.tracks, possession.assign_ball(f.frames, f.tracks, filled(f))).select(*KEY, "has_ball")
 
 
 def j10_link(f: Fixtures) -> DataFrame:
@@ -326,6 +353,11 @@ def a9_jersey_colours(f: Fixtures) -> DataFrame:
     return appearance.jersey_colours(f.pixels).select("crop_id", *r6("b", "g", "r"))
 
 
+def a9_colours_from_frames(f: Fixtures) -> DataFrame:
+    crops = appearance.crops_from_frames(f.frame_pixels, appearance.first_boxes(f.tracks))
+    return appearance.colours_of(crops, appearance.CROP).select(*appearance.CROP, *r6("b", "g", "r"))
+
+
 def a10_team_colours(f: Fixtures) -> DataFrame:
     return team_colours(f).select("match_id", "team", *r6("b", "g", "r"))
 
@@ -383,7 +415,7 @@ def t2_select_corners(f: Fixtures) -> DataFrame:
 
 
 def t3_drawing_order(f: Fixtures) -> DataFrame:
-    return overlay.in_drawing_order(results(f).shapes).select(*SHAPE)
+    return shapes(overlay.in_drawing_order(results(f).shapes))
 
 
 def u1_objects_together(f: Fixtures) -> DataFrame:
@@ -397,38 +429,38 @@ def u2_replace_balls(f: Fixtures) -> DataFrame:
 
 
 def u3_shapes_together(f: Fixtures) -> DataFrame:
-    return results(f).shapes.select(*SHAPE)
+    return shapes(results(f).shapes)
 
 
 # --- overlays
 
 
 def o1_possession_captions(f: Fixtures) -> DataFrame:
-    return overlay.possession_captions(possession.running_share(carried(f))).select(*FRAME, "team", "x", "y", *r6("value"))
+    return overlay.possession_captions(possession.running_share(carried(f))).select(*FRAME, "team", "x", "y", *r6("value"), "text")
 
 
 def o2_speed_labels(f: Fixtures) -> DataFrame:
-    return overlay.speed_labels(sped(f)).select(*FRAME, "track_id", "kind", "x", "y", *r6("value"))
+    return overlay.speed_labels(sped(f)).select(*FRAME, "track_id", "kind", "x", "y", *r6("value"), "text")
 
 
 def o3_camera_captions(f: Fixtures) -> DataFrame:
-    return overlay.camera_captions(f.camera).drop("text")
+    return overlay.camera_captions(f.camera)
 
 
 def o4_ellipses(f: Fixtures) -> DataFrame:
-    return overlay.ellipses(flagged(f)).drop("color")
+    return coloured(overlay.ellipses(flagged(f)))
 
 
 def o5_badges(f: Fixtures) -> DataFrame:
-    return overlay.badges(flagged(f)).drop("color")
+    return coloured(overlay.badges(flagged(f)))
 
 
 def o6_triangles(f: Fixtures) -> DataFrame:
-    return overlay.triangles(flagged(f)).drop("color")
+    return coloured(overlay.triangles(flagged(f)))
 
 
 def o7_colours(f: Fixtures) -> DataFrame:
-    return flagged(f).select(*KEY, overlay.row_colour().alias("color"))
+    return coloured(flagged(f).select(*KEY, overlay.row_colour().alias("color")))
 
 
 # --- jobs
@@ -458,6 +490,13 @@ def c6_assign_teams(f: Fixtures) -> DataFrame:
     return pipeline.assign_teams(f.pixels, f.crops, f.overrides)[0]
 
 
+def c6_teams_from_frames(f: Fixtures) -> DataFrame:
+    f.tracks = written(f.tracks, "tracks")
+    player_team, teams = pipeline.assign_teams_from_frames(f.frame_pixels, f.tracks, f.overrides)
+    found = appearance.with_team_colour(player_team, teams)
+    return found.select("match_id", "track_id", "team", F.transform("team_color", lambda x: F.round(x, 6)).alias("team_color"))
+
+
 def c7_possession(f: Fixtures) -> DataFrame:
     f.tracks = written(f.tracks, "tracks")  # read for balls, players and their teams
     found = pipeline.possession_by_frame(f.frames, f.tracks, f.player_team)
@@ -465,7 +504,7 @@ def c7_possession(f: Fixtures) -> DataFrame:
 
 
 def c8_overlays(f: Fixtures) -> DataFrame:
-    return results(f).shapes.select(*SHAPE)
+    return shapes(results(f).shapes)
 
 
 def c9_analyze_matches(f: Fixtures) -> DataFrame:
@@ -514,14 +553,14 @@ def _over_fixtures(query: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSes
 
 _LISTED = (
     s1_s2_tracks_saved, s3_s4_camera_saved, s5_frame_spine, s6_image_pixels, s7_score_detections,
-    p1_box_centre, p2_box_foot, p3_box_width, p4_distance, p5_delta, p6_positions, p7_adjusted_positions, p8_project, p9_calibrations, p9_world_by_calibration, p10_world_positions, p11_kmh, p12_relabel, p13_class_names,
-    f1_confident, f2_objects, f3_inside_pitch, f4_feature_mask, f5_movement_threshold, f6_ball_radius, f7_no_speed_objects, f8_labelled_rows, f9_valid_windows, f10_crop_top_half, f10_box_crop,
+    p1_box_centre, p2_box_foot, p3_box_width, p4_distance, p5_delta, p6_positions, p7_adjusted_positions, p8_project, p9_calibrations, p9_world_by_calibration, p10_world_positions, p10_world_by_match, p11_kmh, p12_relabel, p13_class_names,
+    f1_confident, f2_objects, f3_inside_pitch, f3_inside_calibration, f4_feature_mask, f5_movement_threshold, f6_ball_radius, f7_no_speed_objects, f8_labelled_rows, f9_valid_windows, f10_crop_top_half, f10_box_crop, f10_frame_crops,
     j1_tracks_camera, j2_frames_movement, j3_window_ends, j4_windows_onto_frames, j5_players_ball, j6_player_team, j7_team_colour, j8_overrides, j9_has_ball, j10_link,
-    a1_dominant_movement, a2_nearest_player, a3_corner_reach, a4_keep_last, a5_total_distance, a6_match_share, a7_corner_vote, a8_crop_two_means, a9_jersey_colours, a10_team_colours, a11_predicted_team, a12_frame_counts,
+    a1_dominant_movement, a2_nearest_player, a3_corner_reach, a4_keep_last, a5_total_distance, a6_match_share, a7_corner_vote, a8_crop_two_means, a9_jersey_colours, a9_colours_from_frames, a10_team_colours, a11_predicted_team, a12_frame_counts,
     w1_interpolate_ball, w2_cumulative_distance, w3_carry_possession, w4_running_share, w5_first_seen_colour, w6_frame_windows, w7_detection_ordinal,
     t1_last_ball, t2_select_corners, t3_drawing_order, u1_objects_together, u2_replace_balls, u3_shapes_together,
     o1_possession_captions, o2_speed_labels, o3_camera_captions, o4_ellipses, o5_badges, o6_triangles, o7_colours,
-    c1_build_tracks, c2_camera_motion, c3_to_pitch, c4_interpolate_ball, c5_speed_distance, c6_assign_teams, c7_possession, c8_overlays, c9_analyze_matches,
+    c1_build_tracks, c2_camera_motion, c3_to_pitch, c4_interpolate_ball, c5_speed_distance, c6_assign_teams, c6_teams_from_frames, c7_possession, c8_overlays, c9_analyze_matches,
     x1_stream_speed, x2_stream_distance, x3_stream_possession, x4_stream_first_team,
 )
 QUERIES = {q.__name__: _over_fixtures(q) for q in _LISTED}

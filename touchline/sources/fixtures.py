@@ -35,6 +35,14 @@ DENSE = """
 """
 
 
+#: Twelve pixels of each detection's frame, spread over its box; boxes may share a pixel, which is then the least.
+FRAME_PIXEL = """
+    match_id, frame_num,
+    CAST(150 + (l_partkey*37 + frame_num*3) % 1400 + (k % 3) * 6 AS BIGINT) AS x, CAST(250 + (l_suppkey*29 + frame_num*2) % 650 + CAST(floor(k / 3) AS BIGINT) * 13 AS BIGINT) AS y,
+    CAST((l_partkey*7 + k*13) % 256 AS BIGINT) AS b, CAST((l_suppkey*11 + k*29) % 256 AS BIGINT) AS g, CAST((l_orderkey + l_linenumber*40 + k*17) % 256 AS BIGINT) AS r
+"""
+
+
 class Fixtures:
     """The tables of one directory, each made when asked for."""
 
@@ -105,6 +113,17 @@ class Fixtures:
         """A box for each image, with fractions to be truncated, some of it before the image's first pixel."""
         return self.crops.selectExpr("crop_id", "crop_id % 7 - 1.5e0 AS x1", "crop_id % 3 - 0.5e0 AS y1", "crop_id % 7 + 4.75e0 AS x2", "crop_id % 3 + 6.25e0 AS y2")
 
+    @cached_property
+    def frame_pixels(self) -> DataFrame:
+        """Whole frames, of which only some pixels are given: those that the boxes of detections have."""
+        each = self.lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).selectExpr(*_columns(FRAME_PIXEL))
+        least = F.min(F.struct("b", "g", "r")).alias("c")
+        return each.groupBy("match_id", "frame_num", "x", "y").agg(least).select("match_id", "frame_num", "x", "y", "c.*")
+
+    @cached_property
+    def match_calibrations(self) -> DataFrame:
+        return self.calibrations.withColumnRenamed("calibration_id", "match_id")
+
     @cached_property
     def calibrated(self) -> DataFrame:
         """A calibration for each match."""
