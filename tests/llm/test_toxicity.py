@@ -105,7 +105,8 @@ def test_law_scale_and_score_by_hand(made):
     model = t.fit(docs, labels)
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {r["doc_id"]: r["toxic"] for r in labels.where(~common.held_out(F.col("doc_id"))).collect()}
-    held = {y: Counter(w for d, own in toxic.items() if own == y for w in set(text[d].encode().split())) for y in (0, 1)}
+    held = {y: Counter(w for d, own in toxic.items() if own == y for w in text[d].encode().split()) for y in (0, 1)}
+    holders = Counter(w for d, own in toxic.items() if own for w in set(text[d].encode().split()))
     n, vocabulary = {y: sum(held[y].values()) for y in (0, 1)}, held[0].keys() | held[1].keys()
     scores = {}
     for w in vocabulary:
@@ -113,7 +114,7 @@ def test_law_scale_and_score_by_hand(made):
         odds = [(held[y][w] + prior) / (n[y] + t.PRIOR * len(vocabulary) + t.PRIOR_TOTAL - held[y][w] - prior) for y in (0, 1)]
         delta = math.log(odds[1]) - math.log(odds[0])
         z = delta / math.sqrt(sum(1 / (held[y][w] + prior) for y in (0, 1)))
-        if z <= -t.LEAST_Z or (z >= t.LEAST_Z and held[1][w] >= t.LEAST_DOCS):
+        if z <= -t.LEAST_Z or (z >= t.LEAST_Z and holders[w] >= t.LEAST_DOCS):
             scores[w] = delta
     assert model.scores == pytest.approx(scores)
     share = {w: (held[0][w] + t.PRIOR) / n[0] for w in scores}
@@ -123,16 +124,30 @@ def test_law_scale_and_score_by_hand(made):
     assert sum(share[w] * math.exp(model.decay * (s - model.drift)) for w, s in scores.items()) + rest * math.exp(-model.decay * model.drift) == pytest.approx(1, abs=1e-6)
 
     def segments(d):
-        tokens = list(dict.fromkeys(text[d].encode().split()))
-        return len(tokens), all_segments([(i, scores[w]) for i, w in enumerate(tokens) if w in scores], model.drift, len(tokens))
+        words, events = text[d].encode().split(), []
+        for i, w in enumerate(words):
+            if w in scores:
+                k, repeat = i, 0  # how often it was said before, each within the span of the next
+                while scores[w] > 0 and (back := [j for j in range(max(0, k - t.REPEAT_SPAN), k) if words[j] == w]):
+                    k, repeat = back[-1], repeat + 1
+                events.append((i, scores[w] / (1 + repeat)))
+        return len(words), all_segments(events, model.drift, len(words))
 
     law = [n * math.exp(-model.decay * max((x[2] for x in own), default=0.0)) for d, y in toxic.items() if not y for n, own in [segments(d)]]
     assert model.scale == pytest.approx(len(law) / sum(law), rel=1e-6)
     got = {r["doc_id"]: r["score"] for r in t.score(docs, model).collect()}
+
+    def evidence_of(d):
+        n_words, own = segments(d)
+        return sum(-math.log(x) for x in (model.scale * n_words * math.exp(-model.decay * x[2]) for x in own) if x < 1)
+
+    # The map: where the slope of the log-likelihood (the map's slope held back a little) is zero.
+    seen = [(math.log1p(evidence_of(d)), y) for d, y in toxic.items()]
+    miss = [(x, y - 1 / (1 + math.exp(-model.offset - model.slope * x))) for x, y in seen]
+    assert sum(m for _, m in miss) == pytest.approx(0, abs=1e-3)
+    assert sum(x * m for x, m in miss) - model.slope / len(seen) == pytest.approx(0, abs=1e-3)
     for d in range(0, 1200, 37):
-        n_tokens, own = segments(d)
-        chance = [model.scale * n_tokens * math.exp(-model.decay * x[2]) for x in own]
-        evidence = sum(-math.log(x) for x in chance if x < 1)
+        evidence = evidence_of(d)
         assert got[d] == pytest.approx(1 / (1 + math.exp(-model.offset - model.slope * math.log1p(evidence))), abs=1e-9)
 
 
@@ -147,3 +162,25 @@ def test_passages_are_words_of_the_text():
     model = t.Model({b"bad": 5.0, b"worse": 4.0}, decay=1.0, scale=0.1)
     assert [x[:2] for x in model.passages("so so so bad bad worse so fine fine")] == [(3, 6)]
     assert model.passages(None) == [] and model.evidence("") == 0
+
+
+THREE = t.Model({b"bad": 5.0, b"worse": 5.0, b"vile": 5.0}, decay=1.0, scale=0.001)
+
+
+def test_a_passage_that_comes_again_is_found_again():
+    text = " ".join(["bad worse vile", *["so"] * 300, "bad worse vile", *["then"] * 200, "vile bad"])
+    assert [x[:2] for x in THREE.passages(text)] == [(0, 3), (303, 306), (506, 508)]
+    assert [x[2] for x in THREE.passages(text)][:2] == pytest.approx([14.7, 14.7])
+    twice = "so bad worse vile so " + " ".join(f"w{k}" for k in range(200))
+    assert len(THREE.passages(f"{twice} {twice}")) == 2 * len(THREE.passages(twice)) == 2
+
+
+def test_scored_words_far_apart_are_no_passage():
+    text = " ".join(["bad", *["so"] * 5000, "worse", *["so"] * 5000, "vile"])
+    assert all(x[1] - x[0] == 1 for x in THREE.passages(text))
+
+
+def test_repeats_near_by_count_less():
+    assert [s for _, s in THREE.events(b"bad bad so bad".split())] == pytest.approx([5, 5 / 2, 5 / 3])
+    assert [s for _, s in THREE.events([b"bad", *[b"so"] * 29, b"bad", *[b"so"] * 30, b"bad"])] == pytest.approx([5, 5 / 2, 5])
+    assert [s for _, s in t.Model({b"fine": -1.0}).events([b"fine"] * 3)] == [-1, -1, -1]

@@ -18,25 +18,14 @@ from .decontamination import words_of
 SAMPLE_DOCS = 20_000  #: labelled documents that the model is fitted on, at most; a document is a row
 PRIOR = 0.5  #: Dirichlet pseudo-count of every word, besides its share of PRIOR_TOTAL
 PRIOR_TOTAL = 500.0
-LEAST_Z = 2.0  #: log-odds of words nearer to zero (in standard errors) count as zero
-LEAST_DOCS = 8  #: toxic documents that hold a word of positive log-odds
+LEAST_Z = 2.5  #: log-odds of words nearer to zero (in standard errors) count as zero
+LEAST_DOCS = 4  #: toxic documents that hold a word of positive log-odds
+REPEAT_SPAN = 30  #: words within which a repeated word of positive log-odds counts half, a third, ... of its first
 DRIFT = 0.1  #: what a token's score falls by at least, on average over harmless text
 HELD_WORDS = 300_000  #: words that a task counts before it passes them on
 THRESHOLD = 0.3  # of the contract (fixed value)
 
 
-def tokens_of(text: str | None) -> tuple[list[bytes], list[int]]:
-    """The text's distinct words in order, and where each occurs first.
-
-    These are the tokens of the scan: a word is evidence once in a text, however often it is repeated.
-    All counts of the model are of documents that hold a word, so shares are shares of such tokens.
-    """
-    first: dict[bytes, int] = {}
-    for i, w in enumerate(words_of(text)):
-        first.setdefault(w, i)
-    return list(first), list(first.values())
-
-
 @dataclass
 class Model:
     """Token scores, the extreme-value law of segment scores in harmless text, and the map to a
@@ -49,19 +38,35 @@ class Model:
     offset: float = -10.0
     slope: float = 0.0
 
-    def segments(self, tokens: list[bytes]) -> list[tuple[int, int, float]]:
-        """Start, end (in tokens) and score of each segment that can't be bettered."""
-        return maximal_segments([(i, self.scores[w]) for i, w in enumerate(tokens) if w in self.scores], self.drift)
+    def events(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """Place and score of every word of the text that has one. A word said again within REPEAT_SPAN words of
+        the last time is less of a surprise: its r-th repeat there counts 1 / (1 + r) of its score."""
+        out, last = [], {}
+        for i, w in enumerate(words):
+            score = self.scores.get(w)
+            if score is None:
+                continue
+            if score > 0:
+                place, repeat = last.get(w, (-REPEAT_SPAN - 1, 0))
+                repeat = repeat + 1 if i - place <= REPEAT_SPAN else 0
+                last[w] = i, repeat
+                score /= 1 + repeat
+            out.append((i, score))
+        return out
+
+    def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """Start, end (in words) and score of each segment of the text that can't be bettered."""
+        return maximal_segments(self.events(words), self.drift)
 
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
-        """Start, end (in words), score and expected number (in harmless text of that length) of the
-        segments that are expected less than once by chance."""
-        tokens, places = tokens_of(text)
+        """Start, end (in words of the text, which are contiguous), score and expected number (in harmless text of
+        that length) of the segments that are expected less than once by chance."""
+        words = words_of(text)
         found = []
-        for start, end, score in self.segments(tokens):
-            expected = self.scale * len(tokens) * math.exp(-self.decay * score)
+        for start, end, score in self.segments(words):
+            expected = self.scale * len(words) * math.exp(-self.decay * score)
             if expected < 1:
-                found.append((places[start], places[end - 1] + 1, score, expected))
+                found.append((start, end, score, expected))
         return found
 
     def evidence(self, text: str | None) -> float:
@@ -121,26 +126,29 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """word, and the toxic and other documents of the sample that hold it."""
-    schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
-
-    def counted(toxic: Counter, other: Counter) -> pa.RecordBatch:
-        words = list(toxic.keys() | other.keys())
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([x[w] for w in words], pa.int64()) for x in (toxic, other))], schema=schema)
-        toxic.clear()
-        other.clear()
+    """word, its occurrences in toxic and in other documents of the sample, and the toxic documents that hold it."""
+    schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64()), ("holders", pa.int64())])
+
+    def counted(*counts: Counter) -> pa.RecordBatch:
+        words = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([x[w] for w in words], pa.int64()) for x in counts)], schema=schema)
+        for x in counts:
+            x.clear()
         return out
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other = Counter(), Counter()
+        toxic, other, holders = Counter(), Counter(), Counter()
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (toxic if label else other).update(set(words_of(text)))
+                words = words_of(text)
+                (toxic if label else other).update(words)
+                if label:
+                    holders.update(set(words))
                 if len(toxic) + len(other) > HELD_WORDS:
-                    yield counted(toxic, other)
-        yield counted(toxic, other)
+                    yield counted(toxic, other, holders)
+        yield counted(toxic, other, holders)
 
-    return sample.mapInArrow(task, "word binary, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return sample.mapInArrow(task, "word binary, toxic long, other long, holders long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "holders")])
 
 
 def _lexicon(counts: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
@@ -159,7 +167,7 @@ def _lexicon(counts: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]
 
     delta = log_odds("toxic") - log_odds("other")
     error = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    sure = counts.withColumns({"delta": delta, "z": delta / error}).where((F.abs("z") >= LEAST_Z) & ((F.col("z") < 0) | (F.col("toxic") >= LEAST_DOCS)))
+    sure = counts.withColumns({"delta": delta, "z": delta / error}).where((F.abs("z") >= LEAST_Z) & ((F.col("z") < 0) | (F.col("holders") >= LEAST_DOCS)))
     rows = sure.orderBy("word").collect()
     return {bytes(r["word"]): r["delta"] for r in rows}, {bytes(r["word"]): (r["other"] + PRIOR) / n["other"] for r in rows}
 
@@ -180,26 +188,32 @@ def _law(scores: dict[bytes, float], share: dict[bytes, float]) -> tuple[float,
     return drift, low
 
 
-def _maxima(sample: DataFrame, model: Model) -> list[tuple[bool, int, float, float]]:
-    """toxic, tokens, best segment score and evidence of every document of the (bounded) sample."""
-    kinds = {"toxic": pa.bool_(), "tokens": pa.int64(), "best": pa.float64(), "evidence": pa.float64()}
+def _scanned(sample: DataFrame, model: Model) -> DataFrame:
+    """toxic, words and segment scores of every document of the (bounded) sample, written: the scan runs once."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in common.slices(whole, "text")):
-            rows = []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                tokens, _ = tokens_of(text)
-                rows.append((label, len(tokens), max((x[2] for x in model.segments(tokens)), default=0.0), model.evidence(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+            texts = [words_of(text) for text in batch.column("text").to_pylist()]
+            found = [[x[2] for x in model.segments(words)] for words in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(map(len, texts), pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "words", "scores"])
 
-    found = sample.mapInArrow(task, "toxic boolean, tokens long, best double, evidence double")
-    return [tuple(r) for r in found.collect()]
+    return common.written(sample.mapInArrow(task, "toxic boolean, words long, scores array<double>"), "scanned")
 
 
-def _scale(decay: float, harmless: list[tuple[int, float]]) -> float:
-    """The most likely scale of the law, of tokens and best scores of harmless documents: one over the mean
+def _scale(decay: float, scanned: DataFrame) -> float:
+    """The most likely scale of the law, of lengths and best scores of harmless documents: one over the mean
     of n e^(-decay best)."""
-    return len(harmless) / max(1e-12, sum(n * math.exp(-decay * best) for n, best in harmless)) if harmless else 1.0
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    harmless = scanned.where(~F.col("toxic") & (F.col("words") > 0))
+    n = harmless.agg(F.count("*").alias("rows"), F.sum(F.col("words") * F.exp(-decay * best)).alias("sum")).first()
+    return n["rows"] / max(1e-12, n["sum"]) if n["rows"] else 1.0
+
+
+def _evidence(model: Model, scanned: DataFrame) -> list[tuple[bool, float]]:
+    """toxic and evidence (as in :meth:`Model.evidence`) of every document of the sample."""
+    surprise = lambda s: model.decay * s - F.log(model.scale * F.col("words"))
+    each = F.transform("scores", lambda s: F.least(F.greatest(surprise(s), F.lit(0.0)), F.lit(-math.log(1e-300))))
+    return [(r["toxic"], r["evidence"]) for r in scanned.select("toxic", F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x).alias("evidence")).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -214,23 +228,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     if not scores:
         return model
     model.drift, model.decay = _law(scores, share)
-    model.scale = _scale(model.decay, [(n, best) for toxic, n, best, _ in _maxima(sample, model) if not toxic and n])
-    seen = _maxima(sample, model)
-    model.offset, model.slope = _logistic([math.log1p(x[3]) for x in seen], [x[0] for x in seen])
+    scanned = _scanned(sample, model)
+    model.scale = _scale(model.decay, scanned)
+    seen = _evidence(model, scanned)
+    model.offset, model.slope = _logistic([math.log1p(x) for _, x in seen], [toxic for toxic, _ in seen])
     return model
 
 
 def _logistic(x: list[float], y: list[bool], ridge: float = 1.0) -> tuple[float, float]:
-    """Newton's method for two coefficients, the slope held back a little."""
-    a, t = np.stack([np.ones(len(x)), np.array(x)], axis=1), np.array(y, float)
+    """Newton's method for two coefficients, the slope held back a little. A step that would not raise the likelihood
+    is halved, so that labels that the evidence tells apart wholly don't throw it off."""
+    a, t, hold = np.stack([np.ones(len(x)), np.array(x)], axis=1), np.array(y, float), np.array([0, ridge / len(x)])
+    gain = lambda w: float((t * (a @ w) - np.logaddexp(0, a @ w)).sum() - 0.5 * (hold * w * w).sum())
     w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (t - p) - np.array([0, ridge / len(x)]) * w
-        curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-6, ridge / len(x)])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        slope = a.T @ (t - p) - hold * w
+        curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag(hold) + 1e-9 * np.eye(2)
         step = np.linalg.solve(curve, slope)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        while np.abs(step).max() > 1e-9 and gain(w + step) < gain(w):
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-9:
             break
     return float(w[0]), float(max(0.0, w[1]))
 
