@@ -19,7 +19,6 @@ MIN_WORDS = 50
 REPEATED_SHARE = 50  # percent
 
 LEAST_SHARE = 1 / 1000  #: of a language's words, to be one of its common words
-REFERENCE_WORDS = 1000  #: of a language, for it to have a reference
 MAX_COMMON_WORDS = 1_000_000  #: of all languages together
 MIN_CHARS = 200  #: shorter texts aren't judged by their characters
 MIN_JUDGED_WORDS = 50  #: nor by their words
@@ -138,11 +137,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> dict[str, Reference]:
-    """A reference for each language with REFERENCE_WORDS words or more, counted over all its documents,
-    whatever else the corpus holds. A language has a thousand common words at most; more than
+    """A reference for each language that has a word, counted over all its documents, whatever else the corpus holds.
+    A language of few documents is what they are: each is near a reference of which it is a large part,
+    and the fewer others there are, the nearer. There is no size from which on a language counts. It has a thousand common words at most; more than
     MAX_COMMON_WORDS of all languages, which would be thousands of languages, raise an error."""
     counts = common.written(corpus_counts(docs), "counts")
-    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("total")).where(F.col("total") >= REFERENCE_WORDS)
+    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("total")).where(F.col("total") > 0)
     own = counts.join(common.written(totals, "totals"), "lang")
     known = common.written(own.where(F.col("word").isNull() | (F.col("n") >= LEAST_SHARE * F.col("total"))), "references")
     if known.count() > MAX_COMMON_WORDS:
@@ -187,8 +187,7 @@ def assess(docs: DataFrame) -> DataFrame:
     the language's reference (null where the text is too short to judge) and the verdict.
 
     A null text counts as empty, and an empty one fails the base rules. A null language is a language of
-    its own, like the empty name. Texts in a language of under a thousand words in all aren't judged by
-    distance, like short texts. Repeated rows get a row each; an empty table gives an empty table; other
+    its own, like the empty name. Repeated rows get a row each; an empty table gives an empty table; other
     columns are ignored.
     """
     spark = docs.sparkSession
