@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -12,9 +13,10 @@ from pyarrow import fs as pafs
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 from ..config import DEFAULTS, Params
+from .folder import dropped, written
 
 
 def read_table(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
@@ -38,6 +40,40 @@ def load_or_compute(spark: SparkSession, path: str, kind: StructType, compute: C
     return read_table(spark, path, kind)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def committed_matches(spark: SparkSession, path: str) -> DataFrame:
+    """match_id, batch of the matches that the table at ``path`` holds whole."""
+    kind = StructType([StructField("match_id", LongType()), StructField("batch", StringType())])
+    manifest = f"{path}/_matches"
+    return spark.read.schema(kind).parquet(manifest) if _exists(spark, manifest) else spark.createDataFrame([], kind)
+
+
+def load_or_compute_matches(spark: SparkSession, path: str, kind: StructType, matches: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The saved rows of ``matches(match_id)``; ``compute`` makes those of the matches that aren't saved yet.
+
+    Rows are appended under a batch of their own, by match, and a manifest names the matches of the batch once all
+    its rows are there: only what it names is read. So a match that is added later costs itself alone, one whose
+    writing broke off is computed anew without its pieces ever being seen, and a match without rows is
+    known to have none. Of two writers that saved the same match, one batch counts.
+    """
+    asked = matches.select("match_id").where("match_id IS NOT NULL").distinct()
+    missing = written(asked.join(committed_matches(spark, path), "match_id", "left_anti"), "missing-matches")
+    rows = StructType([*kind.fields, StructField("batch", StringType())])
+    if not missing.isEmpty():
+        batch = F.lit(uuid.uuid4().hex).alias("batch")
+        made = compute(missing).join(missing, "match_id", "left_semi").select(*[F.col(f.name).cast(f.dataType) for f in kind], batch)
+        made.hint("rebalance", F.col("match_id")).write.mode("append").partitionBy("batch", "match_id").parquet(f"{path}/rows")
+        missing.select("match_id", batch).write.mode("append").parquet(f"{path}/_matches")
+    dropped(missing)
+    whole = committed_matches(spark, path).join(asked, "match_id", "left_semi").groupBy("match_id").agg(F.min("batch").alias("batch"))
+    saved = spark.read.schema(rows).parquet(f"{path}/rows") if _exists(spark, f"{path}/rows") else spark.createDataFrame([], rows)
+    return saved.join(whole, ["batch", "match_id"], "left_semi").select(*kind.names)
+
+
 def frame_spine(matches: DataFrame) -> DataFrame:
     """match_id, frame_num for every frame of ``matches(match_id, n_frames)``, empty ones too."""
     last = F.col("n_frames") - 1
