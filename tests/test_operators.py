@@ -1,6 +1,7 @@
 """Operators on hand-made rows: strict thresholds, ties, gaps, short windows, missing data."""
 
 import dataclasses
+import random
 
 import pytest
 from hypothesis import given
@@ -189,6 +190,23 @@ def test_corner_selection_order_and_limit(spark):
     assert rows(camera.select_corners(df, params), "x") == [(1.0,), (10.0,)]
 
 
+def test_crowded_corners_equal_a_plain_greedy_choice(spark):
+    draw = random.Random(5)
+    points = [(0, f, draw.randrange(40) / 2, draw.randrange(60) / 2, float(draw.randrange(4, 12))) for f in range(3) for _ in range(500)]
+    points += [(0, 0, 1.0, None, 11.0), (0, 0, 1.0, 1.0, None), (1, 0, None, 1.0, 50.0)]  # no place, no quality: no corners
+    want = []
+    for frame in range(3):
+        taken = []
+        for q, x, y in sorted((-q, x, y) for m, f, x, y, q in points if m == 0 and f == frame and None not in (x, y, q)):
+            if -q >= 0.3 * 11 and all((x - a) ** 2 + (y - b) ** 2 >= 9 for a, b in taken):
+                taken.append((x, y))
+        want += [(frame, x, y) for x, y in taken]
+    df = spark.createDataFrame(points, "match_id long, frame_num long, x double, y double, quality double")
+    found = camera.select_corners(df)
+    assert len(want) < 300 and rows(found, "frame_num", "x", "y") == sorted(want, key=repr)
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
 def test_overlay_geometry(spark):
     row = (0, 0, "players", 100, 0, 0, 10.0, 20.5, 51.0, 99.9)
     df = spark.createDataFrame([row], schema.TRACKS).withColumns({"has_ball": F.lit(True), "team_color": F.array(*map(F.lit, (1.0, 2.0, 3.0)))})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +75,23 @@ def on_pitch_by_calibration(tracks: DataFrame, calibrations: DataFrame, key: str
 def select_corners(corners: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Features to follow among ``corners(match_id, frame_num, x, y, quality)``: within the mask, of at
     least 0.3 of the frame's best quality, best first, none nearer than 3 pixels to a better one, at most
-    100 a frame. Frames are chosen from in parallel; ties go to smaller x, then y."""
-    masked = corners.where(in_mask(F.col("x"), params)).select(*FRAME, "x", "y", "quality")
-    best = F.max("quality").over(Window.partitionBy(*FRAME))
-    good = masked.withColumn("best", best).where(F.col("quality") >= params.corner_quality * F.col("best")).drop("best")
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["quality", "x", "y"], ascending=[False, True, True])
-        taken: list[int] = []
-        points = pdf[["x", "y"]].to_numpy(float)
-        for k, p in enumerate(points):
-            if len(taken) == params.max_corners:
-                break
-            if not taken or (np.hypot(*(points[taken] - p).T) >= params.corner_spacing).all():
-                taken.append(k)
-        return pdf.iloc[taken]
-
-    return good.groupBy(*FRAME).applyInPandas(greedy, good.schema)
+    100 a frame. Ties go to smaller x, then y; corners without a place or quality are none.
+
+    A frame's corners are one sorted array, which a fold goes through with those taken so far: their number is
+    bounded, so a frame costs its corners times 100 at most, and no Python runs.
+    """
+    masked = corners.where(in_mask(F.col("x"), params) & F.col("y").isNotNull() & F.col("quality").isNotNull())
+    point = F.struct((-F.col("quality")).alias("order"), "x", "y", "quality")
+    found = masked.groupBy(*FRAME).agg(F.max("quality").alias("best"), F.sort_array(F.collect_list(point)).alias("points"))
+    good = F.filter("points", lambda p: p["quality"] >= params.corner_quality * F.col("best"))
+
+    def near(p: Column, q: Column) -> Column:
+        dx, dy = p["x"] - q["x"], p["y"] - q["y"]
+        return dx * dx + dy * dy < params.corner_spacing**2
+
+    def step(taken: Column, p: Column) -> Column:
+        free = (F.size(taken) < params.max_corners) & ~F.exists(taken, lambda q: near(p, q))
+        return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
+
+    taken = F.aggregate(good, F.slice("points", 1, 0), step)
+    return found.select(*FRAME, F.explode(taken).alias("p")).select(*FRAME, "p.x", "p.y", "p.quality")

@@ -197,6 +197,13 @@ RELATIONS: dict[str, str] = {
     **_teams("f_", "f_colours"),
     "f_player_team": "SELECT match_id, track_id, CASE WHEN match_id = 0 AND track_id = 3 THEN 1 ELSE team END AS team FROM f_by_colour",
     "f_colour": "SELECT p.match_id, p.track_id, p.team, [t.b, t.g, t.r] AS team_color FROM f_player_team p LEFT JOIN f_teams t ON p.match_id = t.match_id AND p.team = t.team",
+    "corners": """SELECT match_id, frame_num, old_x AS x, old_y AS y, l_extendedprice AS quality FROM features JOIN li USING (match_id, frame_num) WHERE feature_id = det_index
+        AND (old_x >= 0 AND old_x < 20 OR old_x >= 900 AND old_x < 1050)""",
+    "good_corners": """SELECT match_id, frame_num, row_number() OVER (PARTITION BY match_id, frame_num ORDER BY quality DESC, x, y) AS k, {'o': -quality, 'x': x, 'y': y} AS p
+        FROM (SELECT *, max(quality) OVER (PARTITION BY match_id, frame_num) AS best FROM corners) WHERE quality >= 0.3e0 * best""",
+    "choosing": """SELECT match_id, frame_num, k, [p] AS taken FROM good_corners WHERE k = 1
+        UNION ALL SELECT c.match_id, c.frame_num, c.k, CASE WHEN len(taken) < 100 AND len(list_filter(taken, lambda q: (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) < 9)) = 0 THEN list_append(taken, p) ELSE taken END
+        FROM choosing s JOIN good_corners c ON s.match_id = c.match_id AND s.frame_num = c.frame_num AND c.k = s.k + 1""",
     "links": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_num, det_index ORDER BY iou DESC, p_index) AS a, row_number() OVER (PARTITION BY match_id, frame_num, p_index ORDER BY iou DESC, det_index) AS b FROM (
         SELECT n.match_id, n.frame_num, n.det_index, p.det_index AS p_index, w * h / ((n.x2 - n.x1) * (n.y2 - n.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - w * h) AS iou
         FROM dense n JOIN dense p ON n.match_id = p.match_id AND n.frame_num = p.frame_num + 1,
@@ -325,6 +332,7 @@ SELECTS: dict[str, str] = {
     "w7_detection_ordinal": "SELECT match_id, frame_num, CAST(row_number() OVER (PARTITION BY match_id, frame_num ORDER BY class_name, x1, y1, x2, y2, confidence, track_id NULLS FIRST) - 1 AS BIGINT) AS det_index, class_name, x1, y1 FROM detections",
     "t1_last_ball": "SELECT match_id, frame_num, det_index, x1, y1, x2, y2 FROM balls",
     "t3_drawing_order": SHAPE_ROWS,
+    "t2_select_corners": "SELECT match_id, frame_num, p.x AS x, p.y AS y, -p.o AS quality FROM (SELECT match_id, frame_num, unnest(taken) AS p FROM (SELECT match_id, frame_num, arg_max(taken, k) AS taken FROM choosing GROUP BY match_id, frame_num))",
     "u1_objects_together": f"SELECT object, count(*) AS n, count(DISTINCT (match_id, track_id)) AS n_tracks FROM tracks GROUP BY object",
     "u2_replace_balls": f"SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')}, det_index FROM tracks WHERE object <> 'balls' UNION ALL SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')}, NULL FROM filled",
     "u3_shapes_together": SHAPE_ROWS,
