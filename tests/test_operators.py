@@ -42,11 +42,11 @@ def test_tracks_from_detections(detect):
             detection(0, 3, "ball", None),
             detection(0, 4, "ball", None, box=(7.0, 7.0, 8.0, 8.0)),
             detection(0, 5, "crowd", 9),
-            detection(0, 6, "player", None),  # not tracked
+            detection(0, 6, "player", None),  # an id of its own, beyond those given
             detection(1, 0, "referee", 5, None),
         )
     )
-    assert rows(found, "object", "track_id", "det_index", "first_index", "x1") == [("balls", 1, 4, 3, 7.0), ("players", 1, 2, 1, 3.0)]
+    assert rows(found, "object", "track_id", "det_index", "first_index", "x1") == [("balls", 1, 4, 3, 7.0), ("players", 1, 2, 1, 3.0), ("players", 2, 6, 6, 0.0)]
 
 
 def test_best_ball_instead_of_last(detect):
@@ -190,6 +190,42 @@ def test_corner_selection_order_and_limit(spark):
     assert rows(camera.select_corners(df, params), "x") == [(1.0,), (10.0,)]
 
 
+IDS = "match_id long, frame_num long, object string, det_index long, track_id long, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_ids_by_overlap(spark):
+    at = lambda f, i, x, t=None: (0, f, "players", i, t, x, 0.0, x + 10, 10.0)
+    found = [
+        at(0, 0, 0.0), at(1, 0, 1.0, 7), at(2, 0, 2.0), at(3, 0, 3.0, 8), at(4, 0, 4.0),  # 7 as far as 8 begins
+        at(0, 1, 100.0), at(1, 1, 101.0),  # nobody's: 10, beyond the match's largest
+        at(2, 1, 200.0, 7), at(2, 2, 300.0, 7),  # an id given twice stays; the row between must do without
+        at(3, 1, 200.0), at(3, 2, 500.0, 9), at(4, 1, 500.0), at(4, 2, 520.0, 9),
+        (1, 0, "players", 0, None, 0.0, 0.0, 1.0, 1.0), (1, 0, "referees", 0, 3, 0.0, 0.0, 1.0, 1.0), (1, 1, "referees", 0, None, 0.0, 0.0, 1.0, 1.0), (2, 0, "players", 4, 5, 0.0, 0.0, 1.0, 1.0),
+    ]
+    got = rows(tracks.identified(spark.createDataFrame(found, IDS)), "match_id", "frame_num", "object", "det_index", "track_id")
+    want = {(0, 0, 0): 7, (0, 1, 0): 7, (0, 2, 0): 10, (0, 3, 0): 8, (0, 4, 0): 8, (0, 0, 1): 11, (0, 1, 1): 11, (0, 2, 1): 7, (0, 2, 2): 7, (0, 3, 1): 7, (0, 3, 2): 9, (0, 4, 1): 12, (0, 4, 2): 9}
+    assert [r for r in got if r[0] == 0] == sorted(((m, f, "players", i, t) for (m, f, i), t in want.items()), key=repr)
+    assert [r for r in got if r[0]] == [(1, 0, "players", 0, 4), (1, 0, "referees", 0, 3), (1, 1, "referees", 0, 3), (2, 0, "players", 4, 5)]
+
+
+def test_ids_stay_and_clash_nowhere(spark):
+    draw = random.Random(11)
+    found = []
+    for f in range(200):
+        spots = draw.sample(range(12), 8)
+        ids = draw.sample(range(1, 9), 3)
+        found += [(0, f, "players", i, ids[i] if i < 3 else None, 10.0 * x, 0.0, 10.0 * x + 12, 10.0) for i, x in enumerate(spots)]
+    got = {(r["frame_num"], r["det_index"]): r["track_id"] for r in tracks.identified(spark.createDataFrame(found, IDS)).collect()}
+    assert len(got) == len(found) and all(t is None or got[f, i] == t for _, f, _, i, t, *_ in found)
+    assert all(len({got[f, i] for i in range(8)}) == 8 for f in range(200))  # every row of a frame keeps an identity of its own
+    assert sum(got[f, i] <= 8 for f in range(200) for i in range(3, 8)) > 100
+
+
+def test_long_chain_takes_one_id(spark):
+    found = [(0, f, "players", 0, 4 if f == 900 else None, 0.0, 0.0, 5.0, 5.0) for f in range(1000)]
+    assert {r["track_id"] for r in tracks.identified(spark.createDataFrame(found, IDS)).collect()} == {4}
+
+
 def test_crowded_corners_equal_a_plain_greedy_choice(spark):
     draw = random.Random(5)
     points = [(0, f, draw.randrange(40) / 2, draw.randrange(60) / 2, float(draw.randrange(4, 12))) for f in range(3) for _ in range(500)]

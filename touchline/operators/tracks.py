@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions import geometry as g
 from ..schema import BOX, FRAME
-from ..sources.folder import dropped, written
+from ..sources.folder import written
 
 OBJECT_OF: Mapping[str, str] = {"player": "players", "referee": "referees", "ball": "balls"}
 
@@ -43,11 +43,11 @@ def relabelled(detections: DataFrame, names: Mapping[str, str] | None = None) ->
 
 
 def with_object(detections: DataFrame, objects: Mapping[str, str] = OBJECT_OF) -> DataFrame:
-    """``object`` by class; other classes are dropped. Balls have no identity: their track is 1. Rows of
-    other objects without a track id aren't tracked and go, too."""
+    """``object`` by class; other classes are dropped. Balls have no identity: their track is 1. Other
+    objects can be without a track id (see :func:`identified`)."""
     named = detections.withColumn("object", _lookup(objects, F.col("class_name"))).where("object is not null")
     ball = F.col("object") == "balls"
-    return named.withColumn("track_id", F.when(ball, F.lit(1).cast("long")).otherwise(F.col("track_id"))).where("track_id is not null")
+    return named.withColumn("track_id", F.when(ball, F.lit(1).cast("long")).otherwise(F.col("track_id")))
 
 
 def keep_last(detections: DataFrame) -> DataFrame:
@@ -73,11 +73,15 @@ def with_ordinal(detections: DataFrame) -> DataFrame:
 
 def build_tracks(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Tracks (:data:`touchline.schema.TRACKS`) from detections: sure ones, by object, last one of each key.
+    Where any lacks a track id, ids are found by overlap first (:func:`identified`).
 
     Detections are dealt out by frame before they are reduced: hardly any repeat, so sums before the
     shuffle would save little, and the joins by frame that follow find the tracks in place.
     """
-    return keep_last(with_object(relabelled(confident(detections, params))).repartition(*FRAME))
+    seen = with_object(relabelled(confident(detections, params)))
+    if not seen.where("track_id is null").isEmpty():
+        seen = identified(seen, params)
+    return keep_last(seen.repartition(*FRAME))
 
 
 def with_position(tracks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -103,40 +107,90 @@ def replaced(tracks: DataFrame, name: str, collection: DataFrame) -> DataFrame:
     return together(tracks.where(F.col("object") != name), collection)
 
 
-def link(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """``detections(match_id, frame_num, object, det_index, box)`` with ``track_id``: identity from frame to
-    frame by overlap.
+def _predecessors(rows: DataFrame, params: Params) -> DataFrame:
+    """match_id, object, frame_num, det_index, p_index: the detection of the frame before that each continues, if any.
+    Two with different track ids never meet."""
+    frame = ["match_id", "object", "frame_num"]
+    earlier = [F.col(c).alias(f"p_{c}") for c in ("det_index", "track_id", *BOX)]
+    before = rows.select("match_id", "object", (F.col("frame_num") + 1).alias("frame_num"), *earlier)
+    overlap = g.iou([F.col(c) for c in BOX], [F.col(f"p_{c}") for c in BOX])
+    one = F.coalesce(F.col("track_id") == F.col("p_track_id"), F.lit(True))
+    pairs = rows.join(before, frame).where(one).withColumn("iou", overlap).where(F.col("iou") >= params.min_iou)
+    of_now = pairs.groupBy(*frame, "det_index").agg(F.max_by("p_det_index", F.struct("iou", -F.col("p_det_index"))).alias("p_index"))
+    of_before = pairs.groupBy(*frame, F.col("p_det_index").alias("p_index")).agg(F.max_by("det_index", F.struct("iou", -F.col("det_index"))).alias("det_index"))
+    return of_now.join(of_before, [*frame, "det_index", "p_index"])
+
+
+def chains(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """match_id, object, frame_num, det_index, head_frame, head_index: the first detection of each one's chain.
 
     A detection continues the one of the frame before, of the same object, that it overlaps best, if
-    that one's best is it, too, and the overlap is large enough; ties go to the smaller index. Chains
-    get their head by pointer doubling (rounds: the logarithm of the longest chain; tables are written
-    between rounds), and heads are numbered by match from 1, by object, frame and index. There is no
-    motion model, no memory of tracks lost, and no second pass for unsure detections.
+    that one's best is it, too, and the overlap is large enough; ties go to the smaller index, and two
+    track ids that differ are never tied. There is no motion model, no memory of tracks lost, and no
+    second pass for unsure detections.
+
+    Heads come by pointer doubling: a round looks up the head of each row's head and takes twice the steps of the one
+    before (rounds: the logarithm of the longest chain). A row whose head begins a chain is settled: it is
+    written once and only looked up after that. Tables are written between rounds.
     """
     key = ["match_id", "object", "frame_num", "det_index"]
-    rows = detections.select(*key, *BOX)
-    before = rows.select("match_id", "object", (F.col("frame_num") + 1).alias("frame_num"), F.col("det_index").alias("p_index"), *[F.col(c).alias(f"p_{c}") for c in BOX])
-    overlap = g.iou([F.col(c) for c in BOX], [F.col(f"p_{c}") for c in BOX])
-    frame = ["match_id", "object", "frame_num"]
-    pairs = rows.join(before, frame).withColumn("iou", overlap).where(F.col("iou") >= params.min_iou)
-    of_now = pairs.groupBy(*frame, "det_index").agg(F.max_by("p_index", F.struct("iou", -F.col("p_index"))).alias("p_index"))
-    of_before = pairs.groupBy(*frame, "p_index").agg(F.max_by("det_index", F.struct("iou", -F.col("det_index"))).alias("det_index"))
-    mutual = of_now.join(of_before, [*frame, "det_index", "p_index"])
-    node = lambda frame_num, index: F.struct(F.col(frame_num).alias("frame_num"), F.col(index).alias("det_index"))
-    back = mutual.select("match_id", "object", node("frame_num", "det_index").alias("node"), F.struct((F.col("frame_num") - 1).alias("frame_num"), F.col("p_index").alias("det_index")).alias("head"))
-    heads = rows.select("match_id", "object", node("frame_num", "det_index").alias("node")).join(back, ["match_id", "object", "node"], "left")
-    heads = written(heads.withColumn("head", F.coalesce("head", "node")), "heads")
-    while True:
-        further = heads.select("match_id", "object", F.col("node").alias("head"), F.col("head").alias("top"))
-        step = heads.join(further, ["match_id", "object", "head"]).select("match_id", "object", "node", F.col("top").alias("head"), (F.col("top") != F.col("head")).alias("moved"))
-        step = written(step, "heads")
-        moved = not step.where("moved").isEmpty()
-        dropped(heads)
-        heads = step.drop("moved")
-        if not moved:
-            break
-    number = F.row_number().over(Window.partitionBy("match_id").orderBy("object", "head.frame_num", "head.det_index"))
-    named = heads.where("node = head").select("match_id", "object", "head", number.cast("long").alias("track_id"))  # one row a track
-    tracked = heads.join(named, ["match_id", "object", "head"])
-    tracked = tracked.select("match_id", "object", F.col("node.frame_num").alias("frame_num"), F.col("node.det_index").alias("det_index"), "track_id")
-    return detections.drop("track_id").join(tracked, key)
+    columns = [*key, "head_frame", "head_index"]
+    rows = detections.select(*key, "track_id", *BOX) if "track_id" in detections.columns else detections.select(*key, F.lit(None).cast("long").alias("track_id"), *BOX)
+    back = rows.select(*key).join(_predecessors(rows, params), key, "left")
+    first = F.col("p_index").isNull()
+    head = F.when(first, F.col("frame_num")).otherwise(F.col("frame_num") - 1), F.coalesce("p_index", "det_index")
+    start = written(back.select(*key, head[0].alias("head_frame"), head[1].alias("head_index"), first.alias("settled")), "heads")
+    done, todo = start.where("settled").select(*columns), start.where("not settled").select(*columns)
+    while not todo.isEmpty():
+        known = done.withColumn("settled", F.lit(True)).unionByName(todo.withColumn("settled", F.lit(False)))
+        known = known.select("match_id", "object", F.col("frame_num").alias("head_frame"), F.col("det_index").alias("head_index"), F.col("head_frame").alias("f"), F.col("head_index").alias("i"), "settled")
+        step = todo.join(known, ["match_id", "object", "head_frame", "head_index"])
+        step = written(step.select(*key, F.col("f").alias("head_frame"), F.col("i").alias("head_index"), "settled"), "heads")
+        done, todo = done.unionByName(step.where("settled").select(*columns)), step.where("not settled").select(*columns)
+    return done
+
+
+def link(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """``detections(match_id, frame_num, object, det_index, box)`` with ``track_id``: identity from frame to
+    frame by overlap (:func:`chains`). Heads are numbered by match from 1, by object, frame and index."""
+    anonymous = detections.drop("track_id")
+    found = chains(anonymous, params)
+    head = ["match_id", "object", "head_frame", "head_index"]
+    number = F.row_number().over(Window.partitionBy("match_id").orderBy("object", "head_frame", "head_index"))
+    named = found.where("frame_num = head_frame and det_index = head_index").select(*head, number.cast("long").alias("track_id"))  # one row a track
+    tracked = found.join(named, head).drop("head_frame", "head_index")
+    return anonymous.join(tracked, ["match_id", "object", "frame_num", "det_index"])
+
+
+def identified(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """``detections(match_id, frame_num, object, det_index, track_id, box)``, each with a ``track_id``.
+
+    Given ids stand. Detections are chained by overlap (:func:`chains`); one without an id claims that of its chain's
+    nearest detection before it that has one, else of the nearest after it. In a frame an id goes to one claim
+    at most: to none if it is given there, else to that nearest to its source in frames (ties: smaller index).
+    Who has no claim, or loses it, goes by a number of the chain's own, counted by match beyond the largest id
+    given there, in order of object and first detection. Only objects of which a match lacks ids are chained.
+    Rows with one key (match, object, frame, index) are one detection.
+    """
+    key = ["match_id", "object", "frame_num", "det_index"]
+    head = ["match_id", "object", "head_frame", "head_index"]
+    lacking = detections.where("track_id is null").select("match_id", "object").distinct()
+    affected = detections.join(lacking, ["match_id", "object"], "left_semi")
+    rows = affected.groupBy(*key).agg(F.min(F.struct("track_id", *BOX)).alias("d")).select(*key, "d.*")
+    chained = rows.select(*key, "track_id").join(chains(rows, params), key)
+    chain = Window.partitionBy(*head).orderBy("frame_num")
+    source = F.when(F.col("track_id").isNotNull(), F.struct("frame_num", "track_id"))
+    earlier = F.last(source, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first(source, ignorenulls=True).over(chain.rowsBetween(1, Window.unboundedFollowing))
+    claims = chained.withColumn("source", F.coalesce(source, earlier, later))
+    claims = claims.select(*key, *head[2:], "track_id", F.col("source.track_id").alias("claim"), F.abs(F.col("frame_num") - F.col("source.frame_num")).alias("away"))
+    rivals = Window.partitionBy("match_id", "object", "frame_num", "claim").orderBy(F.col("track_id").isNull(), "away", "det_index")
+    wins = F.col("claim").isNotNull() & (F.row_number().over(rivals) == 1)
+    settled = written(claims.withColumn("found", F.coalesce("track_id", F.when(wins, F.col("claim")))).select(*key, *head[2:], "found"), "claims")
+    largest = detections.groupBy("match_id").agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("largest"))
+    order = Window.partitionBy("match_id").orderBy("object", "head_frame", "head_index")
+    own = settled.where("found is null").select(*head).distinct().withColumn("number", F.row_number().over(order)).join(largest, "match_id")
+    named = settled.join(own.select(*head, (F.col("number") + F.col("largest")).alias("own")), head, "left")
+    named = named.select(*key, F.coalesce("found", "own").alias("named"))
+    both = detections.join(named, key, "left")
+    return both.withColumn("track_id", F.coalesce("track_id", "named")).select(*detections.columns)

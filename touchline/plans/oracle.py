@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..sources.fixtures import BALL, DENSE, DETECTION, FRAME_PIXEL
+from ..sources.fixtures import BALL, DENSE, DETECTION, FRAME_PIXEL, UNNAMED
 
 TRACK = "match_id, frame_num, object, track_id"
 H = (0.21888134936997805, 0.04464027520045604, -70.27963326316959, -0.005306128172663865, -0.06765313420146424, 70.60466799750851, -5.9823044554659536e-05, 0.00431056087175743, 1.0)
@@ -115,6 +115,15 @@ def _nearer(point: str = "", first: str = "c0_", second: str = "c1_") -> str:
     return f"CASE WHEN {near[0]} <= {near[1]} THEN 0 ELSE 1 END"
 
 
+def _links(table: str, also: str = "true") -> str:
+    """Detections of a table and those of the frame before that they continue: each other's best overlap."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, object, frame_num, det_index ORDER BY iou DESC, p_index) AS a, row_number() OVER (PARTITION BY match_id, object, frame_num, p_index ORDER BY iou DESC, det_index) AS b FROM (
+        SELECT n.match_id, n.object, n.frame_num, n.det_index, p.det_index AS p_index, w * h / ((n.x2 - n.x1) * (n.y2 - n.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - w * h) AS iou
+        FROM {table} n JOIN {table} p ON n.match_id = p.match_id AND n.object = p.object AND n.frame_num = p.frame_num + 1 AND {also},
+        LATERAL (SELECT greatest(least(n.x2, p.x2) - greatest(n.x1, p.x1), 0e0) AS w, greatest(least(n.y2, p.y2) - greatest(n.y1, p.y1), 0e0) AS h)) WHERE iou >= 0.3e0) WHERE a = 1 AND b = 1"""
+
+
+_GIVEN = "CASE WHEN track_id IS NOT NULL THEN {'f': frame_num, 't': track_id} END"
 RELATIONS: dict[str, str] = {
     "ord": "SELECT CAST(floor(o_orderkey/750) AS BIGINT) AS match_id, o_orderkey % 750 AS frame_num, * FROM orders",
     "frames": "SELECT match_id, frame_num FROM ord",
@@ -204,10 +213,20 @@ RELATIONS: dict[str, str] = {
     "choosing": """SELECT match_id, frame_num, k, [p] AS taken FROM good_corners WHERE k = 1
         UNION ALL SELECT c.match_id, c.frame_num, c.k, CASE WHEN len(taken) < 100 AND len(list_filter(taken, lambda q: (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) < 9)) = 0 THEN list_append(taken, p) ELSE taken END
         FROM choosing s JOIN good_corners c ON s.match_id = c.match_id AND s.frame_num = c.frame_num AND c.k = s.k + 1""",
-    "links": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_num, det_index ORDER BY iou DESC, p_index) AS a, row_number() OVER (PARTITION BY match_id, frame_num, p_index ORDER BY iou DESC, det_index) AS b FROM (
-        SELECT n.match_id, n.frame_num, n.det_index, p.det_index AS p_index, w * h / ((n.x2 - n.x1) * (n.y2 - n.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - w * h) AS iou
-        FROM dense n JOIN dense p ON n.match_id = p.match_id AND n.frame_num = p.frame_num + 1,
-        LATERAL (SELECT greatest(least(n.x2, p.x2) - greatest(n.x1, p.x1), 0e0) AS w, greatest(least(n.y2, p.y2) - greatest(n.y1, p.y1), 0e0) AS h)) WHERE iou >= 0.3e0) WHERE a = 1 AND b = 1""",
+    "links": _links("dense"),
+    "unnamed": f"SELECT *, CASE class_name WHEN 'player' THEN 'players' ELSE 'referees' END AS object FROM (SELECT {UNNAMED} FROM li)",
+    "own_links": _links("unnamed", "coalesce(n.track_id = p.track_id, true)"),
+    "own_chain": """SELECT match_id, object, frame_num, det_index, track_id, frame_num AS hf, det_index AS hi FROM unnamed d ANTI JOIN own_links l USING (match_id, object, frame_num, det_index)
+        UNION ALL SELECT d.match_id, d.object, d.frame_num, d.det_index, d.track_id, hf, hi FROM own_chain c JOIN own_links l ON l.match_id = c.match_id AND l.object = c.object AND l.frame_num = c.frame_num + 1 AND l.p_index = c.det_index
+        JOIN unnamed d ON d.match_id = l.match_id AND d.frame_num = l.frame_num AND d.det_index = l.det_index""",
+    "nearest_ids": f"""SELECT *, last_value({_GIVEN} IGNORE NULLS) OVER (chained ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value({_GIVEN} IGNORE NULLS) OVER (chained ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+        FROM own_chain WINDOW chained AS (PARTITION BY match_id, object, hf, hi ORDER BY frame_num)""",
+    "claims": "SELECT *, abs(frame_num - source.f) AS away FROM (SELECT *, coalesce(before, after) AS source FROM nearest_ids)",
+    "granted": """SELECT c.*, CASE WHEN track_id IS NOT NULL THEN track_id WHEN NOT EXISTS (SELECT 1 FROM claims o WHERE o.match_id = c.match_id AND o.object = c.object AND o.frame_num = c.frame_num
+        AND (o.track_id = c.source.t OR o.track_id IS NULL AND o.source.t = c.source.t AND (o.away, o.det_index) < (c.away, c.det_index))) THEN c.source.t END AS found FROM claims c""",
+    "numbers": """SELECT match_id, object, hf, hi, row_number() OVER (PARTITION BY match_id ORDER BY object, hf, hi) + (SELECT max(track_id) FROM unnamed u WHERE u.match_id = g.match_id) AS own
+        FROM (SELECT DISTINCT match_id, object, hf, hi FROM granted WHERE found IS NULL) g""",
+    "renamed": "SELECT u.* REPLACE (coalesce(found, own) AS track_id) FROM unnamed u JOIN granted USING (match_id, object, frame_num, det_index) LEFT JOIN numbers USING (match_id, object, hf, hi)",
 }
 #: The chain from positions to speeds once more, over positions by each match's calibration.
 _CHAIN = ("world", "spots", "windows", "cumulative", "sped", "flagged")
@@ -344,6 +363,8 @@ SELECTS: dict[str, str] = {
     "o6_triangles": f"SELECT match_id, frame_num, object, track_id, cx AS tip_x, cy AS tip_y, cx - 10 AS left_x, cx + 10 AS right_x, cy - 20 AS top_y, CASE object WHEN 'balls' THEN {_colour[2]} ELSE {_colour[1]} END AS color FROM (SELECT match_id, frame_num, object, track_id, CAST(trunc((x1 + x2) / 2) AS BIGINT) AS cx, CAST(trunc(y1) AS BIGINT) AS cy FROM flagged WHERE object = 'balls' OR has_ball)",
     "o7_colours": f"SELECT {TRACK}, {OWN_COLOUR} AS color FROM painted",
     "c1_build_tracks": f"SELECT {_track} FROM tracks",
+    "c1_tracks_without_ids": f"""SELECT {TRACK}, max(det_index) AS det_index, min(det_index) AS first_index,
+        arg_max(x1, det_index) AS x1, arg_max(y1, det_index) AS y1, arg_max(x2, det_index) AS x2, arg_max(y2, det_index) AS y2 FROM renamed GROUP BY {TRACK}""",
     "c2_camera_motion": "SELECT match_id, frame_num, dx, dy FROM camera",
     "c3_to_pitch": f"SELECT {TRACK}, pos_x, pos_y, adj_x, adj_y, {r6('world_x', 'world_y')} FROM world",
     "c4_interpolate_ball": f"SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')} FROM tracks WHERE object <> 'balls' UNION ALL SELECT {TRACK}, {r6('x1', 'y1', 'x2', 'y2')} FROM filled",

@@ -476,6 +476,10 @@ def c1_build_tracks(f: Fixtures) -> DataFrame:
     return pipeline.build_tracks(f.detections)
 
 
+def c1_tracks_without_ids(f: Fixtures) -> DataFrame:
+    return pipeline.build_tracks(f.unnamed)
+
+
 def c2_camera_motion(f: Fixtures) -> DataFrame:
     return pipeline.camera_motion(f.frames, f.features)
 
@@ -566,7 +570,7 @@ _LISTED = (
     w1_interpolate_ball, w2_cumulative_distance, w3_carry_possession, w4_running_share, w5_first_seen_colour, w6_frame_windows, w7_detection_ordinal,
     t1_last_ball, t2_select_corners, t3_drawing_order, u1_objects_together, u2_replace_balls, u3_shapes_together,
     o1_possession_captions, o2_speed_labels, o3_camera_captions, o4_ellipses, o5_badges, o6_triangles, o7_colours,
-    c1_build_tracks, c2_camera_motion, c3_to_pitch, c4_interpolate_ball, c5_speed_distance, c6_assign_teams, c6_teams_from_frames, c7_possession, c8_overlays, c9_analyze_matches,
+    c1_build_tracks, c1_tracks_without_ids, c2_camera_motion, c3_to_pitch, c4_interpolate_ball, c5_speed_distance, c6_assign_teams, c6_teams_from_frames, c7_possession, c8_overlays, c9_analyze_matches,
     x1_stream_speed, x2_stream_distance, x3_stream_possession, x4_stream_first_team,
 )
 QUERIES = {q.__name__: _over_fixtures(q) for q in _LISTED}

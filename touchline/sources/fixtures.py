@@ -33,8 +33,13 @@ DENSE = """
     CAST((l_partkey*37) % 200 AS DOUBLE) AS x1, CAST((l_suppkey*29) % 90 AS DOUBLE) AS y1,
     CAST((l_partkey*37) % 200 + 40 AS DOUBLE) AS x2, CAST((l_suppkey*29) % 90 + 60 AS DOUBLE) AS y2
 """
-
-
+#: The same boxes as detections, three in four of which have no track id; the ids of the others clash at times.
+UNNAMED = """
+    match_id, frame_num, det_index, CASE WHEN l_linenumber <= 5 THEN 'player' ELSE 'referee' END AS class_name,
+    CASE WHEN (l_orderkey * 3 + l_linenumber) % 4 = 0 THEN CAST(l_suppkey % 5 + 1 AS BIGINT) END AS track_id, 0.5e0 AS confidence,
+    CAST((l_partkey*37) % 200 AS DOUBLE) AS x1, CAST((l_suppkey*29) % 90 AS DOUBLE) AS y1,
+    CAST((l_partkey*37) % 200 + 40 AS DOUBLE) AS x2, CAST((l_suppkey*29) % 90 + 60 AS DOUBLE) AS y2
+"""
 #: Twelve pixels of each detection's frame, spread over its box; boxes may share a pixel, which is then the least.
 FRAME_PIXEL = """
     match_id, frame_num,
@@ -76,6 +81,10 @@ class Fixtures:
     def dense(self) -> DataFrame:
         return self.lines.selectExpr(*_columns(DENSE))
 
+    @cached_property
+    def unnamed(self) -> DataFrame:
+        return self.lines.selectExpr(*_columns(UNNAMED))
+
     @cached_property
     def features(self) -> DataFrame:
         return self.lines.selectExpr(
