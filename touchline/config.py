@@ -34,7 +34,6 @@ class Params:
     centre_classes: tuple[str, ...] = ()  #: objects whose position is the box's centre, not its foot
     cumulative_camera: bool = False  #: add camera movements up instead of taking each frame's own
     reposition_balls: bool = False  #: give filled balls positions again
-    idle_seconds: float = 3600.0  #: after which a stream forgets a match or player that has no more rows
     no_speed: tuple[str, ...] = ("balls",)
 
 

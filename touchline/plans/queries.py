@@ -536,24 +536,28 @@ def x1_stream_speed(f: Fixtures) -> DataFrame:
 
 
 def x2_stream_distance(f: Fixtures) -> DataFrame:
-    rows = streams.with_event_time(_streamed_windows(f).withColumnRenamed("start", "frame_num"))
-    key = {"match_id": SENTINEL_MATCH}
-    found = replay(rows, key, streams.stream_distance, mode="complete")
-    return found.where(F.col("match_id") != SENTINEL_MATCH).select(*TRACK, *r6("total_m"))
+    rows = streams.with_event_time(_streamed_windows(f).select(*TRACK, F.col("start").alias("frame_num"), "start", "metres"))
+    counts = written(kinematics.frame_counts(f.frames), "frame-counts")
+    key = {"match_id": SENTINEL_MATCH, "object": "players", "track_id": -1, "start": 0, "metres": 0.0}
+    found = replay(rows, key, lambda stream: streams.stream_distance(stream, counts))
+    return found.where("final").select(*TRACK, *r6("total_m"))
 
 
 def x3_stream_possession(f: Fixtures) -> DataFrame:
     teams = f.player_team.withColumnRenamed("track_id", "player_id")
     own = possession.assign_ball(f.frames, f.tracks, filled(f)).join(teams, ["match_id", "player_id"], "left")
     rows = streams.with_event_time(own.select(*FRAME, "team"))
-    found = replay(rows, {"match_id": SENTINEL_MATCH, "frame_num": 0}, streams.stream_possession)
+    counts = written(kinematics.frame_counts(f.frames), "frame-counts")
+    found = replay(rows, {"match_id": SENTINEL_MATCH, "frame_num": 0}, lambda stream: streams.stream_possession(stream, counts))
     return found.select(*FRAME, "team", *r6("share_1", "share_2"))
 
 
 def x4_stream_first_team(f: Fixtures) -> DataFrame:
     seen = f.tracks.where("object = 'players'").selectExpr("match_id", "track_id", "frame_num", "CAST(first_index % 2 + 1 AS INT) AS team")
     rows = streams.with_event_time(seen)
-    found = replay(rows, {"match_id": SENTINEL_MATCH, "track_id": -1, "frame_num": 0, "team": 1}, streams.stream_first_team)
+    counts = written(kinematics.frame_counts(f.frames), "frame-counts")
+    key = {"match_id": SENTINEL_MATCH, "track_id": -1, "frame_num": 0, "team": 1}
+    found = replay(rows, key, lambda stream: streams.stream_first_team(stream, counts))
     return found.where(F.col("match_id") != SENTINEL_MATCH)
 
 

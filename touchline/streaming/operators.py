@@ -2,6 +2,9 @@
 
 Event time ``ts`` is the match's start plus frame_num / frame_rate seconds. Rows later than the
 watermark are dropped. What lies behind the watermark at the end of input stays unemitted.
+
+The operators with state of their own (distance, possession, first team) need the RocksDB state store: see
+:func:`touchline.streaming.replay.with_rocksdb`.
 """
 
 from __future__ import annotations
@@ -9,12 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from bisect import bisect_left
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..config import DEFAULTS, Params
 from ..functions import geometry as g
@@ -55,78 +57,165 @@ def stream_windows(world: DataFrame, counts: DataFrame, delay: str = "1 second",
     return found.select(*TRACK, "start", "metres", g.kmh(F.col("metres"), F.col("frames"), params.frame_rate).alias("speed_kmh"))
 
 
-def stream_distance(window_rows: DataFrame) -> DataFrame:
-    """Running metres of each track over a stream of windows; update or complete mode."""
-    return window_rows.groupBy(*TRACK).agg(F.sum("metres").alias("total_m"))
+def _with_end(rows: DataFrame, counts: DataFrame | None, params: Params) -> DataFrame:
+    """``ends``: event time of the last frame of the row's match, in milliseconds; null where that isn't known."""
+    if counts is None:
+        return rows.withColumn("ends", F.lit(None).cast("long"))
+    last = with_event_time(counts.select("match_id", (F.col("n_frames") - 1).alias("frame_num")), params)
+    return rows.join(last.select("match_id", (F.unix_micros("ts") / 1000).cast("long").alias("ends")), "match_id", "left")
 
 
-def stream_possession(assigned: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
-    """match_id, frame_num, team, share_1, share_2 of every frame of a stream (match_id, frame_num, team or
-    null, ts), in append mode: teams carried over frames without, and shares up to each frame.
+class _Keyed(StatefulProcessor):
+    """A key's state until its match has ended. A row of the match that comes after that is later than the
+    watermark, and goes, so nothing of the state is missed."""
 
-    State of a match: the last team, two counters, and the frames that the watermark hasn't passed,
-    which wait for earlier ones: as many as come within the delay. A match without rows for
-    ``idle_seconds`` of event time is forgotten; later rows would begin it anew.
+    def _timely(self, batches: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        """The rows that aren't late, with ``time`` in milliseconds. Spark's own filter has the watermark of the
+        batch before; state goes by this batch's."""
+        passed = timers.getCurrentWatermarkInMs()
+        for pdf in batches:
+            pdf["time"] = pdf["ts"].astype("datetime64[us]").astype("int64") // 1000
+            timely = pdf[pdf["time"] >= passed]
+            if len(timely):
+                yield timely
+
+    def _ends(self, pdf: pd.DataFrame) -> int | None:
+        ends = pdf["ends"].iloc[0]
+        return None if pd.isna(ends) else int(ends)
+
+
+class _Distance(_Keyed):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.total = handle, handle.getValueState("total", "metres double, last long, ends long")
+
+    def _row(self, key: tuple, total: tuple, final: bool) -> pd.DataFrame:
+        return pd.DataFrame([(*key, total[0], total[1], final)], columns=[*TRACK, "total_m", "last_start", "final"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = metres, last, ends = self.total.get() if self.total.exists() else (0.0, -1, None)
+        for pdf in self._timely(rows, timerValues):
+            metres, last = metres + float(pdf["metres"].sum()), max(last, int(pdf["start"].max()))
+            if ends is None and (ends := self._ends(pdf)) is not None:
+                self.handle.registerTimer(ends + 1)
+        if (metres, last, ends) != known:
+            self.total.update((metres, last, ends))
+            yield self._row(key, (metres, last), False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.total.exists():
+            yield self._row(key, self.total.get(), True)
+            self.total.clear()
+
+
+def stream_distance(window_rows: DataFrame, counts: DataFrame | None = None, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
+    """match_id, object, track_id, total_m, last_start, final over a stream of windows (match_id, object, track_id,
+    start, metres, ts), in append mode: after each batch the running metres of every track that got windows,
+    not final; and once its match has ended, the track's total, final.
+
+    State of a track: its sum, until the match's last frame (by ``counts(match_id, n_frames)``) is behind the
+    watermark. Without that row nothing is final, and the sum stays.
     """
-    state = "team int, n_1 long, n_2 long, frames array<long>, teams array<int>, times array<long>"
-    out = "match_id long, frame_num long, team int, share_1 double, share_2 double"
-    idle = int(params.idle_seconds * 1000)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        team, n_1, n_2, frames, teams, times = group.get if group.exists else (None, 0, 0, [], [], [])
-        waiting = list(zip(times, frames, teams, strict=True))
-        if group.hasTimedOut and not waiting:
-            group.remove()
+    out = "match_id long, object string, track_id long, total_m double, last_start long, final boolean"
+    timed = _with_end(window_rows.select(*TRACK, "start", "metres", "ts"), counts, params).withWatermark("ts", delay)
+    return timed.groupBy(*TRACK).transformWithStateInPandas(_Distance(), out, "append", "EventTime")
+
+
+class _Possession(_Keyed):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getValueState("past", "team int, n_1 long, n_2 long, ends long")
+        self.waiting = handle.getListState("waiting", "time long, frame long, team int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in self._timely(rows, timerValues):
+            if not self.past.exists():
+                self.past.update((None, 0, 0, self._ends(pdf)))
+            times = pdf["time"].tolist()
+            teams = [None if pd.isna(t) else int(t) for t in pdf["team"]]
+            self.waiting.appendList(list(zip(times, pdf["frame_num"].tolist(), teams, strict=True)))
+            self.handle.registerTimer(min(times) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
             return
-        for pdf in batches:
-            seen = (pdf["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-            own = [None if pd.isna(t) else int(t) for t in pdf["team"]]
-            waiting += zip(seen, pdf["frame_num"].tolist(), own, strict=True)
-        passed, rows = group.getCurrentWatermarkMs(), []
-        waiting.sort(key=lambda x: x[:2])
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda x: (x[0], x[1], x[2] or 0))
         done = bisect_left(waiting, passed, key=lambda x: x[0])
+        team, n_1, n_2, ends = self.past.get()
+        out = []
         for _, frame, own in waiting[:done]:
             team = own if own is not None else team
             n_1, n_2 = n_1 + (team == 1), n_2 + (team == 2)
             total = n_1 + n_2
-            rows.append((key[0], frame, team, n_1 / total if total else None, n_2 / total if total else None))
-        waiting = waiting[done:]
-        group.update((team, n_1, n_2, [x[1] for x in waiting], [x[2] for x in waiting], [x[0] for x in waiting]))
-        group.setTimeoutTimestamp(max(waiting[0][0], passed) + 1 if waiting else passed + idle)
-        if rows:
-            yield pd.DataFrame(rows, columns=["match_id", "frame_num", "team", "share_1", "share_2"]).astype({"team": "Int32"})
-
-    timed = assigned.select("match_id", "frame_num", "team", "ts").withWatermark("ts", delay)
-    return timed.groupBy("match_id").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-
+            out.append((key[0], frame, team, n_1 / total if total else None, n_2 / total if total else None))
+        self.past.update((team, n_1, n_2, ends))
+        if done < len(waiting):
+            self.waiting.put(waiting[done:])
+            self.handle.registerTimer(waiting[done][0] + 1)
+        else:
+            self.waiting.clear()
+            if ends is not None and ends < passed:
+                self.past.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["match_id", "frame_num", "team", "share_1", "share_2"]).astype({"team": "Int32"})
+
+
+def stream_possession(assigned: DataFrame, counts: DataFrame | None = None, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
+    """match_id, frame_num, team, share_1, share_2 of every frame of a stream (match_id, frame_num, team or
+    null, ts), in append mode: teams carried over frames without, and shares up to each frame. A match can pause
+    for any time.
 
-def stream_first_team(seen: DataFrame, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
+    State of a match: the last team and two counters, until its last frame (by ``counts(match_id, n_frames)``) is
+    out; without that row these stay. And the frames that the watermark hasn't passed, which wait for earlier
+    ones: a batch appends its own, and those that have passed go.
+    """
+    out = "match_id long, frame_num long, team int, share_1 double, share_2 double"
+    timed = _with_end(assigned.select("match_id", "frame_num", "team", "ts"), counts, params).withWatermark("ts", delay)
+    return timed.groupBy("match_id").transformWithStateInPandas(_Possession(), out, "append", "EventTime")
+
+
+class _FirstTeam(_Keyed):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "frame long, team int, time long, ends long, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.first.get() if self.first.exists() else None
+        if known is None or not known[4]:
+            for pdf in self._timely(rows, timerValues):
+                row = pdf.sort_values(["frame_num", "team"]).iloc[0]
+                if known is None or row["frame_num"] < known[0]:
+                    known = (int(row["frame_num"]), int(row["team"]), int(row["time"]), self._ends(pdf), False)
+            if known is not None:
+                self.first.update(known)
+                self.handle.registerTimer(known[2] + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.first.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        frame, team, time, ends, done = self.first.get()
+        if not done and time < passed:
+            yield pd.DataFrame([(*key, team, frame)], columns=["match_id", "track_id", "team", "frame_num"])
+            done = True
+            self.first.update((frame, team, time, ends, True))
+        if done and ends is not None:
+            if ends < passed:
+                self.first.clear()
+            else:
+                self.handle.registerTimer(ends + 1)
+
+
+def stream_first_team(seen: DataFrame, counts: DataFrame | None = None, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
     """match_id, track_id, team, frame_num of each player's earliest frame in a stream (match_id, track_id,
-    frame_num, team, ts), once it can't be preceded any more; later rows of the player change nothing.
-    A player without rows for ``idle_seconds`` of event time is forgotten; later rows would begin anew."""
-    out = "match_id long, track_id long, team int, frame_num long"
-    idle = int(params.idle_seconds * 1000)
+    frame_num, team, ts), once it can't be preceded any more; later rows of the player change nothing, however
+    long it was away. Two rows of that frame: the smaller team.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        frame, team, time, done = group.get if group.exists else (None, None, None, False)
-        if group.hasTimedOut and done:
-            group.remove()
-            return
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            first = pdf.loc[pdf["frame_num"].idxmin()]
-            if not done and (frame is None or first["frame_num"] < frame):
-                frame, team, time = int(first["frame_num"]), int(first["team"]), int(first["ts"].timestamp() * 1000)
-        passed = group.getCurrentWatermarkMs()
-        rows: list[tuple[Any, ...]] = []
-        if not done and time is not None and time < passed:
-            rows, done = [(*key, team, frame)], True
-        group.update((frame, team, time, done))
-        if time is not None:
-            group.setTimeoutTimestamp(passed + idle if done else max(time, passed) + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=["match_id", "track_id", "team", "frame_num"])
-
-    timed = seen.select("match_id", "track_id", "frame_num", "team", "ts").withWatermark("ts", delay)
-    return timed.groupBy("match_id", "track_id").applyInPandasWithState(update, out, "frame long, team int, time long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    State of a player: one small row, until the match's last frame (by ``counts(match_id, n_frames)``) is behind
+    the watermark; without that row it stays.
+    """
+    out = "match_id long, track_id long, team int, frame_num long"
+    timed = _with_end(seen.select("match_id", "track_id", "frame_num", "team", "ts"), counts, params).withWatermark("ts", delay)
+    return timed.groupBy("match_id", "track_id").transformWithStateInPandas(_FirstTeam(), out, "append", "EventTime")

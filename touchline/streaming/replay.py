@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.folder import shared_folder
@@ -12,6 +12,15 @@ from ..sources.folder import shared_folder
 SENTINEL_MATCH = -1
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """The session, whose streams keep their state in RocksDB from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return spark
+
+
 def with_sentinel(df: DataFrame, key: dict, years: int = 1) -> DataFrame:
     """``df`` and a row a year after all others, which moves the watermark past them."""
     last = df.agg(F.max("ts").alias("ts")).select(*[(F.lit(key[c]).cast(t) if c in key else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes if c != "ts"], (F.col("ts") + F.make_interval(F.lit(years))).alias("ts"))
@@ -21,7 +30,7 @@ def with_sentinel(df: DataFrame, key: dict, years: int = 1) -> DataFrame:
 def replay(df: DataFrame, key: dict, operator: Callable[[DataFrame], DataFrame], files: int = 4, mode: str = "append") -> DataFrame:
     """What the streaming operator has emitted once it has read all rows of ``df``, in files of growing
     event time and then the sentinel (``key`` gives its columns)."""
-    spark = df.sparkSession
+    spark = with_rocksdb(df.sparkSession)
     folder = shared_folder(spark, "stream")
     df.repartitionByRange(files, "ts").write.parquet(f"{folder}/in")
     sentinel = with_sentinel(spark.read.parquet(f"{folder}/in"), key).where(F.col("match_id") == SENTINEL_MATCH)
