@@ -66,6 +66,22 @@ def test_share_and_calibration(documents):
     assert kept == pytest.approx(total / 2, rel=0.3)
 
 
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.97, 1.0])
+def test_share_is_met_however_many_cells_fill_up(spark, share):
+    cells = spark.createDataFrame([(10 + k % 3, 1.5**-k) for k in range(60)], "tokens long, factor double")
+    p = m._calibrated(cells, share)
+    got = cells.agg(F.sum(F.col("tokens") * p).alias("got"), F.sum("tokens").alias("all")).first()
+    assert got["got"] == pytest.approx(share * got["all"], rel=1e-9)
+
+
+def test_share_that_no_scale_meets(spark):
+    cells = spark.createDataFrame([(10, 1.0), (10, 0.0)], "tokens long, factor double")
+    assert cells.select(m._calibrated(cells, 0.5)).first()[0] == pytest.approx(1.0)
+    with pytest.raises(ValueError, match="share"):
+        m._calibrated(cells, 0.6)
+    assert cells.limit(0).select(m._calibrated(cells.limit(0), 0.5)).count() == 0
+
+
 def test_hash_is_uniform(spark):
     u = [r[0] for r in spark.range(20_000).select(m.uniform(F.col("id"), 7)).collect()]
     assert 0 <= min(u) and max(u) < 1

@@ -132,7 +132,11 @@ def best_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
 
 def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
     """tree_id, leaf_id, rank, path_score, n_turns, formatted and loss_spans: one conversation for each
-    path, from ``texts(tree_id, node_id, role, text)``; null roles and texts are empty."""
+    path, from ``texts(tree_id, node_id, role, text)``; null roles and texts are empty.
+
+    Columns of ``texts`` other than these are not read. A node that ``texts`` lacks is left out of its path, one that it has
+    twice is said twice, in order of role and text. A null rank is a rank. No paths, no conversations.
+    """
     rows = paths.join(texts.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
     turn = F.struct("position", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("tree_id", "leaf_id", "rank", "path_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -151,7 +155,10 @@ def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame, key: str) -> DataFrame:
-    """``key``, turns (role, text) and loss_text, parsed from the formatted strings and their spans."""
+    """``key``, turns (role, text), loss_text and formatted, parsed from the formatted strings and their spans: a
+    row for each of ``formatted``, whatever its other columns, null and repeated keys included. A conversation without
+    turns is an empty string and gives an empty list. The strings are those of :func:`format_paths`: not null.
+    """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))

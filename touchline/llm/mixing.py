@@ -172,19 +172,32 @@ def _own_cell(fitted: DataFrame) -> tuple[DataFrame, Column, str]:
 def _calibrated(cells: DataFrame, share: float | None) -> Column:
     """The probability of a cell's documents: factor times a scale, 1 at most. The scale is a number found
     by a few sums over the cells."""
-    scale = _largest_scale(cells)
-    if share is not None:
-        total = cells.agg(F.sum("tokens")).first()[0] or 0
-        for _ in range(30):
-            p = F.least(F.lit(1.0), F.col("factor") * scale)
-            sums = cells.agg(F.sum(F.col("tokens") * p).alias("got"), F.sum(F.when(p < 1, F.col("tokens") * p)).alias("free")).first()
-            missing = share * total - (sums["got"] or 0)
-            if abs(missing) <= 1e-6 * max(1, total) or not sums["free"]:
-                break
-            scale *= max(0.1, 1 + missing / sums["free"])
+    scale = _largest_scale(cells) if share is None else _scale_of_share(cells, share)
     return F.least(F.lit(1.0), F.col("factor") * F.lit(scale))
 
 
+def _scale_of_share(cells: DataFrame, share: float) -> float:
+    """The scale at which the expected tokens are ``share`` of all. An error where the cells that have a
+    target hold fewer.
+
+    Expected tokens are a concave function of the scale, made of straight pieces: Newton's steps from
+    zero never pass the goal, and meet it after as many pieces as they enter.
+    """
+    goal = share * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    scale = 0.0
+    while True:
+        whole = F.col("factor") * scale >= 1
+        now = cells.agg(F.sum(F.when(whole, F.col("tokens"))).alias("whole"), F.sum(F.when(~whole, F.col("tokens") * F.col("factor"))).alias("rest")).first()
+        short = goal - (now["whole"] or 0)
+        if not now["rest"]:
+            if short > 1e-9 * goal:
+                raise ValueError(f"the cells with a target hold less than a share of {share} of the tokens")
+            return scale
+        if short / now["rest"] <= scale * (1 + 1e-12):
+            return scale
+        scale = short / now["rest"]
+
+
 def _largest_scale(cells: DataFrame, shortfall: float = SHORTFALL) -> float:
     """The largest scale at which the expected tokens are 1 - ``shortfall`` of tokens times factor times
     scale, or more.

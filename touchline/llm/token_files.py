@@ -321,8 +321,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def fetch(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ids of the documents in ``wanted(path, doc_id)``: only the frames that hold them are read.
 
-    Rows that name no document of their file give no row; a doc_id that the file holds more than once
-    gives all of them. Groups are files, so a task holds one file's document table and one frame.
+    Rows that name no document of their file, no file, or a null doc_id give no row, and rows that repeat give
+    one; a doc_id that the file holds more than once gives all of them. Columns besides these aren't read. Groups are files, so a task holds one file's document table and one frame.
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
