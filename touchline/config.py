@@ -30,6 +30,7 @@ class Params:
     # Choices where the loops that these operators restate leave one.
     min_iou: float = 0.3
     kmeans_rounds: int = 100  #: that 2-means may take to settle
+    block_frames: int = 50_000  #: of a match that a scan in order of frames holds in one task
     cell: int = 64  #: pixels of a side of the grid by which frames meet boxes
     centre_classes: tuple[str, ...] = ()  #: objects whose position is the box's centre, not its foot
     cumulative_camera: bool = False  #: add camera movements up instead of taking each frame's own

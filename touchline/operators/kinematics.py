@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions import geometry as g
 from ..schema import BOX, FRAME, TRACK
+from . import scans
 
 
-def interpolate_ball(frames: DataFrame, balls: DataFrame) -> DataFrame:
+def interpolate_ball(frames: DataFrame, balls: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """A ball in every frame: straight lines between detections, the first one before them and the last
     one after them; null boxes in a match without any.
 
-    Both neighbours are the last ones seen, once in order of frames and once against it: a frame of all
-    rows from the current one on would be run through again for every row. So a match takes two sorts
-    and a step a frame."""
-    rows = frames.select(*FRAME).join(balls.select(*FRAME, *BOX), FRAME, "left")
-    match = Window.partitionBy("match_id").rowsBetween(Window.unboundedPreceding, 0)
-    past, future = match.orderBy("frame_num"), match.orderBy(F.desc("frame_num"))
-    seen = F.when(F.col("x1").isNotNull(), F.struct("frame_num", *BOX))
-    near = rows.select(*FRAME, F.last(seen, True).over(past).alias("p"), F.last(seen, True).over(future).alias("n"))
+    Both neighbours are the last ones seen, once in order of frames and once against it, in a scan by blocks
+    (:mod:`.scans`). Frames and balls are dealt together and meet by frame within their block, so
+    that the join and the scan take one shuffle. Balls of frames that ``frames`` lacks don't count."""
+    spine = frames.select(*FRAME, F.lit(True).alias("asked"), *[F.lit(None).cast("double").alias(c) for c in BOX])
+    seen = balls.where("match_id IS NOT NULL").select(*FRAME, F.lit(None).cast("boolean").alias("asked"), *BOX)
+    each = scans.dealt(spine.unionByName(seen), params).groupBy(*scans.BLOCK, "frame_num")
+    rows = each.agg(F.max("asked").alias("asked"), *[F.max(c).alias(c) for c in BOX]).where("asked")
+    ball = F.when(F.col("x1").isNotNull(), F.struct("frame_num", *BOX))
+    first, last = scans.first_and_last(ball)
+    edges = {"before": F.last("last", True).over(scans.over_blocks()), "after": F.last("first", True).over(scans.over_blocks(backward=True))}
+    rows = scans.with_carried(rows, {"first": first, "last": last}, edges)
+    past, future = F.last(ball, True).over(scans.within()), F.last(ball, True).over(scans.within(backward=True))
+    near = rows.select(*FRAME, F.coalesce(past, "before").alias("p"), F.coalesce(future, "after").alias("n"))
     ratio = (F.col("frame_num") - F.col("p.frame_num")) / F.col("gap")
     near = near.withColumn("gap", F.nullif(F.col("n.frame_num") - F.col("p.frame_num"), F.lit(0)))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..functions import geometry as g
 from ..schema import FRAME
+from . import scans
 
 
 def reach(bx: Column, by: Column) -> Column:
@@ -45,19 +46,36 @@ def flag_holder(tracks: DataFrame, assigned: DataFrame) -> DataFrame:
     return tracks.join(holder, [*FRAME, "object", "track_id"], "left").withColumn("has_ball", F.coalesce("has_ball", F.lit(False)))
 
 
-def carried(assigned: DataFrame, player_team: DataFrame) -> DataFrame:
+def carried(assigned: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``team`` of every frame: that of the assigned player, else the team before; null until the first."""
+    return _carried(assigned, player_team, params).drop("block")
+
+
+def _carried(assigned: DataFrame, player_team: DataFrame, params: Params) -> DataFrame:
     teams = player_team.select("match_id", F.col("track_id").alias("player_id"), F.col("team").alias("own"))
-    before = Window.partitionBy("match_id").orderBy("frame_num").rowsBetween(Window.unboundedPreceding, 0)
-    return assigned.join(teams, ["match_id", "player_id"], "left").select(*FRAME, "player_id", F.last("own", True).over(before).alias("team"))
+    rows = scans.dealt(assigned.join(teams, ["match_id", "player_id"], "left").select(*FRAME, "player_id", "own"), params)
+    last = scans.first_and_last(F.col("own"))[1]
+    rows = scans.with_carried(rows, {"last": last}, {"before": F.last("last", True).over(scans.over_blocks())})
+    return rows.select(*FRAME, "block", "player_id", F.coalesce(F.last("own", True).over(scans.within()), "before").alias("team"))
 
 
-def running_share(possession: DataFrame) -> DataFrame:
+def running_share(possession: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``share_1, share_2``: shares of the frames with a team, up to each frame; null before the first."""
-    upto = Window.partitionBy("match_id").orderBy("frame_num").rowsBetween(Window.unboundedPreceding, 0)
-    n = {k: F.sum((F.coalesce("team", F.lit(0)) == k).cast("long")).over(upto) for k in (1, 2)}
-    counted = possession.withColumns({"n_1": n[1], "n_2": n[2]})
-    return counted.withColumns({f"share_{k}": F.try_divide(f"n_{k}", F.col("n_1") + F.col("n_2")) for k in (1, 2)}).drop("n_1", "n_2")
+    return _running_share(scans.dealt(possession, params))
+
+
+def _running_share(rows: DataFrame) -> DataFrame:
+    each = {k: F.sum((F.coalesce("team", F.lit(0)) == k).cast("long")) for k in (1, 2)}
+    before = {f"before_{k}": F.sum(f"frames_{k}").over(scans.over_blocks()) for k in (1, 2)}
+    rows = scans.with_carried(rows, {f"frames_{k}": n for k, n in each.items()}, before)
+    counted = rows.withColumns({f"n_{k}": F.coalesce(f"before_{k}", F.lit(0)) + n.over(scans.within()) for k, n in each.items()})
+    shares = {f"share_{k}": F.try_divide(f"n_{k}", F.col("n_1") + F.col("n_2")) for k in (1, 2)}
+    return counted.withColumns(shares).drop("block", "before_1", "before_2", "n_1", "n_2")
+
+
+def timeline(assigned: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """:func:`carried` and :func:`running_share` at once: frames are dealt to their blocks once."""
+    return _running_share(_carried(assigned, player_team, params))
 
 
 def match_share(possession: DataFrame) -> DataFrame:
@@ -69,4 +87,4 @@ def match_share(possession: DataFrame) -> DataFrame:
 
 def possession(frames: DataFrame, tracks: DataFrame, balls: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """match_id, frame_num, player_id, team, share_1, share_2 of every frame."""
-    return running_share(carried(assign_ball(frames, tracks, balls, params), player_team))
+    return timeline(assign_ball(frames, tracks, balls, params), player_team, params)

@@ -30,10 +30,10 @@ def to_pitch(track_rows: DataFrame, camera_rows: DataFrame, params: Params = DEF
     return camera.on_pitch(seen, params) if calibrations is None else camera.on_pitch_by_calibration(seen, calibrations, "match_id")
 
 
-def interpolate_ball(frames: DataFrame, track_rows: DataFrame) -> DataFrame:
+def interpolate_ball(frames: DataFrame, track_rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Tracks with a ball in every frame; the filled balls have boxes only."""
     balls = track_rows.where(F.col("object") == "balls")
-    return tracks.replaced(track_rows, "balls", kinematics.interpolate_ball(frames, balls))
+    return tracks.replaced(track_rows, "balls", kinematics.interpolate_ball(frames, balls, params))
 
 
 def speed_distance(world: DataFrame, frames: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -51,7 +51,7 @@ def assign_teams_from_frames(pixels: DataFrame, track_rows: DataFrame, overrides
 
 def possession_by_frame(frames: DataFrame, track_rows: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Player, team and running shares of every frame, from detected tracks."""
-    balls = kinematics.interpolate_ball(frames, track_rows.where(F.col("object") == "balls"))
+    balls = kinematics.interpolate_ball(frames, track_rows.where(F.col("object") == "balls"), params)
     return possession.possession(frames, track_rows, balls, player_team, params)
 
 
@@ -87,7 +87,7 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[
     """
     moved = stage(camera_motion(inputs.frames, inputs.features, params), "camera")
     world = stage(to_pitch(build_tracks(inputs.detections, params), moved, params, inputs.calibrations), "world")
-    balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"))
+    balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"), params)
     if params.reposition_balls:
         balls = to_pitch(balls, moved, params, inputs.calibrations)
     world = tracks.replaced(world, "balls", balls)
@@ -104,7 +104,7 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[
         player_team = appearance.overridden(player_team, inputs.overrides)
     assigned = possession.assign_ball(inputs.frames, world, balls, params)
     assigned = stage(assigned, "assigned")
-    by_frame = stage(possession.running_share(possession.carried(assigned, player_team)), "possession")
+    by_frame = stage(possession.timeline(assigned, player_team, params), "possession")
     rows = appearance.with_team(possession.flag_holder(sped, assigned), player_team)
     rows = appearance.with_team_colour(rows, teams) if teams is not None else rows.withColumn("team_color", F.lit(None).cast("array<double>"))
     rows = stage(rows, "tracks")
