@@ -41,9 +41,11 @@ def assign_ball(frames: DataFrame, tracks: DataFrame, balls: DataFrame, params:
 
 
 def flag_holder(tracks: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``has_ball`` of every row of ``tracks``: true for the assigned player."""
-    holder = assigned.where("player_id is not null").select(*FRAME, F.lit("players").alias("object"), F.col("player_id").alias("track_id"), F.lit(True).alias("has_ball"))
-    return tracks.join(holder, [*FRAME, "object", "track_id"], "left").withColumn("has_ball", F.coalesce("has_ball", F.lit(False)))
+    """``has_ball`` of every row of ``tracks``: true for the assigned player. ``assigned`` has a row a frame, so the join
+    is by frame alone, as tables are dealt."""
+    holder = assigned.where("player_id is not null").select(*FRAME, F.col("player_id").alias("holder_id"))
+    holds = (F.col("object") == "players") & (F.col("track_id") == F.col("holder_id"))
+    return tracks.join(holder, FRAME, "left").withColumn("has_ball", F.coalesce(holds, F.lit(False))).drop("holder_id")
 
 
 def carried(assigned: DataFrame, player_team: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..operators import appearance, camera, kinematics, overlay, possession, tracks
-from ..sources.folder import written
+from ..sources.folder import dealt_by_frame, written
 
 
 def build_tracks(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -77,21 +77,22 @@ class Results:
     teams: DataFrame | None = field(default=None)
 
 
-def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[DataFrame, str], DataFrame] = written) -> Results:
+def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[DataFrame, str], DataFrame] = written, deal: Callable[[DataFrame, str], DataFrame] = dealt_by_frame) -> Results:
     """All jobs in order. Balls are filled after the positions are computed, so filled balls have none,
     unless ``reposition_balls`` is set. Teams come from the given table, else from the crops, else from
     the frames' pixels.
 
     Tables that several jobs read go through ``stage``, which writes them to the shared folder, so that
-    they are computed once and lineage stays short.
+    they are computed once and lineage stays short. Those that meet by match and frame go through ``deal``, which deals
+    them so: what follows joins them without a shuffle. Only speeds, which are by track and window, move rows again.
     """
-    moved = stage(camera_motion(inputs.frames, inputs.features, params), "camera")
-    world = stage(to_pitch(build_tracks(inputs.detections, params), moved, params, inputs.calibrations), "world")
+    moved = deal(camera_motion(inputs.frames, inputs.features, params), "camera")
+    world = deal(to_pitch(build_tracks(inputs.detections, params), moved, params, inputs.calibrations), "world")
     balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"), params)
     if params.reposition_balls:
         balls = to_pitch(balls, moved, params, inputs.calibrations)
+    balls = deal(balls, "balls")
     world = tracks.replaced(world, "balls", balls)
-    sped = speed_distance(world, inputs.frames, params)
     teams = None
     player_team = inputs.player_team
     if player_team is None:
@@ -102,10 +103,11 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[
         player_team = stage(player_team, "player-team")
     elif inputs.overrides is not None:
         player_team = appearance.overridden(player_team, inputs.overrides)
-    assigned = possession.assign_ball(inputs.frames, world, balls, params)
-    assigned = stage(assigned, "assigned")
+    assigned = deal(possession.assign_ball(moved, world, balls, params), "assigned")
     by_frame = stage(possession.timeline(assigned, player_team, params), "possession")
-    rows = appearance.with_team(possession.flag_holder(sped, assigned), player_team)
+    speeds = kinematics.cumulative(kinematics.windows(world, moved, params))
+    held = appearance.with_team(possession.flag_holder(world, assigned), player_team)
+    rows = kinematics.onto_frames(held, speeds, params)
     rows = appearance.with_team_colour(rows, teams) if teams is not None else rows.withColumn("team_color", F.lit(None).cast("array<double>"))
     rows = stage(rows, "tracks")
     return Results(rows, moved, by_frame, possession.match_share(by_frame), overlay.display_list(rows, by_frame, moved), teams)

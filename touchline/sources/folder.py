@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import FRAME
+
 _own_folder: list[str] = []
 
 
@@ -37,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_by_frame(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`written`, in buckets of match and frame, as many as a shuffle has partitions: joins and groups of such
+    tables by match and frame need no shuffle, and a long match is dealt over all buckets. The session's catalog lists the
+    table under a name of its own, as an external one: dropping it from there leaves the files."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, *FRAME).write.bucketBy(n, *FRAME).sortBy(*FRAME).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession
