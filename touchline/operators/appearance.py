@@ -47,10 +47,12 @@ def crops_from_frames(pixels: DataFrame, boxes: DataFrame, params: Params = DEFA
     reaches below it. Boxes may overlap: a pixel is in as many crops as hold it. A spatial join: each box is
     listed in the cells of a grid that its upper half touches, pixels meet boxes by frame and cell, and a
     test of the box is left for what has met. So no frame's pixels are paired with all of its boxes, and
-    one frame's rows go to as many tasks as it has cells.
+    one frame's rows go to as many tasks as it has cells. Frames without boxes are left out first: of a match's
+    frames, players are first seen in few.
     """
     size = params.cell
     x1, y1, x2, y2 = (F.greatest(F.col(c).cast("long"), F.lit(0)) for c in BOX)
+    pixels = pixels.join(boxes.select(*FRAME).distinct(), FRAME, "left_semi")
     heights = pixels.groupBy(*FRAME).agg((F.max("y") + 1).alias("height"))
     whole = boxes.select(*FRAME, "track_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).join(heights, FRAME)
     half = F.floor((F.least("y2", "height") - F.col("y1")) / 2)
