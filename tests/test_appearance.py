@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from touchline.config import Params
 from touchline.functions import geometry as g
 from touchline.operators import appearance, camera
+from touchline.sources.fixtures import Fixtures
 
 
 @pytest.mark.parametrize("cell", [1, 7, 64])
@@ -44,6 +45,42 @@ def test_frames_are_not_paired_with_all_their_boxes(spark):
     assert found.count() == 40
 
 
+def test_a_source_of_pixels_is_asked_for_first_frames_only(spark):
+    """Crops are those of the whole table, and the source makes pixels of no other frame than one with a box."""
+    pixels = spark.range(4000).selectExpr("id % 2 AS match_id", "id DIV 2 % 20 AS frame_num", "id DIV 40 % 10 AS x", "id DIV 400 AS y", "id AS b", "id AS g", "id AS r")
+    boxes = spark.createDataFrame([(0, 3, 1, 0.0, 0.0, 5.0, 8.0), (0, 3, 2, 2.0, 1.0, 9.0, 9.0), (1, 7, 1, 1.0, 0.0, 4.0, 5.0)], "match_id long, frame_num long, track_id long, x1 double, y1 double, x2 double, y2 double")
+    asked = []
+
+    def source(frames):
+        asked.extend(tuple(r) for r in frames.collect())
+        return pixels.join(frames, ["match_id", "frame_num"], "left_semi")
+
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    found = appearance.crops_from_frames(source, boxes)
+    assert sorted(asked) == [(0, 3), (1, 7)]
+    assert as_rows(found) == as_rows(appearance.crops_from_frames(pixels, boxes)) and found.count() == 20 + 28 + 6
+
+
+def test_fixture_pixels_of_frames_are_made_after_the_choice(spark):
+    """The choice of frames is below the making of pixels, also without broadcasts, and leaves the same pixels."""
+    f = Fixtures(spark, "/root/testdata/sf0.001")
+    frames = f.frames.where("frame_num % 50 = 3")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = f.pixels_of(frames)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda word: next(i for i, line in enumerate(lines) if word in line)
+    assert depth("Aggregate") < depth("Generate") < depth("LeftSemi")
+    whole = f.frame_pixels.where("frame_num % 50 = 3")
+    assert found.count() > 100 and found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
+
+
+def test_groups_are_dealt_over_tasks_whatever_their_bytes(spark):
+    points = spark.range(4000).selectExpr("id % 400 AS crop_id", "id % 7 AS b", "id % 11 AS g", "id % 13 AS r")
+    found = appearance.two_means(points, "crop_id")
+    assert found.count() == 400 and len(found.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def lloyd(points, centres):
     while True:
         near = ((points - centres[0]) ** 2).sum(1) <= ((points - centres[1]) ** 2).sum(1)

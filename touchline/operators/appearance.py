@@ -15,6 +15,7 @@ from ..sources.folder import written
 
 CHANNELS = ("b", "g", "r")
 CROP = ("match_id", "frame_num", "track_id")  #: what tells the crops of whole frames apart
+Pixels = DataFrame | Callable[[DataFrame], DataFrame]  #: of whole frames: a table, or what makes it for given frames
 
 
 def cut_boxes(pixels: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def first_boxes(tracks: DataFrame) -> DataFrame:
     return players.groupBy("match_id", "track_id").agg(first).select("match_id", "track_id", "f.*")
 
 
-def crops_from_frames(pixels: DataFrame, boxes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def crops_from_frames(pixels: Pixels, boxes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """match_id, frame_num, track_id, x, y, b, g, r: the upper half of each box of ``boxes(match_id, frame_num,
     track_id, x1, y1, x2, y2)``, cut from frames ``pixels(match_id, frame_num, x, y, b, g, r)``.
 
@@ -48,11 +49,14 @@ def crops_from_frames(pixels: DataFrame, boxes: DataFrame, params: Params = DEFA
     listed in the cells of a grid that its upper half touches, pixels meet boxes by frame and cell, and a
     test of the box is left for what has met. So no frame's pixels are paired with all of its boxes, and
     one frame's rows go to as many tasks as it has cells. Frames without boxes are left out first: of a match's
-    frames, players are first seen in few.
+    frames, players are first seen in few. ``pixels`` can also be a source, called with the frames that are asked for
+    (match_id, frame_num): one that has work to do for each frame then does it for these only. What is left is written
+    once, as it is read for heights and for cells; ``boxes`` are read for frames and for boxes, and should be a table.
     """
     size = params.cell
     x1, y1, x2, y2 = (F.greatest(F.col(c).cast("long"), F.lit(0)) for c in BOX)
-    pixels = pixels.join(boxes.select(*FRAME).distinct(), FRAME, "left_semi")
+    frames = boxes.select(*FRAME).distinct()
+    pixels = written(pixels(frames) if callable(pixels) else pixels.join(frames, FRAME, "left_semi"), "first-pixels")
     heights = pixels.groupBy(*FRAME).agg((F.max("y") + 1).alias("height"))
     whole = boxes.select(*FRAME, "track_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).join(heights, FRAME)
     half = F.floor((F.least("y2", "height") - F.col("y1")) / 2)
@@ -127,11 +131,13 @@ def two_means(points: DataFrame, *group: str, rounds: int = DEFAULTS.kmeans_roun
 
     Points are counted by colour before they move. A group is then one row with an array of its colours, as
     many as a crop has at most, and all rounds of all starts are one projection: nothing is shuffled or
-    written between them.
+    written between them. Groups are dealt to as many tasks as a shuffle has partitions, whatever their bytes: a group is
+    little to read and much to work out.
     """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     colour = [F.col(c).cast("double").alias(c) for c in CHANNELS]
     counted = points.select(*group, *colour).groupBy(*group, *CHANNELS).agg(F.count("*").cast("double").alias("n"))
-    listed = counted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*CHANNELS, "n"))).alias("p"), F.sum("n").alias("total"))
+    listed = counted.repartition(tasks, *group).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*CHANNELS, "n"))).alias("p"), F.sum("n").alias("total"))
     zero = F.struct(*[F.lit(0.0).alias(f"s{k}{c}") for k in (0, 1) for c in (*CHANNELS, "n")])
 
     def lloyd(at: Column) -> Column:
@@ -232,8 +238,9 @@ def assign_teams(pixels: DataFrame, crops: DataFrame, overrides: DataFrame | Non
     return _by_colours(jersey_colours(pixels, params).join(crops, "crop_id"), overrides, params)
 
 
-def assign_teams_from_frames(pixels: DataFrame, tracks: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """The same from whole frames ``pixels(match_id, frame_num, x, y, b, g, r)`` and tracks: each player's box is
+def assign_teams_from_frames(pixels: Pixels, tracks: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """The same from whole frames ``pixels(match_id, frame_num, x, y, b, g, r)`` (a table, or a source as in
+    :func:`crops_from_frames`) and tracks: each player's box is
     cut from the frame in which it is first seen. A box without pixels gives its player no team."""
     boxes = written(first_boxes(tracks), "boxes")
     return _by_colours(colours_of(crops_from_frames(pixels, boxes, params), CROP, params), overrides, params)

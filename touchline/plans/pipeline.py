@@ -44,7 +44,7 @@ def assign_teams(pixels: DataFrame, crops: DataFrame, overrides: DataFrame | Non
     return appearance.assign_teams(pixels, crops, overrides, params)
 
 
-def assign_teams_from_frames(pixels: DataFrame, track_rows: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def assign_teams_from_frames(pixels: appearance.Pixels, track_rows: DataFrame, overrides: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Frames and tracks to teams: boxes are cut where players are first seen."""
     return appearance.assign_teams_from_frames(pixels, track_rows, overrides, params)
 
@@ -61,8 +61,8 @@ class Inputs:
     detections: DataFrame
     features: DataFrame
     player_team: DataFrame | None = None
-    pixels: DataFrame | None = None
-    crops: DataFrame | None = None  #: if given, pixels are those of crops, else of whole frames
+    pixels: appearance.Pixels | None = None
+    crops: DataFrame | None = None  #: if given, pixels are those of crops, else of whole frames (a table, or a source called with frames)
     overrides: DataFrame | None = None
     calibrations: DataFrame | None = None  #: match_id, src, dst
 
