@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from touchline import schema
 from touchline.operators import camera, kinematics, possession, tracks
-from touchline.sources.folder import dealt_by_frame
+from touchline.sources import folder
+from touchline.sources.folder import dealt_by_frame, partitions, written
 
 N_FRAMES = 40
 
@@ -70,3 +71,16 @@ def test_an_empty_table_is_dealt(dealt):
     none = dealt_by_frame(dealt["rows"].limit(0), "none")
     assert none.columns == dealt["rows"].columns and none.isEmpty()
     assert kinematics.interpolate_ball(dealt["moved"].limit(0), none).isEmpty()
+
+
+def test_partitions_grow_with_the_files_behind_tables(spark, dealt, monkeypatch):
+    """So rows a task don't grow with the input; a small table has a shuffle's partitions."""
+    least, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), written(dealt["rows"], "rows")
+    assert partitions(spark.range(3)) == partitions(rows) == least
+    monkeypatch.setattr(folder, "PART_BYTES", 200)
+    assert partitions(rows) > least and partitions(rows, rows) == partitions(rows) < partitions(rows, written(dealt["camera"], "camera"))
+    seen = rows.select(*schema.FRAME, F.col("track_id").alias("det_index"), F.lit("player").alias("class_name"), "track_id", F.lit(0.5).alias("confidence"), *schema.BOX)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = [tracks.build_tracks(seen).rdd.getNumPartitions(), kinematics.interpolate_ball(dealt["moved"], tracks.build_tracks(seen)).rdd.getNumPartitions()]
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert min(found) >= partitions(rows) > least

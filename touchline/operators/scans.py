@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
+from ..sources.folder import partitions
 
 BLOCK = ["match_id", "block"]
 
@@ -19,7 +20,7 @@ def dealt(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     match or a frame number are in no block and are left out, here and not by the joins that follow, so that these
     all read the same rows and Spark reuses the shuffle."""
     blocks = rows.withColumn("block", F.floor(F.col("frame_num") / params.block_frames))
-    return blocks.where("match_id IS NOT NULL AND block IS NOT NULL").repartition(*BLOCK)
+    return blocks.where("match_id IS NOT NULL AND block IS NOT NULL").repartition(partitions(rows), *BLOCK)
 
 
 def within(backward: bool = False) -> WindowSpec:

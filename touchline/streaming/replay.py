@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folder import shared_folder
+from ..sources.folder import partitions, shared_folder
 
 SENTINEL_MATCH = -1
 
@@ -27,10 +27,11 @@ def with_sentinel(df: DataFrame, key: dict, years: int = 1) -> DataFrame:
     return df.unionByName(last)
 
 
-def replay(df: DataFrame, key: dict, operator: Callable[[DataFrame], DataFrame], files: int = 4, mode: str = "append") -> DataFrame:
+def replay(df: DataFrame, key: dict, operator: Callable[[DataFrame], DataFrame], files: int | None = None, mode: str = "append") -> DataFrame:
     """What the streaming operator has emitted once it has read all rows of ``df``, in files of growing
-    event time and then the sentinel (``key`` gives its columns)."""
-    spark = with_rocksdb(df.sparkSession)
+    event time and then the sentinel (``key`` gives its columns). There are four files, or as many as the size of
+    the input asks for: a task writes each."""
+    spark, files = with_rocksdb(df.sparkSession), files or max(4, partitions(df))
     folder = shared_folder(spark, "stream")
     df.repartitionByRange(files, "ts").write.parquet(f"{folder}/in")
     sentinel = with_sentinel(spark.read.parquet(f"{folder}/in"), key).where(F.col("match_id") == SENTINEL_MATCH)
