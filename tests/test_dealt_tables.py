@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline import schema
 from touchline.operators import camera, kinematics, possession, tracks
+from touchline.operators import appearance
 from touchline.sources import folder
 from touchline.sources.folder import dealt_by_frame, partitions, written
 
@@ -84,3 +85,16 @@ def test_partitions_grow_with_the_files_behind_tables(spark, dealt, monkeypatch)
     found = [tracks.build_tracks(seen).rdd.getNumPartitions(), kinematics.interpolate_ball(dealt["moved"], tracks.build_tracks(seen)).rdd.getNumPartitions()]
     spark.conf.unset("spark.sql.adaptive.enabled")
     assert min(found) >= partitions(rows) > least
+
+
+def test_tracks_dealt_once_meet_teams_and_colours_in_one_join(spark, dealt, without_broadcasts):
+    """Ready rows aren't moved again, and joining team and colour moves the rows once."""
+    again = dealt_by_frame(dealt["rows"].repartition(4, *schema.FRAME), "ready", 4, ready=True)
+    assert shuffles(camera.adjusted(again, dealt["moved"])) == 0
+    player_team = spark.createDataFrame([(m, t, 1 + t % 2) for m in (0, 1) for t in range(4)], "match_id long, track_id long, team int")
+    teams = spark.createDataFrame([(m, k, 1.0 * m, 2.0 * k, 3.0) for m in (0, 1) for k in (1, 2)], "match_id long, team int, b double, g double, r double")
+    found = appearance.with_team(again, appearance.with_team_colour(player_team, teams))
+    twice = appearance.with_team_colour(appearance.with_team(again, player_team), teams)
+    assert sorted(map(str, found.select(twice.columns).collect())) == sorted(map(str, twice.collect()))
+    assert found.where("object = 'players' AND team_color IS NOT NULL").count() > 100 and found.where("object = 'balls' AND team IS NOT NULL").isEmpty()
+    assert plan_of(found).count("FileScan parquet spark_catalog") == 1

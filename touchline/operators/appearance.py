@@ -221,8 +221,10 @@ def overridden(player_team: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def with_team(tracks: DataFrame, player_team: DataFrame) -> DataFrame:
-    """``team`` on every player's row; null for other objects and unknown players."""
-    teams = player_team.select("match_id", F.lit("players").alias("object"), "track_id", "team")
+    """``team`` on every player's row; null for other objects and unknown players. ``team_color`` comes with it where
+    ``player_team`` has it (see :func:`with_team_colour`): colours meet players, who are few, and not rows."""
+    own = ["team", "team_color"] if "team_color" in player_team.columns else ["team"]
+    teams = player_team.select("match_id", F.lit("players").alias("object"), "track_id", *own)
     return tracks.join(teams, ["match_id", "object", "track_id"], "left")
 
 

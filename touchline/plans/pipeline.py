@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
 from ..operators import appearance, camera, kinematics, overlay, possession, tracks
-from ..sources.folder import dealt_by_frame, written
+from ..sources.folder import dealt_by_frame, partitions, written
 
 
 def build_tracks(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -86,6 +87,8 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[
     they are computed once and lineage stays short. Those that meet by match and frame go through ``deal``, which deals
     them so: what follows joins them without a shuffle. Only speeds, which are by track and window, move rows again.
     """
+    if deal is dealt_by_frame:
+        deal = partial(dealt_by_frame, n=partitions(inputs.frames, inputs.detections))
     moved = deal(camera_motion(inputs.frames, inputs.features, params), "camera")
     world = deal(to_pitch(build_tracks(inputs.detections, params), moved, params, inputs.calibrations), "world")
     balls = kinematics.interpolate_ball(inputs.frames, world.where(F.col("object") == "balls"), params)
@@ -106,10 +109,10 @@ def analyze_matches(inputs: Inputs, params: Params = DEFAULTS, stage: Callable[[
     assigned = deal(possession.assign_ball(moved, world, balls, params), "assigned")
     by_frame = stage(possession.timeline(assigned, player_team, params), "possession")
     speeds = kinematics.cumulative(kinematics.windows(world, moved, params))
-    held = appearance.with_team(possession.flag_holder(world, assigned), player_team)
-    rows = kinematics.onto_frames(held, speeds, params)
-    rows = appearance.with_team_colour(rows, teams) if teams is not None else rows.withColumn("team_color", F.lit(None).cast("array<double>"))
-    rows = stage(rows, "tracks")
+    none = F.lit(None).cast("array<double>")
+    coloured = appearance.with_team_colour(player_team, teams) if teams is not None else player_team.withColumn("team_color", none)
+    held = appearance.with_team(possession.flag_holder(world, assigned), coloured)
+    rows = stage(kinematics.onto_frames(held, speeds, params), "tracks")
     return Results(rows, moved, by_frame, possession.match_share(by_frame), overlay.display_list(rows, by_frame, moved), teams)
 
 
