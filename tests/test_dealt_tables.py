@@ -98,3 +98,12 @@ def test_tracks_dealt_once_meet_teams_and_colours_in_one_join(spark, dealt, with
     assert sorted(map(str, found.select(twice.columns).collect())) == sorted(map(str, twice.collect()))
     assert found.where("object = 'players' AND team_color IS NOT NULL").count() > 100 and found.where("object = 'balls' AND team IS NOT NULL").isEmpty()
     assert plan_of(found).count("FileScan parquet spark_catalog") == 1
+
+
+def test_classes_are_broadcast(spark, without_broadcasts):
+    """Detections are not dealt by class, of which there are few."""
+    seen = spark.range(200).selectExpr("id AS det_index", "element_at(array('ball', 'player', 'fan'), CAST(id % 3 AS INT) + 1) AS class_name")
+    classes = spark.createDataFrame([(0, "ball"), (2, "player"), (5, "player")], "class_id long, name string")
+    found = tracks.class_names(tracks.class_ids(seen, classes), classes)
+    assert plan_of(found).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan_of(found)
+    assert {tuple(r) for r in found.select("class_id", "class_name").distinct().collect()} == {(0, "ball"), (5, "player"), (None, None)}
