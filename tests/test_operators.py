@@ -226,6 +226,34 @@ def test_long_chain_takes_one_id(spark):
     assert {r["track_id"] for r in tracks.identified(spark.createDataFrame(found, IDS)).collect()} == {4}
 
 
+@pytest.mark.parametrize("block", [1, 3, 50_000])
+def test_chains_cross_blocks_of_frames_and_move_rows_once(spark, block):
+    """Frames missing, crowds and given ids: heads as a plain walk finds them, ids as in one block."""
+    draw, found = random.Random(3), []
+    for f in [*range(17), *range(19, 40)]:
+        ids = draw.sample(range(1, 9), 3)
+        found += [(0, f, "players", i, ids[i] if i < 3 and f % 4 == 0 else None, 10.0 * x, 0.0, 10.0 * x + 25, 10.0) for i, x in enumerate(draw.sample(range(12), draw.randint(1, 7)))]
+    df, params = spark.createDataFrame(found, IDS), dataclasses.replace(DEFAULTS, block_frames=block)
+    frames, heads = {}, {}
+    for _, f, _, i, t, *box in found:
+        frames.setdefault(f, {})[i] = t, box[0]
+
+    def iou(a, b):
+        both = max(25 - abs(a[1] - b[1]), 0.0)
+        return both / (50 - both) if a[0] is None or b[0] is None or a[0] == b[0] else -1.0
+
+    for f in sorted(frames):
+        now, before = frames[f], frames.get(f - 1, {})
+        best = lambda own, others: max(((iou(own, o), -k) for k, o in others.items() if iou(own, o) >= 0.3), default=(0, None))[1]
+        for i, own in now.items():
+            p = best(own, before)
+            heads[f, i] = heads[f - 1, -p] if p is not None and best(before[-p], now) == -i else (f, i)
+    got = {(r["frame_num"], r["det_index"]): (r["head_frame"], r["head_index"]) for r in tracks.chains(df, params).collect()}
+    assert got == heads and max(f - h[0] for (f, _), h in heads.items()) >= 4
+    assert rows(tracks.identified(df, params), "frame_num", "det_index", "track_id") == rows(tracks.identified(df), "frame_num", "det_index", "track_id")
+    assert tracks.block_heads(df, params)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_crowded_corners_equal_a_plain_greedy_choice(spark):
     draw = random.Random(5)
     points = [(0, f, draw.randrange(40) / 2, draw.randrange(60) / 2, float(draw.randrange(4, 12))) for f in range(3) for _ in range(500)]
