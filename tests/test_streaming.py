@@ -4,7 +4,7 @@ import pytest
 
 from touchline.sources.folder import shared_folder
 from touchline.streaming import operators as streams
-from touchline.streaming.replay import with_rocksdb
+from touchline.streaming.replay import replay, with_rocksdb
 
 ASSIGNED = "match_id long, frame_num long, team int"
 SEEN = "match_id long, track_id long, frame_num long, team int"
@@ -69,3 +69,39 @@ def test_distance_runs_and_is_final_once(batches, counts):
     assert sorted(r for r in found if r[0] == 1) == [(1, "players", 7, 2.5, 0, False), (1, "players", 7, 3.0, 5, False), (1, "players", 7, 3.0, 5, True), (1, "referees", 7, 4.0, 0, False), (1, "referees", 7, 4.0, 0, True)]
     assert sorted(r[3] for r in found if r[0] == 2) == [1.0, 3.0, 6.0]
     assert state[-1] < max(state)
+
+
+def test_a_match_has_one_state_of_distances(batches, counts):
+    """Keys, and calls of Python, are as many as matches, and not as tracks."""
+    first = [(1, "players", t, 0, 1.0 * t) for t in range(30)]
+    found, state = batches(lambda s: streams.stream_distance(s, counts), WINDOWS, first, [(2, "players", 7, 500_000, 2.0)], [(2, "players", 7, 500_005, 2.0)])
+    assert sorted(r for r in found if r[0] == 1) == sorted((1, "players", t, 1.0 * t, 0, final) for t in range(30) for final in (False, True))
+    assert max(state) < 30
+
+
+def test_frames_of_a_batch_wait_as_one_value():
+    import pandas as pd
+
+    class State:
+        values = []
+        exists = lambda self: False
+        update = appendList = lambda self, x: None
+        registerTimer = getCurrentWatermarkInMs = lambda self, *x: 0
+        appendValue = lambda self, x: self.values.append(x)
+
+    keyed, state = streams._Possession(), State()
+    keyed.handle = keyed.past = keyed.waiting = state
+    pdf = pd.DataFrame({"ts": pd.to_datetime(range(750), unit="s"), "frame_num": range(750), "team": [1.0, None, 2.0] * 250, "ends": 9})
+    assert list(keyed.handleInputRows((1,), iter([pdf]), state)) == [] and len(state.values) == 1
+
+
+def test_replay_makes_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def note(parts):
+        for pdf in parts:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = streams.with_event_time(spark.range(500).selectExpr("id % 3 AS match_id", "id AS frame_num", "CAST(1 AS INT) AS team").mapInPandas(note, ASSIGNED))
+    assert replay(rows, {"match_id": -1, "frame_num": 0}, streams.stream_possession).count() == 500 and made.value == 500

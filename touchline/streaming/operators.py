@@ -10,9 +10,9 @@ The operators with state of their own (distance, possession, first team) need th
 from __future__ import annotations
 
 import datetime as dt
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from ..functions import geometry as g
 from ..schema import TRACK
 
 EPOCH = dt.datetime(2024, 1, 1)
+NO_TEAM = -(1 << 31)  #: in place of null
 
 
 def with_event_time(df: DataFrame, params: Params = DEFAULTS, start: dt.datetime = EPOCH) -> DataFrame:
@@ -85,26 +86,48 @@ class _Keyed(StatefulProcessor):
 
 
 class _Distance(_Keyed):
+    """Keyed by match: calling Python and its state costs far more than adding up, so a match's tracks share a call."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.total = handle, handle.getValueState("total", "metres double, last long, ends long")
+        self.handle = handle
+        self.totals = handle.getListState("totals", "object string, track_id long, metres double, last long")
+        self.ends = handle.getValueState("ends", "ends long")
+
+    def _rows(self, key: tuple, totals: dict, final: bool) -> pd.DataFrame:
+        out = [(*key, *track, *total, final) for track, total in totals.items()]
+        return pd.DataFrame(out, columns=[*TRACK, "total_m", "last_start", "final"]).astype({"track_id": "Int64"})
 
-    def _row(self, key: tuple, total: tuple, final: bool) -> pd.DataFrame:
-        return pd.DataFrame([(*key, total[0], total[1], final)], columns=[*TRACK, "total_m", "last_start", "final"])
+    def _known(self) -> dict:
+        return {(o, t): (m, last) for o, t, m, last in self.totals.get()} if self.totals.exists() else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known = metres, last, ends = self.total.get() if self.total.exists() else (0.0, -1, None)
+        ends, added = None, {}
         for pdf in self._timely(rows, timerValues):
-            metres, last = metres + float(pdf["metres"].sum()), max(last, int(pdf["start"].max()))
-            if ends is None and (ends := self._ends(pdf)) is not None:
-                self.handle.registerTimer(ends + 1)
-        if (metres, last, ends) != known:
-            self.total.update((metres, last, ends))
-            yield self._row(key, (metres, last), False)
+            ends = self._ends(pdf)
+            found = pdf.groupby(["object", "track_id"], dropna=False).agg({"metres": "sum", "start": "max"})
+            for (o, t), m, last in zip(found.index, found["metres"], found["start"], strict=True):
+                track = (None if pd.isna(o) else o), (None if pd.isna(t) else int(t))
+                before = added.get(track, (0.0, -1))
+                added[track] = before[0] + float(m), max(before[1], int(last))
+        if not added:
+            return
+        known, changed = self._known(), {}
+        for track, (m, last) in added.items():
+            before = known.get(track, (0.0, -1))
+            if (total := (before[0] + m, max(before[1], last))) != before:
+                changed[track] = total
+        if ends is not None and not self.ends.exists():
+            self.ends.update((ends,))
+            self.handle.registerTimer(ends + 1)
+        if changed:
+            self.totals.put([(*track, *total) for track, total in (known | changed).items()])
+            yield self._rows(key, changed, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.total.exists():
-            yield self._row(key, self.total.get(), True)
-            self.total.clear()
+        if totals := self._known():
+            yield self._rows(key, totals, True)
+        self.totals.clear()
+        self.ends.clear()
 
 
 def stream_distance(window_rows: DataFrame, counts: DataFrame | None = None, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:
@@ -112,53 +135,61 @@ def stream_distance(window_rows: DataFrame, counts: DataFrame | None = None, del
     start, metres, ts), in append mode: after each batch the running metres of every track that got windows,
     not final; and once its match has ended, the track's total, final.
 
-    State of a track: its sum, until the match's last frame (by ``counts(match_id, n_frames)``) is behind the
-    watermark. Without that row nothing is final, and the sum stays.
+    State of a match: its tracks' sums, until the match's last frame (by ``counts(match_id, n_frames)``) is behind the
+    watermark. Without that row nothing is final, and the sums stay.
     """
     out = "match_id long, object string, track_id long, total_m double, last_start long, final boolean"
     timed = _with_end(window_rows.select(*TRACK, "start", "metres", "ts"), counts, params).withWatermark("ts", delay)
-    return timed.groupBy(*TRACK).transformWithStateInPandas(_Distance(), out, "append", "EventTime")
+    return timed.groupBy("match_id").transformWithStateInPandas(_Distance(), out, "append", "EventTime")
 
 
 class _Possession(_Keyed):
+    """Frames that wait are kept as bytes, one value a batch (time, frame and team as longs): rows of state cost far more
+    than the frames are worth."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.past = handle.getValueState("past", "team int, n_1 long, n_2 long, ends long")
-        self.waiting = handle.getListState("waiting", "time long, frame long, team int")
+        self.waiting = handle.getListState("waiting", "frames binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        found, ends = [], None
         for pdf in self._timely(rows, timerValues):
+            ends = self._ends(pdf)
+            found.append(np.column_stack([pdf["time"], pdf["frame_num"], pdf["team"].fillna(NO_TEAM)]).astype("int64"))
+        if found:
             if not self.past.exists():
-                self.past.update((None, 0, 0, self._ends(pdf)))
-            times = pdf["time"].tolist()
-            teams = [None if pd.isna(t) else int(t) for t in pdf["team"]]
-            self.waiting.appendList(list(zip(times, pdf["frame_num"].tolist(), teams, strict=True)))
-            self.handle.registerTimer(min(times) + 1)
+                self.past.update((None, 0, 0, ends))
+            frames = np.concatenate(found)
+            self.waiting.appendValue((frames.tobytes(),))
+            self.handle.registerTimer(int(frames[:, 0].min()) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.waiting.exists():
             return
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get(), key=lambda x: (x[0], x[1], x[2] or 0))
-        done = bisect_left(waiting, passed, key=lambda x: x[0])
+        frames = np.concatenate([np.frombuffer(x[0], "int64").reshape(-1, 3) for x in self.waiting.get()])
+        frames = frames[np.lexsort((np.where(frames[:, 2] == NO_TEAM, 0, frames[:, 2]), frames[:, 1], frames[:, 0]))]
+        done = int(np.searchsorted(frames[:, 0], passed))
         team, n_1, n_2, ends = self.past.get()
-        out = []
-        for _, frame, own in waiting[:done]:
-            team = own if own is not None else team
-            n_1, n_2 = n_1 + (team == 1), n_2 + (team == 2)
-            total = n_1 + n_2
-            out.append((key[0], frame, team, n_1 / total if total else None, n_2 / total if total else None))
+        if done:
+            teams = np.concatenate([[NO_TEAM if team is None else team], frames[:done, 2]])
+            teams = teams[np.maximum.accumulate(np.where(teams == NO_TEAM, 0, np.arange(done + 1)))][1:]
+            ones, twos = n_1 + np.cumsum(teams == 1), n_2 + np.cumsum(teams == 2)
+            total = np.where(ones + twos, ones + twos, np.nan)
+            own = pd.array(teams, dtype="Int64")
+            own[teams == NO_TEAM] = pd.NA
+            yield pd.DataFrame({"match_id": key[0], "frame_num": frames[:done, 1], "team": own.astype("Int32"), "share_1": ones / total, "share_2": twos / total})
+            team, n_1, n_2 = None if teams[-1] == NO_TEAM else int(teams[-1]), int(ones[-1]), int(twos[-1])
         self.past.update((team, n_1, n_2, ends))
-        if done < len(waiting):
-            self.waiting.put(waiting[done:])
-            self.handle.registerTimer(waiting[done][0] + 1)
+        if done < len(frames):
+            self.waiting.put([(frames[done:].tobytes(),)])
+            self.handle.registerTimer(int(frames[done, 0]) + 1)
         else:
             self.waiting.clear()
             if ends is not None and ends < passed:
                 self.past.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["match_id", "frame_num", "team", "share_1", "share_2"]).astype({"team": "Int32"})
 
 
 def stream_possession(assigned: DataFrame, counts: DataFrame | None = None, delay: str = "1 second", params: Params = DEFAULTS) -> DataFrame:

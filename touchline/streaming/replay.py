@@ -1,4 +1,4 @@
-"""Batch tables as streams: written to files, read file by file, and collected in a table."""
+"""Batch tables as streams: written to files, read as one batch, and collected in a table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folder import partitions, shared_folder
+from ..sources.folder import shared_folder
 
 SENTINEL_MATCH = -1
 
@@ -27,16 +27,16 @@ def with_sentinel(df: DataFrame, key: dict, years: int = 1) -> DataFrame:
     return df.unionByName(last)
 
 
-def replay(df: DataFrame, key: dict, operator: Callable[[DataFrame], DataFrame], files: int | None = None, mode: str = "append") -> DataFrame:
-    """What the streaming operator has emitted once it has read all rows of ``df``, in files of growing
-    event time and then the sentinel (``key`` gives its columns). There are four files, or as many as the size of
-    the input asks for: a task writes each."""
-    spark, files = with_rocksdb(df.sparkSession), files or max(4, partitions(df))
+def replay(df: DataFrame, key: dict, operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What the streaming operator has emitted once it has read all rows of ``df`` and the sentinel
+    (``key`` gives its columns), as one batch. As a batch has no order, rows are written by the tasks that made them: they
+    don't move, and nothing is computed twice to find ranges of time."""
+    spark = with_rocksdb(df.sparkSession)
     folder = shared_folder(spark, "stream")
-    df.repartitionByRange(files, "ts").write.parquet(f"{folder}/in")
+    df.write.parquet(f"{folder}/in")
     sentinel = with_sentinel(spark.read.parquet(f"{folder}/in"), key).where(F.col("match_id") == SENTINEL_MATCH)
     sentinel.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files + 1).parquet(f"{folder}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
     found = operator(source)
     if mode == "append":
         query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
