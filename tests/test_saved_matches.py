@@ -70,3 +70,16 @@ def test_two_writers_of_a_match_count_once(spark, counted, tmp_path):
     compute(ids(spark, 1)).withColumn("batch", F.lit("zzz")).write.mode("append").partitionBy("batch", "match_id").parquet(f"{path}/rows")
     ids(spark, 1).withColumn("batch", F.lit("zzz")).write.mode("append").parquet(f"{path}/_matches")
     assert rows_of(tables.load_or_compute_matches(spark, path, schema.CAMERA, ids(spark, 1), compute)) == want(1)
+
+
+def test_a_go_computes_its_own_matches_alone(spark, monkeypatch):
+    """Each of the two goes of the saved queries is given the rows of its matches, and not those of all."""
+    from touchline.plans import queries
+    from touchline.sources.fixtures import Fixtures
+
+    given = []
+    build = lambda detections: given.append({r["match_id"] for r in detections.select("match_id").distinct().collect()}) or tracks(detections)
+    tracks = queries.tracks.build_tracks
+    monkeypatch.setattr(queries.tracks, "build_tracks", build)
+    found = queries.s1_s2_tracks_saved(Fixtures(spark, "/root/testdata/sf0.001"))
+    assert len(given) == 2 and not given[0] & given[1] and given[0] | given[1] == {r["match_id"] for r in found.select("match_id").distinct().collect()}
